@@ -38,7 +38,10 @@ def relative_time(at: Column, as_of: Column) -> Column:
 
 
 def money(amount: Column) -> Column:
-    text = F.regexp_replace(F.format_string("%.2f", F.round(amount, 2)), r"\.", ",")
+    # exact ties are eighths and round up; everything else follows the stored binary value
+    tie = amount * 8 == F.floor(amount * 8)
+    shown = F.replace(F.format_number(F.when(tie, F.round(amount, 2)).otherwise(amount), 2), F.lit(","), F.lit(""))
+    text = F.replace(shown, F.lit("."), F.lit(","))
     return F.when(amount.isNull(), "—").otherwise(
         F.concat(F.when((amount > 0) & (amount < 0.01), "<0,01").otherwise(text), F.lit(" $"))
     )

@@ -91,7 +91,7 @@ def text_periods(raw: Column) -> Column:
     """struct<periods, always_open>: one unreadable rule empties the whole result."""
     text = F.trim(raw)
     rules = F.filter(
-        F.transform(F.split(text, ";"), F.trim), lambda r: (r != "") & ~r.rlike(r"(?i)^PH(?![A-Za-z0-9_])")
+        F.transform(F.split(text, ";"), lambda r: F.trim(r)), lambda r: (r != "") & ~r.rlike(r"(?i)^PH(?![A-Za-z0-9_])")
     )
     timed = rf"^{_RANGE}$"
     parsed = F.transform(

@@ -342,7 +342,7 @@ def export_json_manifest(t):
 @query("relative_time", (B,), f"""
 select business_id, case when due_at is null then '—' when g >= 86400 then p || (g // 86400) || ' día' || case when g // 86400 > 1 then 's' else '' end
  when g >= 3600 then p || (g // 3600) || ' hora' || case when g // 3600 > 1 then 's' else '' end when g >= 60 then p || (g // 60) || ' minuto' || case when g // 60 > 1 then 's' else '' end else 'ahora' end as due,
- case when amount is null then '—' when amount > 0 and amount < 0.01 then '<0,01 $' else replace(printf('%.2f', amount), '.', ',') || ' $' end as price
+ case when amount is null then '—' when amount > 0 and amount < 0.01 then '<0,01 $' else replace(printf('%.2f', case when amount * 8 = floor(amount * 8) then round(amount, 2) else amount end), '.', ',') || ' $' end as price
 from (select business_id, next_follow_up_at as due_at, abs(epoch({NOW_SQL}) - epoch(next_follow_up_at))::bigint as g, case when next_follow_up_at > {NOW_SQL} then 'en ' else 'hace ' end as p,
  case when business_id % 5 = 0 then null else (business_id % 300) / 400.0::double end as amount from fx_business)""")
 def relative_time(t):

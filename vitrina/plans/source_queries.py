@@ -94,8 +94,8 @@ def infer_category(t):
 
 @query("category_request", ("fx_typed",), f"""
 select id, case when all_categories or (k = '' and f = '') then '{",".join(c.key for c in CATEGORIES)}' else k end as known, case when all_categories then '' else f end as free_text from (
- select id, all_categories, array_to_string(list_filter(string_split(request, ','), x -> x in ({quoted(c.key for c in CATEGORIES)})), ',') as k,
-  array_to_string(list_filter(string_split(request, ','), x -> x <> '' and x not in ({quoted(c.key for c in CATEGORIES)})), ',') as f from fx_typed)""")
+ select id, all_categories, array_to_string(list_filter(string_split(request, ','), lambda x: x in ({quoted(c.key for c in CATEGORIES)})), ',') as k,
+  array_to_string(list_filter(string_split(request, ','), lambda x: x <> '' and x not in ({quoted(c.key for c in CATEGORIES)})), ',') as f from fx_typed)""")
 def category_request(t):
     asked = F.filter(F.split("request", ","), lambda x: x != "")
     r = DI.split_request(asked, F.col("all_categories"))

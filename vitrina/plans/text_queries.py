@@ -70,8 +70,8 @@ def text_snippets(t):
 
 @query("name_coverage", (L,), f"""
 select doc_id, n, case when n = 0 then 0 else round(h::double / n, 6) end as coverage from (
- select doc_id, len(toks) as n, len(list_filter(toks, x -> contains(hay, x))) as h from (
-  select doc_id, list_filter(string_split(regexp_replace({_norm("substr(ad_text, 1, 80)")}, '[^a-z0-9ñ ]', ' ', 'g'), ' '), x -> length(x) >= 3 and x not in ({quoted(P.NAME_STOPWORDS)})) as toks,
+ select doc_id, len(toks) as n, len(list_filter(toks, lambda x: contains(hay, x))) as h from (
+  select doc_id, list_filter(string_split(regexp_replace({_norm("substr(ad_text, 1, 80)")}, '[^a-z0-9ñ ]', ' ', 'g'), ' '), lambda x: length(x) >= 3 and x not in ({quoted(P.NAME_STOPWORDS)})) as toks,
    {_norm("substr(ad_text, 30, 600)")} as hay from fx_lead_text))""")
 def name_coverage(t):
     name, hay = F.substring("ad_text", 1, 80), F.substring("ad_text", 30, 600)
@@ -79,7 +79,7 @@ def name_coverage(t):
                        F.round(T.name_coverage(name, hay), 6).alias("coverage"))
 
 
-@query("word_count", (), r"select doc_id, regexp_count(text, '[\p{L}\p{N}]+')::bigint as words from documents")
+@query("word_count", (), r"select doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}]+'))::bigint as words from documents")
 def word_count(t):
     return t["documents"].select("doc_id", T.words(F.col("text")).alias("words"))
 
@@ -150,16 +150,16 @@ def copyright_years(t):
 
 
 def _matches(pattern, group=0):
-    """SQL: one row per match (k, hit, at) of f.ad_text, at = zero-based start, from the pieces between matches."""
+    """SQL: one row per match (k, hit, pos) of f.ad_text, pos = zero-based start, from the pieces between matches."""
     p = ansi(pattern)
-    return (f"(select k, hit, sum(length(gap)) over (order by k) + coalesce(sum(length(hit)) over (order by k rows between unbounded preceding and 1 preceding), 0) as at from "
+    return (f"(select k, hit, sum(length(gap)) over (order by k) + coalesce(sum(length(hit)) over (order by k rows between unbounded preceding and 1 preceding), 0) as pos from "
             f"(select unnest(regexp_extract_all(f.ad_text, {p})) as hit, unnest(regexp_split_to_array(f.ad_text, {p})) as gap, generate_subscripts(regexp_split_to_array(f.ad_text, {p}), 1) as k) where hit is not null)")
 
 
 @query("dated_mentions", (L,), f"""
-select doc_id, coalesce((select string_agg(hit || ':' || {_snip('f.ad_text', 'at', '4', 60)}, '|' order by k) from (select * from (select *, row_number() over (order by k) as rn from {_matches('(?:19|20)[0-9][0-9]')} m
- where hit::int between 2000 and 2022 and regexp_matches(substr(f.ad_text, greatest(0, at - 45)::int + 1, (at + 10 - greatest(0, at - 45))::int), {ansi(P.EVENT_WORDS)})
- and not regexp_matches(substr(f.ad_text, greatest(0, at - 30)::int + 1, (at - greatest(0, at - 30))::int), {ansi(P.SINCE_WORDS)})) where rn <= 5)), '') as mentions from fx_lead_text f""")
+select doc_id, coalesce((select string_agg(hit || ':' || {_snip('f.ad_text', 'pos', '4', 60)}, '|' order by k) from (select * from (select *, row_number() over (order by k) as rn from {_matches('(?:19|20)[0-9][0-9]')} m
+ where hit::int between 2000 and 2022 and regexp_matches(substr(f.ad_text, greatest(0, pos - 45)::int + 1, (pos + 10 - greatest(0, pos - 45))::int), {ansi(P.EVENT_WORDS)})
+ and not regexp_matches(substr(f.ad_text, greatest(0, pos - 30)::int + 1, (pos - greatest(0, pos - 30))::int), {ansi(P.SINCE_WORDS)})) where rn <= 5)), '') as mentions from fx_lead_text f""")
 def dated_mentions(t):
     m = T.dated_mentions(F.col("ad_text"), 2024)
     return t[L].select("doc_id", F.array_join(F.transform(m, lambda x: F.concat(x["year"].cast("string"), F.lit(":"), x["text"])), "|").alias("mentions"))
@@ -173,7 +173,7 @@ def stale_notices(t):
 
 
 @query("hours_text_hits", (L,), f"""
-select doc_id, coalesce((select string_agg({_snip('f.ad_text', 'at', 'length(hit)', 25)}, '|' order by k) from {_matches(P.HOURS_TEXT)} where k <= 5), '') as hours from fx_lead_text f""")
+select doc_id, coalesce((select string_agg({_snip('f.ad_text', 'pos', 'length(hit)', 25)}, '|' order by k) from {_matches(P.HOURS_TEXT)} where k <= 5), '') as hours from fx_lead_text f""")
 def hours_text_hits(t):
     return t[L].select("doc_id", F.array_join(T.hours_texts(F.col("ad_text")), "|").alias("hours"))
 
@@ -186,7 +186,7 @@ def address_text_hits(t):
 
 @query("postal_codes", (L,), f"""
 select doc_id, coalesce((select string_agg(hit, ',' order by k) from (select hit, min(k) as k from {_matches(P.POSTAL_CODE)} m
- where regexp_matches(substr(f.ad_text, greatest(0, at - 80)::int + 1, (at + 40 - greatest(0, at - 80))::int), {ansi(P.POSTAL_CONTEXT)}) group by hit order by k limit 5)), '') as codes from fx_lead_text f""")
+ where regexp_matches(substr(f.ad_text, greatest(0, pos - 80)::int + 1, (pos + 40 - greatest(0, pos - 80))::int), {ansi(P.POSTAL_CONTEXT)}) group by hit order by k limit 5)), '') as codes from fx_lead_text f""")
 def postal_codes(t):
     return t[L].select("doc_id", F.array_join(T.postal_codes(F.col("ad_text")), ",").alias("codes"))
 
@@ -195,7 +195,7 @@ _KIND = "case when regexp_matches(s, {0}) and w < 400 then 'PARKED' when regexp_
     ansi(P.PARKED), ansi(P.UNDER_CONSTRUCTION), ansi(P.PLACEHOLDER))
 
 
-@query("placeholder_text", (L,), f"select doc_id, kind from (select doc_id, {_KIND} as kind from (select doc_id, left(ad_text, 20000) as s, regexp_count(left(ad_text, 20000), '[\\p{{L}}\\p{{N}}]+') as w from fx_lead_text))")
+@query("placeholder_text", (L,), f"select doc_id, kind from (select doc_id, {_KIND} as kind from (select doc_id, left(ad_text, 20000) as s, len(regexp_extract_all(left(ad_text, 20000), '[\\p{{L}}\\p{{N}}]+')) as w from fx_lead_text))")
 def placeholder_text(t):
     return t[L].select("doc_id", T.placeholder_kind(F.col("ad_text")).alias("kind"))
 

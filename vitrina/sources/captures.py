@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CAPTURE_SCHEMA = (
     "business_id bigint, seq int, kind string, attempt int, purpose string, requested_url string, url string,"
@@ -41,7 +42,7 @@ def charset(content_type: Column, body: Column) -> Column:
     return F.coalesce(F.nullif(header, F.lit("")), F.nullif(meta, F.lit("")), F.lit("utf-8"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_other(body: pd.Series, name: pd.Series) -> pd.Series:
     """Bytes in a charset the JVM functions do not offer; an unknown name falls back to UTF-8."""
     def one(raw, label):
