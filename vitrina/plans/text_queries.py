@@ -152,7 +152,7 @@ def copyright_years(t):
 def _matches(pattern, group=0):
     """SQL: one row per match (k, hit, pos) of f.ad_text, pos = zero-based start, from the pieces between matches."""
     p = ansi(pattern)
-    return (f"(select k, hit, sum(length(gap)) over (order by k) + coalesce(sum(length(hit)) over (order by k rows between unbounded preceding and 1 preceding), 0) as pos from "
+    return (f"(select k, hit, (sum(length(gap)) over (order by k) + coalesce(sum(length(hit)) over (order by k rows between unbounded preceding and 1 preceding), 0))::bigint as pos from "
             f"(select unnest(regexp_extract_all(f.ad_text, {p})) as hit, unnest(regexp_split_to_array(f.ad_text, {p})) as gap, generate_subscripts(regexp_split_to_array(f.ad_text, {p}), 1) as k) where hit is not null)")
 
 
