@@ -39,27 +39,41 @@ def _pick(table: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 
 
-def unescape(c: Column) -> Column:
-    """Character references decoded once, left to right."""
+# Decoded characters that would read as markup wait as private-use characters until the tags are cut out.
+_MARKUP, _WAITING = "<>\"'", "\ue000\ue001\ue002\ue003"
+
+
+def decode_references(c: Column) -> Column:
+    """Character references of a whole document decoded once, left to right."""
     named = {name: chr(cp) for name, cp in name2codepoint.items()} | {"apos": "'"}
 
     def char_of(n: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
-    def piece(p: Column, i: Column) -> Column:
-        ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);", 1)
-        decoded = (
+    def decoded(ref: Column) -> Column:
+        plain = (
             F.when(ref.rlike("^#[0-9]"), char_of(F.substring(ref, 2, 9).try_cast("bigint")))
             .when(ref.rlike("^#[xX]"), char_of(F.conv(F.substring(ref, 3, 9), 16, 10).try_cast("bigint")))
             .otherwise(_pick(named, ref))
         )
+        return F.translate(plain, _MARKUP, _WAITING)
+
+    def piece(p: Column, i: Column) -> Column:
+        ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);", 1)
         whole = F.concat(F.lit("&"), p)
-        rest = F.substring(p, F.length(ref) + 2, F.length(p))
-        return F.when(i == 0, p).when(ref == "", whole).otherwise(F.coalesce(F.concat(decoded, rest), whole))
+        return F.when(i == 0, p).otherwise(T.let(
+            ref,
+            lambda r: F.when(r == "", whole).otherwise(
+                F.coalesce(F.concat(decoded(r), F.substring(p, F.length(r) + 2, F.length(p))), whole)),
+        ))
 
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "&"), piece), "")).otherwise(c)
 
 
+def _settled(c: Column) -> Column:
+    return F.translate(c, _WAITING, _MARKUP)
+
+
 def without_comments(html: Column) -> Column:
     return F.regexp_replace(html, r"(?s)<!--.*?(-->|$)", "")
 
@@ -79,11 +93,11 @@ def visible_text(html: Column) -> Column:
     for name in HIDDEN_ELEMENTS:
         out = F.regexp_replace(out, rf"(?is)<{name}\b{_ATTRS}>.*?(</{name}\s*>|$)", "")
     out = F.regexp_replace(out, rf"(?i)</(?:{'|'.join(BLOCK_ELEMENTS)})\s*>|<(?:{'|'.join(SELF_CLOSING_BLOCKS)})\b[^>]*>", " ")
-    return T.squeeze(unescape(F.regexp_replace(out, _TAG, "")))
+    return T.squeeze(_settled(F.regexp_replace(out, _TAG, "")))
 
 
 def inner_text(fragment: Column) -> Column:
-    return T.squeeze(unescape(F.regexp_replace(fragment, _TAG, "")))
+    return T.squeeze(_settled(F.regexp_replace(fragment, _TAG, "")))
 
 
 def tags(clean: Column) -> Column:
@@ -102,7 +116,7 @@ def attr(raw: Column, name: str) -> Column:
     """Attribute value of a tag text, NULL when absent, empty when it has none."""
     p = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     value = F.concat(*[F.regexp_extract(raw, p, i) for i in (1, 2, 3)])
-    return F.when(raw.rlike(rf"""(?i)[\s"'/]{name}(?=[\s=/>])"""), unescape(value))
+    return F.when(raw.rlike(rf"""(?i)[\s"'/]{name}(?=[\s=/>])"""), _settled(value))
 
 
 def opening(all_tags: Column, *names: str) -> Column:
@@ -123,8 +137,7 @@ def _not_blank(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def _urls(all_tags: Column, name: str, source: Column, base: Column) -> Column:
-    del source
+def _urls(all_tags: Column, name: str, base: Column) -> Column:
     return F.filter(
         F.transform(opening(all_tags, name), lambda t: U.resolve(attr(t["raw"], "src"), base)), lambda u: u.isNotNull()
     )
@@ -165,15 +178,20 @@ def ld_nodes(documents: Column) -> Column:
     def graphs(vs: Column) -> Column:
         return F.flatten(F.transform(vs, lambda v: _as_list(v, "$['@graph']")))
 
-    top = level(documents)
-    second = level(graphs(top))
-    third = level(graphs(second))
-    return F.filter(F.concat(top, second, third), lambda n: F.try_variant_get(n, "$['@type']", "variant").isNotNull())
+    def with_graphs(top: Column) -> Column:
+        return T.let(level(graphs(top)), lambda second: F.concat(top, second, level(graphs(second))))
+
+    return F.filter(
+        T.let(level(documents), with_graphs), lambda n: F.try_variant_get(n, "$['@type']", "variant").isNotNull()
+    )
 
 
 def schema_facts(documents: Column) -> Column:
     """struct of business facts declared in JSON-LD."""
-    nodes = ld_nodes(documents)
+    return T.let(ld_nodes(documents), _node_facts)
+
+
+def _node_facts(nodes: Column) -> Column:
     every = lambda path: F.array_distinct(F.flatten(F.transform(nodes, lambda n: _strings(n, path))))
     addresses = F.flatten(F.transform(nodes, lambda n: _as_list(n, "$.address")))
 
@@ -260,8 +278,12 @@ def _body_children(all_tags: Column) -> Column:
 
 def _first_by(items: Column, field: str) -> Column:
     """Array of structs with later repeats of ``field`` dropped."""
-    keys = F.transform(items, lambda x: x[field])
-    return F.filter(items, lambda x, i: F.array_position(keys, x[field]) == i + 1)
+    return T.let(
+        items,
+        lambda xs: F.filter(
+            xs, lambda x, i: F.array_position(F.transform(xs, lambda y: y[field]), x[field]) == i + 1
+        ),
+    )
 
 
 def _field_tags(all_tags: Column) -> Column:
@@ -274,7 +296,10 @@ def _field_tags(all_tags: Column) -> Column:
 
 def _forms(bare: Column, all_tags: Column) -> Column:
     label_for = F.transform(opening(all_tags, "label"), lambda t: attr(t["raw"], "for"))
+    return T.let(label_for, lambda known: _forms_with(bare, known))
+
 
+def _forms_with(bare: Column, label_for: Column) -> Column:
     def labelled(t: Column) -> Column:
         named = [_not_blank(attr(t["raw"], a)).isNotNull() for a in ("aria-label", "aria-labelledby", "title")]
         own = F.coalesce(F.array_contains(label_for, _not_blank(attr(t["raw"], "id"))), F.lit(False))
@@ -300,6 +325,10 @@ def _forms(bare: Column, all_tags: Column) -> Column:
 
 def _links(bare: Column, base: Column, host: Column) -> Column:
     """array<struct<raw_href, href, text, internal, parts>> of every anchor with an address."""
+    return T.let(F.struct(base.alias("base"), host.alias("host")), lambda e: _links_in(bare, e["base"], e["host"]))
+
+
+def _links_in(bare: Column, base: Column, host: Column) -> Column:
     with_href = F.filter(_blocks(bare, "a"), lambda a: attr(a["head"], "href").isNotNull())
 
     def link(a: Column) -> Column:
@@ -326,22 +355,24 @@ def _links(bare: Column, base: Column, host: Column) -> Column:
 def page_columns(html: Column, url: Column) -> list[dict[str, Column]]:
     """Column layers to add one after the other; each layer reads the names of the layers before it."""
     c = F.col
-    first = {"_clean": without_comments(html), "_host": U.bare_host(U.parse(url)["host"])}
+    zero = {"_raw": without_comments(html), "_page": U.parse(url)}
+    first = {"_clean": decode_references(c("_raw")), "_host": U.bare_host(c("_page")["host"])}
+    half = {"_ld": json_ld(c("_raw"))}
     second = {
         "_bare": without_code(c("_clean")),
         "text": visible_text(c("_clean")),
-        "schema": schema_facts(json_ld(c("_clean"))),
+        "schema": schema_facts(c("_ld")),
     }
     third = {"_tags": tags(c("_bare"))}
     base_href = attr(F.get(F.filter(opening(c("_tags"), "base"), lambda t: attr(t["raw"], "href").isNotNull()), F.lit(0))["raw"], "href")
-    fourth = {"_base": F.coalesce(U.resolve(base_href, url), url)}
+    fourth = {"_base": F.coalesce(U.parse(U.resolve(base_href, c("_page"))), c("_page"))}
     base, all_tags, bare = c("_base"), c("_tags"), c("_bare")
     link_tags = opening(all_tags, "link")
     rel = lambda t: F.lower(F.coalesce(attr(t["raw"], "rel"), F.lit("")))
     icon = F.get(F.filter(link_tags, lambda t: rel(t).rlike(r"(^|\s)icon(\s|$)|^(shortcut icon|apple-touch-icon)$")), F.lit(0))
     fifth = {
         "_anchors": _links(bare, base, c("_host")),
-        "scripts": _urls(all_tags, "script", bare, base),
+        "scripts": _urls(all_tags, "script", base),
         "inline_scripts": F.size(F.filter(opening(all_tags, "script"), lambda t: attr(t["raw"], "src").isNull())),
         "stylesheets": F.filter(
             F.transform(
@@ -350,7 +381,7 @@ def page_columns(html: Column, url: Column) -> list[dict[str, Column]]:
             ),
             lambda u: u.isNotNull(),
         ),
-        "iframes": _urls(all_tags, "iframe", bare, base),
+        "iframes": _urls(all_tags, "iframe", base),
         "images": F.filter(
             F.transform(
                 opening(all_tags, "img"),
@@ -451,8 +482,10 @@ def page_columns(html: Column, url: Column) -> list[dict[str, Column]]:
     signal = lambda u, lab: F.struct(u.cast("string").alias("url"), lab.cast("string").alias("label"))
 
     def link_signals(x: Column) -> Column:
-        host_hit = booking_host(x["href"])
-        platform = U.platform(x["parts"]["host"], x["parts"]["path"])
+        found = F.struct(booking_host(x["href"]).alias("h"), U.platform(x["parts"]["host"], x["parts"]["path"]).alias("p"))
+        return T.let(found, lambda f: signals(x, f["h"], f["p"]))
+
+    def signals(x: Column, host_hit: Column, platform: Column) -> Column:
         own = (
             F.when(host_hit.isNotNull(), F.coalesce(_not_blank(x["text"]), host_hit))
             .when(x["text"].rlike(java(P.BOOKING_TEXT)) & ~x["text"].rlike(java(P.RIGHTS_RESERVED)), x["text"])
@@ -489,4 +522,4 @@ def page_columns(html: Column, url: Column) -> list[dict[str, Column]]:
         )), 1, 20),
         "has_map": F.exists("iframes", lambda u: u.rlike(java(P.MAP_FRAME))) | F.exists("links", lambda x: x["href"].rlike(java(P.MAP_LINK))),
     }
-    return [first, second, third, fourth, fifth, sixth, seventh]
+    return [zero, first, half, second, third, fourth, fifth, sixth, seventh]

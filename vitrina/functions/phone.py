@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
 from ..rules.phones import PHONE_PLANS, PhonePlan
 
 _CANDIDATE = r"(?:^|[^0-9+A-Za-z])((?:\+|00)?[(]?[0-9](?:[ ().-]?[0-9]){7,14})(?![0-9])"
@@ -23,43 +24,59 @@ def _plans() -> Column:
 
 def _parsed(raw: Column, country: Column) -> Column:
     """struct<plan, nsn>: numbering plan and national number, NULL when no plan applies."""
-    cleaned = F.trim(F.regexp_replace(raw, "(?i)^tel:", ""))
-    shaped = cleaned.rlike(r"^[+0-9(][0-9 ().\-/]*$")
-    digits = F.regexp_replace(cleaned, "[^0-9]", "")
-    abroad = cleaned.rlike(r"^\(?(\+|00)")
-    rest = F.when(cleaned.startswith("+"), digits).otherwise(F.regexp_replace(digits, "^00", ""))
-    by_code = F.array_max(
-        F.transform(
-            F.filter(_plans(), lambda p: rest.startswith(p["code"])),
+    def facts(c: Column) -> Column:
+        digits = F.regexp_replace(c, "[^0-9]", "")
+        rest = F.when(c.startswith("+"), digits).otherwise(F.regexp_replace(digits, "^00", ""))
+        return F.struct(
+            c.rlike(r"^[+0-9(][0-9 ().\-/]*$").alias("shaped"), c.rlike(r"^\(?(\+|00)").alias("abroad"),
+            digits.alias("digits"), rest.alias("rest"),
+        )
+
+    def plan_of(f: Column) -> Column:
+        by_code = F.array_max(F.transform(
+            F.filter(_plans(), lambda p: f["rest"].startswith(p["code"])),
             lambda p: F.struct(F.length(p["code"]).alias("n"), p.alias("plan")),
+        ))["plan"]
+        by_country = F.get(F.filter(_plans(), lambda p: p["country"] == F.upper(country)), F.lit(0))
+        return F.when(f["abroad"], by_code).otherwise(by_country)
+
+    def strip_trunk(plan: Column, local: Column) -> Column:
+        return F.when(
+            (plan["trunk"] != "") & local.startswith(plan["trunk"]),
+            F.substring(local, F.length(plan["trunk"]) + 1, F.lit(32)),
+        ).otherwise(local)
+
+    def number(f: Column, plan: Column) -> Column:
+        local = F.when(f["abroad"], F.substring(f["rest"], F.length(plan["code"]) + 1, F.lit(32))).otherwise(f["digits"])
+        return let(
+            let(local, lambda x: strip_trunk(plan, x)),
+            lambda nsn: F.when(
+                f["shaped"] & plan.isNotNull() & F.length(nsn).between(plan["lo"], plan["hi"]),
+                F.struct(plan.alias("plan"), nsn.alias("nsn")),
+            ),
         )
-    )["plan"]
-    by_country = F.get(F.filter(_plans(), lambda p: p["country"] == F.upper(country)), F.lit(0))
-    plan = F.when(abroad, by_code).otherwise(by_country)
-    local = F.when(abroad, F.substring(rest, F.length(plan["code"]) + 1, F.lit(32))).otherwise(digits)
-    nsn = F.when(
-        (plan["trunk"] != "") & local.startswith(plan["trunk"]),
-        F.substring(local, F.length(plan["trunk"]) + 1, F.lit(32)),
-    ).otherwise(local)
-    fits = F.length(nsn).between(plan["lo"], plan["hi"])
-    return F.when(shaped & plan.isNotNull() & fits, F.struct(plan.alias("plan"), nsn.alias("nsn")))
+
+    cleaned = F.trim(F.regexp_replace(raw, "(?i)^tel:", ""))
+    return let(let(cleaned, facts), lambda f: let(plan_of(f), lambda plan: number(f, plan)))
 
 
 def e164(raw: Column, country: Column) -> Column:
-    p = _parsed(raw, country)
-    return F.concat(F.lit("+"), p["plan"]["code"], p["nsn"])
+    return let(_parsed(raw, country), lambda p: F.concat(F.lit("+"), p["plan"]["code"], p["nsn"]))
 
 
 def national(raw: Column, country: Column) -> Column:
     """Number as dialled at home, grouped the way the plan prints it."""
-    p = _parsed(raw, country)
+    return let(_parsed(raw, country), _grouped)
+
+
+def _grouped(p: Column) -> Column:
     text = F.concat(p["plan"]["trunk"], p["nsn"])
     for plan in PHONE_PLANS:
         sizes = [int(g) for g in plan.groups.split("-")]
         cuts, at = [], 1
         for i, size in enumerate(sizes):
             width = size if i < len(sizes) - 1 else 32
-            cuts.append(F.substring(p["nsn"], at, width))
+            cuts.append(F.nullif(F.substring(p["nsn"], at, width), F.lit("")))
             at += size
         # North American numbers are printed without the long-distance 1
         grouped = F.concat(F.lit("" if plan.country == "US" else plan.trunk), F.concat_ws(" ", *cuts))

@@ -26,6 +26,11 @@ def _accent_pairs() -> tuple[str, str]:
 ACCENTED, PLAIN = _accent_pairs()
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip_accents(c: Column) -> Column:
     plain = F.translate(c, ACCENTED, PLAIN)
     return F.regexp_replace(plain, r"[\x{0300}-\x{036f}]", "")
@@ -72,7 +77,8 @@ def snippet(c: Column, index: Column, match_length: Column, radius: int = 70) ->
 def match_snippet(c: Column, pattern: str, radius: int = 70) -> Column:
     """Snippet round the first match, NULL without one."""
     index, length = first_match(c, pattern)
-    return F.when(index >= 0, snippet(c, index, length, radius))
+    at = F.struct(index.alias("i"), length.alias("n"))
+    return let(at, lambda m: F.when(m["i"] >= 0, snippet(c, m["i"], m["n"], radius)))
 
 
 def words(c: Column) -> Column:
@@ -85,9 +91,9 @@ def name_tokens(c: Column) -> Column:
 
 
 def name_coverage(name: Column, haystack: Column) -> Column:
-    tokens, hay = name_tokens(name), normalize_text(haystack)
-    found = F.size(F.filter(tokens, lambda t: F.contains(hay, t)))
-    return F.when(F.size(tokens) == 0, F.lit(0.0)).otherwise(found / F.size(tokens))
+    both = F.struct(name_tokens(name).alias("tokens"), normalize_text(haystack).alias("hay"))
+    return let(both, lambda b: F.when(F.size(b["tokens"]) == 0, F.lit(0.0)).otherwise(
+        F.size(F.filter(b["tokens"], lambda t: F.contains(b["hay"], t))) / F.size(b["tokens"])))
 
 
 def emails(text: Column, extra: Column | None = None, limit: int = 10) -> Column:

@@ -6,13 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import platforms as PL
-from .text import trim_blanks
+from .text import let, trim_blanks
 
 _SPLIT = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
 def _encode(part: Column) -> Column:
     """Percent-encode blanks and non-ASCII characters, leave the rest alone."""
+    return let(part, _encoded)
+
+
+def _encoded(part: Column) -> Column:
     encoded = F.array_join(
         F.transform(
             F.split(part, ""),
@@ -25,27 +29,39 @@ def _encode(part: Column) -> Column:
 
 def parse(url: Column) -> Column:
     """struct<scheme, host, port, path, query>; NULL when the text is no usable http(s) URL."""
-    scheme = F.lower(F.regexp_extract(url, _SPLIT, 1))
-    authority = F.regexp_replace(F.regexp_extract(url, _SPLIT, 2), "^.*@", "")
-    host = F.lower(F.regexp_replace(authority, r":\d*$", ""))
-    port = F.regexp_extract(authority, r":(\d+)$", 1)
-    default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    path = _dotless(_encode(F.regexp_extract(url, _SPLIT, 3)))
-    ok = scheme.isin("http", "https") & host.rlike(r"^[^\x00-\x20#%/:<>?@\[\\\]^|]+$")
-    return F.when(
-        ok,
-        F.struct(
-            scheme.alias("scheme"),
-            host.alias("host"),
-            F.when(default | (port == ""), F.lit("")).otherwise(F.concat(F.lit(":"), port)).alias("port"),
-            F.when(path == "", "/").otherwise(path).alias("path"),
-            _encode(F.regexp_extract(url, _SPLIT, 4)).alias("query"),
-        ),
-    )
+    def build(r: Column) -> Column:
+        default = ((r["scheme"] == "http") & (r["port"] == "80")) | ((r["scheme"] == "https") & (r["port"] == "443"))
+        ok = r["scheme"].isin("http", "https") & r["host"].rlike(r"^[^\x00-\x20#%/:<>?@\[\\\]^|]+$")
+        return F.when(
+            ok,
+            F.struct(
+                r["scheme"].alias("scheme"),
+                r["host"].alias("host"),
+                F.when(default | (r["port"] == ""), F.lit("")).otherwise(F.concat(F.lit(":"), r["port"])).alias("port"),
+                F.when(r["path"] == "", "/").otherwise(_dotless(_encode(r["path"]))).alias("path"),
+                _encode(r["query"]).alias("query"),
+            ),
+        )
+
+    def raw(u: Column) -> Column:
+        authority = F.regexp_replace(F.regexp_extract(u, _SPLIT, 2), "^.*@", "")
+        return F.struct(
+            F.lower(F.regexp_extract(u, _SPLIT, 1)).alias("scheme"),
+            F.lower(F.regexp_replace(authority, r":\d*$", "")).alias("host"),
+            F.regexp_extract(authority, r":(\d+)$", 1).alias("port"),
+            F.regexp_extract(u, _SPLIT, 3).alias("path"),
+            F.regexp_extract(u, _SPLIT, 4).alias("query"),
+        )
+
+    return let(url, lambda u: let(raw(u), build))
 
 
 def _dotless(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments."""
+    return let(path, _dotless_path)
+
+
+def _dotless_path(path: Column) -> Column:
     parts = F.aggregate(
         F.split(path, "/"),
         F.array().cast("array<string>"),
@@ -57,39 +73,46 @@ def _dotless(path: Column) -> Column:
 
 
 def render(parts: Column) -> Column:
-    return F.concat(
-        parts["scheme"], F.lit("://"), parts["host"], parts["port"], parts["path"], parts["query"]
-    )
+    return let(parts, lambda p: F.concat(p["scheme"], F.lit("://"), p["host"], p["port"], p["path"], p["query"]))
 
 
 def website_parts(raw: Column) -> Column:
     """Parsed site address, ``http://`` assumed when no scheme is written."""
-    s = trim_blanks(raw)
-    full = F.when(s.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), s).otherwise(F.concat(F.lit("http://"), s))
-    return F.when(s != "", parse(full))
+    def full(s: Column) -> Column:
+        return F.when(s.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), s).otherwise(F.concat(F.lit("http://"), s))
+
+    return let(trim_blanks(raw), lambda s: F.when(s != "", parse(full(s))))
 
 
 def normalize_website(raw: Column) -> Column:
     return render(website_parts(raw))
 
 
-def resolve(href: Column, base: Column) -> Column:
-    """Absolute form of a link found on page ``base``; NULL for fragments, scripts and data."""
-    h = trim_blanks(href)
-    b = parse(base)
-    origin = F.concat(b["scheme"], F.lit("://"), b["host"], b["port"])
-    folder = F.regexp_replace(b["path"], "[^/]*$", "")
-    target = (
-        F.when(h.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(b["scheme"], F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin, h))
-        .when(h.startswith("?"), F.concat(origin, b["path"], h))
-        .otherwise(F.concat(origin, folder, h))
+def resolve(href: Column, base_parts: Column) -> Column:
+    """Absolute form of a link found on the page parsed as ``base_parts``; NULL for fragments, scripts and data."""
+    b = base_parts
+
+    def target(h: Column) -> Column:
+        origin = F.concat(b["scheme"], F.lit("://"), b["host"], b["port"])
+        return (
+            F.when(h.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(b["scheme"], F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(origin, h))
+            .when(h.startswith("?"), F.concat(origin, b["path"], h))
+            .otherwise(F.concat(origin, F.regexp_replace(b["path"], "[^/]*$", ""), h))
+        )
+
+    def absolute(t: Column) -> Column:
+        return F.when(
+            t.rlike("(?i)^https?://"), F.concat(render(parse(t)), F.regexp_extract(t, "(#.*)$", 1))
+        ).otherwise(t)
+
+    return let(
+        trim_blanks(href),
+        lambda h: F.when(
+            (h != "") & ~h.startswith("#") & ~h.rlike("(?i)^(javascript|data):"), let(target(h), absolute)
+        ),
     )
-    fragment = F.regexp_extract(target, "(#.*)$", 1)
-    web = target.rlike("(?i)^https?://")
-    absolute = F.when(web, F.concat(render(parse(target)), fragment)).otherwise(target)
-    return F.when((h != "") & ~h.startswith("#") & ~h.rlike("(?i)^(javascript|data):"), absolute)
 
 
 def bare_host(host: Column) -> Column:
@@ -98,14 +121,16 @@ def bare_host(host: Column) -> Column:
 
 def registrable_domain(host: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(F.lower(host), r"\.$", ""), r"^www\.", "")
-    parts = F.split(clean, r"\.")
-    n = F.size(parts)
-    last_two = F.array_join(F.slice(parts, -2, 2), ".")
-    return (
-        F.when(n <= 2, clean)
-        .when(last_two.isin(PL.TWO_LEVEL_SUFFIXES), F.array_join(F.slice(parts, -3, 3), "."))
-        .otherwise(last_two)
-    )
+
+    def shorten(parts: Column) -> Column:
+        last_two = F.array_join(F.slice(parts, -2, 2), ".")
+        return (
+            F.when(F.size(parts) <= 2, F.array_join(parts, "."))
+            .when(last_two.isin(PL.TWO_LEVEL_SUFFIXES), F.array_join(F.slice(parts, -3, 3), "."))
+            .otherwise(last_two)
+        )
+
+    return let(F.split(clean, r"\."), shorten)
 
 
 def canonical_social(parts: Column) -> Column:
@@ -129,9 +154,11 @@ def host_label(url: Column) -> Column:
 
 
 def host_suffixes(host: Column) -> Column:
-    parts = F.split(F.regexp_replace(F.lower(host), r"\.$", ""), r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+    return let(
+        F.split(F.regexp_replace(F.lower(host), r"\.$", ""), r"\."),
+        lambda parts: F.transform(
+            F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+        ),
     )
 
 
@@ -165,14 +192,17 @@ def is_not_own_site(kind: Column) -> Column:
 
 def contact_type(parts: Column) -> Column:
     """Contact type a link stands for, NULL when the host is no known platform."""
-    p = platform(parts["host"], parts["path"])
     by_label = F.create_map(*[F.lit(x) for kv in PL.CONTACT_TYPE_BY_LABEL.items() for x in kv])
-    return F.when(
-        p.isNotNull(),
-        F.when((p["kind"] == "MESSAGING") & parts["host"].rlike(r"whatsapp|wa\.me|wa\.link"), "WHATSAPP")
-        .when(p["kind"].isin("BOOKING_PLATFORM", "DELIVERY"), "BOOKING_PAGE")
-        .otherwise(F.coalesce(by_label[p["label"]], F.lit("OTHER"))),
-    )
+
+    def kind(u: Column, p: Column) -> Column:
+        return F.when(
+            p.isNotNull(),
+            F.when((p["kind"] == "MESSAGING") & u["host"].rlike(r"whatsapp|wa\.me|wa\.link"), "WHATSAPP")
+            .when(p["kind"].isin("BOOKING_PLATFORM", "DELIVERY"), "BOOKING_PAGE")
+            .otherwise(F.coalesce(by_label[p["label"]], F.lit("OTHER"))),
+        )
+
+    return let(parts, lambda u: let(platform(u["host"], u["path"]), lambda p: kind(u, p)))
 
 
 def social_profile(parts: Column) -> Column:

@@ -9,6 +9,7 @@ from ..rules import patterns as P
 from ..rules.platforms import BOOKING_HOSTS
 from ..rules.regex import ansi
 from .registry import query
+from .stages import staged
 from .sqltext import values
 from .text_queries import PLATFORM_VALUES, _squeeze, _trim
 
@@ -54,7 +55,7 @@ lk as (select *, regexp_replace(regexp_extract(href, '://([^/?#]*)', 1), '^www\\
 
 
 def _feats(t):
-    return PG.features(t[PAGE])
+    return staged(t, "page_features", lambda: PG.features(t[PAGE]))
 
 
 def _count(name, cond="true"):
@@ -69,7 +70,7 @@ def _meta(name):
 select page_id, nullif({_squeeze(_unesc("regexp_extract(clean, '(?is)<title[^>]*>(.*?)</title\\s*>', 1)"))}, '') as title,
  nullif({_trim(_unesc(_meta('description')))}, '') as description, {_trim(_meta('viewport'))} as viewport, {_meta('generator')} as generator, lower({_meta('robots')}) as robots,
  (select nullif(any_value({_attr('raw', 'lang')}), '') from tg where tg.page_id = br.page_id and name = 'html') as lang,
- {_count("= 'h1'")} as h1_count, {_count("= 'img'", _attr('raw', 'src') + ' is not null or ' + _attr('raw', 'data-src') + ' is not null')} as images,
+ {_count("= 'h1'")} as h1_count, {_count("= 'img'", '(' + _attr('raw', 'src') + ' is not null or ' + _attr('raw', 'data-src') + ' is not null)')} as images,
  {_count("= 'script'", _attr('raw', 'src') + ' is not null')} as scripts, {_count("= 'script'", _attr('raw', 'src') + ' is null')} as inline_scripts,
  {_count("= 'iframe'")} as iframes, (select count(*) from lk where lk.page_id = br.page_id) as links, (select count(*) from lk where lk.page_id = br.page_id and internal) as internal_links,
  (select count(*) from an0 where an0.page_id = br.page_id and starts_with(raw, 'tel:')) as tel, (select coalesce(max('ventas@tienda.es'), '') from an0 where an0.page_id = br.page_id and starts_with(raw, 'mailto:')) as mailto,
