@@ -16,7 +16,7 @@ from .text_queries import PLATFORM_VALUES, _squeeze, _trim
 PAGE = "fx_page"
 A = """((?:[^''">]|"[^"]*"|''[^'']*'')*)"""
 HIDDEN = ["script", "style", "noscript", "svg", "template", "iframe"]
-_ENT = [("&iacute;", "í"), ("&uacute;", "ú"), ("&oacute;", "ó"), ("&eacute;", "é"), ("&copy;", "©"), ("&#8211;", "–"), ("&nbsp;", "\u00a0"),
+_ENT = [("&iacute;", "í"), ("&uacute;", "ú"), ("&oacute;", "ó"), ("&eacute;", "é"), ("&copy;", "©"), ("&#8211;", "–"), ("&nbsp;", "\u00a0"), ("&middot;", "·"),
         ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]
 
 
