@@ -10,7 +10,7 @@ from .fixtures import AS_OF, now
 from .registry import query
 
 E = "fx_lead_event"
-_FOUND = "(150 + scan_id * 3)"
+_FOUND = "(50 + scan_id * 3)"
 
 
 def lead_events(raw: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def lead_events(raw: DataFrame) -> DataFrame:
     eid = F.col("event_id")
     return raw.select(
         "event_id", "ts", F.col("user_id").alias("business_id"), kind.alias("kind"), (eid % 40).alias("scan_id"), sku.alias("sku"),
-        (150 + (eid % 40) * 3).alias("total_found"),
+        (50 + (eid % 40) * 3).alias("total_found"),
         F.when(eid % 5 == 0, "WON").when(eid % 5 == 1, "INTERESTED").alias("lead_status"), (eid % 3 == 0).alias("mark_contacted"),
         (eid % 2 == 0).alias("reschedule"), F.when(eid % 4 == 0, F.col("ts") + F.expr("interval 36 hours")).alias("follow_up_at"))
 
@@ -39,10 +39,10 @@ fup as (select business_id, fu from (select *, row_number() over (partition by b
 """
 
 
-@query("stream_scan_progress", (), "select scan_id, count(*) filter (where kind='JOB_DONE') as analyzed, count(*) filter (where kind='JOB_FAILED') as failed, count(*) as processed, least(100, count(*) * 100 // (150 + scan_id * 3)) as percent from le where kind in ('JOB_DONE','JOB_FAILED') group by scan_id", _LE)
+@query("stream_scan_progress", (), "select scan_id, count(*) filter (where kind='JOB_DONE') as analyzed, count(*) filter (where kind='JOB_FAILED') as failed, count(*) as processed, least(100, count(*) * 100 // (50 + scan_id * 3)) as percent from le where kind in ('JOB_DONE','JOB_FAILED') group by scan_id", _LE)
 def stream_scan_progress(t):
     rows = LV.run_to_table(LV.scan_progress(_stream(t)), "scan-progress", "update", ["scan_id"])
-    return LV.with_percent(rows, 150 + F.col("scan_id") * 3)
+    return LV.with_percent(rows, 50 + F.col("scan_id") * 3)
 
 
 @query("stream_scan_done", (), f"select scan_id, case when count(*) filter (where kind='JOB_FAILED') > 0 then 'COMPLETED_WITH_ERRORS' else 'COMPLETED' end as status, count(*) as processed from le where kind in ('JOB_DONE','JOB_FAILED') group by scan_id having count(*) >= {_FOUND}", _LE)
