@@ -90,8 +90,7 @@ def visible_text(html: Column) -> Column:
     """Body text without hidden elements, blocks separated by one space."""
     out = F.regexp_replace(html, r"(?is)^.*?<body\b[^>]*>", "")
     out = F.regexp_replace(out, r"(?is)</body\s*>.*$", "")
-    for name in HIDDEN_ELEMENTS:
-        out = F.regexp_replace(out, rf"(?is)<{name}\b{_ATTRS}>.*?(</{name}\s*>|$)", "")
+    out = F.regexp_replace(out, rf"(?is)<({'|'.join(HIDDEN_ELEMENTS)})\b{_ATTRS}>.*?(</\1\s*>|$)", "")
     out = F.regexp_replace(out, rf"(?i)</(?:{'|'.join(BLOCK_ELEMENTS)})\s*>|<(?:{'|'.join(SELF_CLOSING_BLOCKS)})\b[^>]*>", " ")
     return T.squeeze(_settled(F.regexp_replace(out, _TAG, "")))
 
@@ -407,9 +406,11 @@ def page_columns(html: Column, url: Column) -> list[dict[str, Column]]:
         "h1": F.filter(F.transform(_blocks(bare, "h1"), lambda b: inner_text(b["body"])), lambda x: x != ""),
         "h1_count": F.size(opening(all_tags, "h1")),
         "_buttons": _blocks(bare, "button"),
-        "deprecated_tags": F.filter(
-            F.array(*[F.lit(t) for t in P.DEPRECATED_TAGS]),
-            lambda name: F.exists(all_tags, lambda t: (t["name"] == name) & ~t["closing"]),
+        "deprecated_tags": T.let(
+            F.transform(opening(all_tags, *P.DEPRECATED_TAGS), lambda t: t["name"]),
+            lambda used: F.filter(
+                F.array(*[F.lit(t) for t in P.DEPRECATED_TAGS]), lambda name: F.array_contains(used, name)
+            ),
         ),
         "uses_flash": F.exists(
             opening(all_tags, "embed", "object"),

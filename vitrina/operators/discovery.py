@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,8 +115,10 @@ def worklist(found: DataFrame, business: DataFrame, jobs: DataFrame, as_of: Colu
 
 
 def _ignored(host: Column, domain: Column) -> Column:
-    return reduce(
-        lambda a, b: a | b, [(domain == d) | host.endswith("." + d) for d in SEARCH_IGNORE_DOMAINS]
+    """Directories, marketplaces and news sites: the domain itself or any host below a listed name."""
+    parents = F.slice(U.host_suffixes(host), 2, 20)
+    return domain.isin(SEARCH_IGNORE_DOMAINS) | F.arrays_overlap(
+        parents, F.array(*[F.lit(d) for d in SEARCH_IGNORE_DOMAINS])
     )
 
 

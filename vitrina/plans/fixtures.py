@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..rules.platforms import flat_platforms
+from ..session import spread
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 ]
+TEXT_TABLES = ["documents", "pages"]
 AS_OF = "2024-01-15 12:00:00"
 
 
@@ -315,6 +317,8 @@ class _Tables(dict):
             df = self.spark.sql(text, **used)
         else:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name in TEXT_TABLES:
+                df = spread(df)
         self[name] = df
         return df
 
