@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..rules import scoring as S
 from ..rules.categories import CATEGORIES, NO_CATEGORY_LABEL
+from .literals import lookup
 
 
 def label(pairs: dict[str, str], key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[key]
+    return lookup(pairs, key)
 
 
 def category_label(key: Column, lang: str = "es") -> Column:

@@ -17,6 +17,7 @@ from ..rules.regex import java
 from . import hours as H
 from . import text as T
 from . import url as U
+from .literals import literal_array, lookup
 
 _ATTRS = r"""((?:[^'">]++|"[^"]*+"|'[^']*+')*+)"""
 _TAG = rf"</?[a-zA-Z]{_ATTRS}>"
@@ -35,10 +36,6 @@ WEEKDAYS = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "s
 # --- end of fixed values ---------------------------------------------------------------------
 
 
-def _pick(table: dict[str, str], key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
-
-
 # Decoded characters that would read as markup wait as private-use characters until the tags are cut out.
 _MARKUP, _WAITING = "<>\"'", "\ue000\ue001\ue002\ue003"
 
@@ -54,7 +51,7 @@ def decode_references(c: Column) -> Column:
         plain = (
             F.when(ref.rlike("^#[0-9]"), char_of(F.substring(ref, 2, 9).try_cast("bigint")))
             .when(ref.rlike("^#[xX]"), char_of(F.conv(F.substring(ref, 3, 9), 16, 10).try_cast("bigint")))
-            .otherwise(_pick(named, ref))
+            .otherwise(lookup(named, ref))
         )
         return F.translate(plain, _MARKUP, _WAITING)
 
@@ -202,7 +199,7 @@ def _node_facts(nodes: Column) -> Column:
         return F.array_distinct(F.transform(values, lambda v: F.variant_get(v, "$", "string")))
 
     specs = F.flatten(F.transform(nodes, lambda n: _as_list(n, "$.openingHoursSpecification")))
-    names = F.array(*[F.lit(d) for d in WEEKDAYS])
+    names = literal_array(WEEKDAYS)
 
     def spec_periods(s: Column) -> Column:
         opens = F.try_variant_get(s, "$.opens", "string")
@@ -409,7 +406,7 @@ def page_columns(html: Column, url: Column) -> list[dict[str, Column]]:
         "deprecated_tags": T.let(
             F.transform(opening(all_tags, *P.DEPRECATED_TAGS), lambda t: t["name"]),
             lambda used: F.filter(
-                F.array(*[F.lit(t) for t in P.DEPRECATED_TAGS]), lambda name: F.array_contains(used, name)
+                literal_array(P.DEPRECATED_TAGS), lambda name: F.array_contains(used, name)
             ),
         ),
         "uses_flash": F.exists(
@@ -479,7 +476,7 @@ def page_columns(html: Column, url: Column) -> list[dict[str, Column]]:
         ).otherwise(F.array().cast("array<string>")),
     }
     booking_host = lambda u: F.get(
-        F.filter(F.array(*[F.lit(h) for h in BOOKING_HOSTS]), lambda h: F.contains(F.lower(u), h)), F.lit(0))
+        F.filter(literal_array(BOOKING_HOSTS), lambda h: F.contains(F.lower(u), h)), F.lit(0))
     signal = lambda u, lab: F.struct(u.cast("string").alias("url"), lab.cast("string").alias("label"))
 
     def link_signals(x: Column) -> Column:

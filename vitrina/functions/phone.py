@@ -5,21 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .literals import literal_array
 from .text import let
-from ..rules.phones import PHONE_PLANS, PhonePlan
+from ..rules.phones import PHONE_PLANS
 
 _CANDIDATE = r"(?:^|[^0-9+A-Za-z])((?:\+|00)?[(]?[0-9](?:[ ().-]?[0-9]){7,14})(?![0-9])"
 
 
-def _plan_struct(p: PhonePlan) -> Column:
-    return F.struct(
-        F.lit(p.country).alias("country"), F.lit(p.calling_code).alias("code"), F.lit(p.min_len).alias("lo"),
-        F.lit(p.max_len).alias("hi"), F.lit(p.trunk).alias("trunk"), F.lit(p.valid).alias("valid"),
-    )
-
-
 def _plans() -> Column:
-    return F.array(*[_plan_struct(p) for p in PHONE_PLANS])
+    return literal_array(
+        {"country": p.country, "code": p.calling_code, "lo": p.min_len, "hi": p.max_len, "trunk": p.trunk, "valid": p.valid}
+        for p in PHONE_PLANS
+    )
 
 
 def _parsed(raw: Column, country: Column) -> Column:

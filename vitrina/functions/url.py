@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import platforms as PL
+from .literals import literal_map
 from .text import let, trim_blanks
 
 _SPLIT = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -168,13 +169,10 @@ def platform(host: Column, path: Column, rules: list[tuple[int, str, str, str]]
     The rule table is a constant map, looked up once per host suffix: a projection, no join and no shuffle.
     """
     rules = rules or PL.flat_platforms()
-    entries: list[Column] = []
+    first: dict[str, dict] = {}
     for seq, domain, kind, label in rules:
-        entries += [
-            F.lit(domain),
-            F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), F.lit(label).alias("label")),
-        ]
-    table = F.create_map(*entries)
+        first.setdefault(domain, {"seq": seq, "kind": kind, "label": label})
+    table = literal_map(first)
     under_maps = path.startswith("/maps")
     hits = F.filter(
         F.transform(
@@ -192,7 +190,7 @@ def is_not_own_site(kind: Column) -> Column:
 
 def contact_type(parts: Column) -> Column:
     """Contact type a link stands for, NULL when the host is no known platform."""
-    by_label = F.create_map(*[F.lit(x) for kv in PL.CONTACT_TYPE_BY_LABEL.items() for x in kv])
+    by_label = literal_map(PL.CONTACT_TYPE_BY_LABEL)
 
     def kind(u: Column, p: Column) -> Column:
         return F.when(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import url as U
+from ..functions.literals import literal_array
 from ..rules.categories import CATEGORIES
 from ..rules.platforms import SEARCH_IGNORE_DOMAINS
 
@@ -29,7 +30,7 @@ def split_request(categories: Column, all_categories: Column) -> Column:
 def infer_category(types: Column, hint: Column | None = None) -> Column:
     """First catalogue entry sharing a type with the place; a valid hint goes first."""
     by_type = F.coalesce(*[
-        F.when(F.arrays_overlap(types, F.array(*[F.lit(x) for x in c.place_types])), F.lit(c.key))
+        F.when(F.arrays_overlap(types, literal_array(c.place_types)), F.lit(c.key))
         for c in CATEGORIES
     ])
     if hint is None:
@@ -118,7 +119,7 @@ def _ignored(host: Column, domain: Column) -> Column:
     """Directories, marketplaces and news sites: the domain itself or any host below a listed name."""
     parents = F.slice(U.host_suffixes(host), 2, 20)
     return domain.isin(SEARCH_IGNORE_DOMAINS) | F.arrays_overlap(
-        parents, F.array(*[F.lit(d) for d in SEARCH_IGNORE_DOMAINS])
+        parents, literal_array(SEARCH_IGNORE_DOMAINS)
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import literal_map as _map
 from ..functions.text import public_entity
 from ..rules.categories import CATEGORIES
 from ..rules.recommendations import HIDDEN_WITHOUT_SITE, NEW_SITE_OFFERS, REC_RULES, THIRD_PARTY_CODES
@@ -14,10 +15,6 @@ from .findings import finding
 KEY = "business_id"
 
 
-def _map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-
-
 def rule_table(spark) -> DataFrame:
     """(place, trigger place, code, product, title, trigger): one row per trigger, about eighty rows in all."""
     rows = [

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import lookup as _lookup
 from ..rules import scoring as S
 from ..rules.categories import CATEGORIES
 from ..rules.recommendations import THIRD_PARTY_CODES
@@ -16,10 +17,6 @@ KEY = "business_id"
 _SHAPE = [KEY, "ord", "component", "points", "reason", "codes", "inferred"]
 
 
-def _lookup(pairs: dict, key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[key]
-
-
 def _row(block: int, component: str, points: Column, reason: Column, codes: Column, inferred: Column,
          offset: Column | None = None) -> list[Column]:
     place = F.lit(block * 1_000_000) + (offset if offset is not None else F.lit(0))

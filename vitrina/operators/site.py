@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
+from ..functions.literals import literal_map as _map
 from ..rules import patterns as P
 from ..rules.platforms import PARKING_HOSTS
 from ..rules.regex import java
@@ -20,10 +21,6 @@ _RETRY_SLOW = ["TIMEOUT", "DNS_TEMPORARY", "CONNECTION_RESET"]
 _TRY_OTHER = ["CONNECTION_REFUSED", "TIMEOUT", "CONNECTION_RESET", "HOST_UNREACHABLE", "TLS_ERROR"]
 
 
-def _map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-
-
 def attempts_by_site(captures: DataFrame, key: str) -> DataFrame:
     """One row per site with its fetch attempts side by side (a site has a handful of attempts)."""
     cols = [c for c in captures.columns if c not in (key, "purpose")]

@@ -18,6 +18,8 @@ def builder(app: str = "vitrina", master: str | None = None) -> SparkSession.Bui
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # wide column lists are built by many small calls; do not record a stack for each
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     return b.master(master) if master else b
 
