@@ -27,11 +27,13 @@ def builder(app: str = "vitrina", master: str | None = None) -> SparkSession.Bui
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster names one.
 
-    Only where it is unset (a local test session) is a temporary folder made and recorded.
+    Only where it is unset and the session is a local one, with no other machine, is a temporary folder made and recorded.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         existing = spark.sparkContext.getCheckpointDir()
+        if not existing and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = existing or tempfile.mkdtemp(prefix="vitrina-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
