@@ -24,7 +24,6 @@ null component. Ties and repeated rows need no rule. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,24 +35,16 @@ from vitrina.llm.base import components, prepare, stored
 
 N, BUCKET_BITS = 5, 20
 BUCKETS, SLICES = 1 << BUCKET_BITS, 64
+FILTER_BITS = 23
 FIRST_PIVOTS, GROWTH, PACK = 2, 4, 256
-MEMORY = 500_000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
-_ODD = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(N + 2)]
-
-
-class _Hashes(dict):
-    """64-bit hashes of words met so far in this worker."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        return h
-
-
-_hashes = _Hashes()
+MEASURED = ["doc_id", "n", "key1", "key2", "slice", "counts"]
+_ODD = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(N + 3)]
+# a 64-bit value for each byte, A-Z like a-z; 0 for the six bytes that end a word
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.array([0 if _BLANK[i] else int.from_bytes(hashlib.blake2b(bytes([0, i + 32 if 65 <= i <= 90 else i]), digest_size=8).digest(), "little")
+                  for i in range(256)], np.uint64)
+AT_ONCE = 1 << 20  # bytes of text hashed in one go
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -62,74 +53,159 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def members(text: str | None) -> np.ndarray:
-    """Sorted hashes of a document's set."""
-    words = _WORD.findall(text.translate(_UPPER)) if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = min(N, len(words))
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word: the sum of its bytes' values, each times an odd number to the power of its place in the word."""
+    code = np.frombuffer(data, np.uint8)
+    blank = _BLANK[code]
+    edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    if not len(start):
+        return start, np.zeros(0, np.uint64)
+    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(length.max()), _ODD[N + 2])]))
+    held = np.flatnonzero(~blank)
+    first = np.concatenate([[0], np.cumsum(length)[:-1]])
+    value = _BYTE[code[held]] * power[held - np.repeat(start, length)]
+    return start, _mixed(np.add.reduceat(value, first))
+
+
+def _cut(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Pieces of about AT_ONCE bytes that end behind a blank (or are one long word)."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + AT_ONCE)
+        while end < len(data) and not _BLANK[data[end - 1]]:
+            end += 1
+        yield at, data[at:end]
+        at = end
+
+
+def set_of(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of the runs of N words (of all words, if fewer)."""
+    if not len(h):
+        return h
+    n = min(N, len(h))
     runs = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
-        runs = runs * _ODD[i] + _mixed(h[i:len(h) - n + 1 + i])
-    return np.unique(_mixed(runs))
+        runs = runs * _ODD[i] + h[i:len(h) - n + 1 + i]
+    runs = np.sort(_mixed(runs))
+    return runs[np.concatenate([[True], runs[1:] != runs[:-1]])]
+
+
+def member_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted hashes of the set of each text; the words of many short texts are hashed together."""
+    coded = [t.encode() + b"\n" if t else b"\n" for t in texts]
+    bounds = np.cumsum([len(c) for c in coded])
+    starts, hashes = [], []
+    for at, piece in _cut(b"".join(coded)):
+        start, h = _word_hashes(piece)
+        starts.append(start + at)
+        hashes.append(h)
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    ends = np.searchsorted(np.concatenate(starts), bounds) if hashes else np.zeros(len(texts), np.int64)
+    return [set_of(h[a:b]) for a, b in zip(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, strict=True)]
+
+
+def members(text: str | None) -> np.ndarray:
+    return member_sets([text])[0]
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """How many members of sets fall into each bucket: summed by Spark, BUCKETS numbers whatever the size of the corpus."""
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, n, key1, key2 (of the set) of every row; and, with a slice, how many members fall into each bucket of it.
+
+    The counts are BUCKETS numbers per task, whatever the size of the corpus.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int32)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(total, _bucket(members(text)), 1)
+            sets = member_sets(batch.column("text").to_pylist())
+            if not sets:
+                continue
+            total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS).astype(np.int32)
+            keys = np.frombuffer(b"".join(hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets), np.int64)
+            none = pa.nulls(len(sets))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(keys[::2]), pa.array(keys[1::2]),
+                 none.cast(pa.int32()), none.cast(pa.binary())], MEASURED)
         if total.any():
-            parts = total.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                                             ["slice", "counts"])
+            none = pa.nulls(SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, none, pa.array(range(SLICES), pa.int32()),
+                 pa.array([p.tobytes() for p in total.reshape(SLICES, -1)], pa.binary())], MEASURED)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, n long, key1 long, key2 long, slice int, counts binary")
+
+
+def bucket_counts(rows: DataFrame) -> np.ndarray:
+    """The counts of ``measured`` summed by Spark, slice by slice."""
 
     def add(tab: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.int64) for c in tab.column("counts").to_pylist())
+        total = np.zeros(BUCKETS // SLICES, np.int64)
+        for c in tab.column("counts"):
+            total += np.frombuffer(c.as_py(), np.int32)
         return pa.table({"slice": tab.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
     out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    parts = rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary")
     for r in parts.collect():
         out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     return out.ravel()
 
 
 def _in_order(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    return h[np.lexsort((h, rank[_bucket(h)]))]
+    return h[np.argsort(rank[_bucket(h)], kind="stable")]  # h is sorted
 
 
-def set_rows(docs: DataFrame, rank, whole: bool) -> DataFrame:
-    """doc_id, n, key1, key2 (of the set), and members in global order: the prefix, or all if ``whole``."""
+def set_rows(docs: DataFrame, rank, few=None) -> DataFrame:
+    """doc_id, n, and members in global order: the prefix; or all, for the documents that the filter ``few`` lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rank.value
         for batch in batches:
-            sizes, keys, out = [], [], []
-            for text in batch.column("text").to_pylist():
-                h = members(text)
-                sizes.append(len(h))
-                d = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-                keys.append(np.frombuffer(d, np.int64))
-                full = _in_order(h, order)
-                out.append((full if whole else full[:len(h) // 4 + 1] if len(h) else full).view(np.int64))
+            if few is not None:
+                batch = batch.filter(pa.array(few.value[_place(batch.column("doc_id").to_numpy())]))
+            sets = member_sets(batch.column("text").to_pylist())
+            out = [_in_order(h, order)[:len(h) if few is not None else len(h) // 4 + 1].view(np.int64) for h in sets]
             at = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
             flat = np.concatenate(out) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
-                 pa.array([k[1] for k in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                ["doc_id", "n", "key1", "key2", "members"])
+                [batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                ["doc_id", "n", "members"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n long, key1 long, key2 long, members array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(
+        run, "doc_id long, n long, members array<long>")
+
+
+def _place(ids: np.ndarray) -> np.ndarray:
+    return (_mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A hashed filter of fixed size that lets all ``ids`` (column doc_id) through, and of others the fewer the less it is filled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            seen[_place(batch.column("doc_id").to_numpy())] = True
+        for i, part in enumerate(seen.reshape(SLICES, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary())],
+                                                 ["slice", "bits"])
+
+    def unite(tab: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(b.as_py(), np.uint8) for b in tab.column("bits")])
+        return pa.table({"slice": tab.column("slice")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    out = np.zeros((SLICES, (1 << FILTER_BITS) // SLICES), bool)
+    parts = ids.select("doc_id").mapInArrow(run, "slice int, bits binary").groupBy("slice").applyInArrow(unite, "slice int, bits binary")
+    for r in parts.collect():
+        out[r["slice"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return out.ravel()
 
 
 def linked(common: int, a: int, b: int) -> bool:
@@ -198,18 +274,19 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     prepare(spark)
-    counts = bucket_counts(docs)
+    all_rows = stored(measured(docs), "ngram-rows")
+    counts = bucket_counts(all_rows)
     rank = spark.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
-    prefixes = stored(set_rows(docs, rank, whole=False), "ngram-prefixes")
-    rows = prefixes.select("doc_id", "n", "key1", "key2")
+    rows = all_rows.where("slice is null").select("doc_id", "n", "key1", "key2")
+    posted = set_rows(docs, rank).where("n > 0").select("doc_id", "n", F.explode("members").alias("member"))
+    size = F.count("*").over(Window.partitionBy("member"))
+    shared = posted.withColumn("size", size).where("size > 1").drop("size")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("node"))
-    first = prefixes.where("n > 0").join(classes, ["key1", "key2"]).where("doc_id = node").dropDuplicates(["key1", "key2"])
-    run = Window.partitionBy("member")
-    posted = first.select("node", "n", F.explode("members").alias("member")).withColumn("size", F.count("*").over(run))
-    runs = stored(posted.where("size > 1").select("member", "node", "n"), "ngram-runs")
-    wanted = runs.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(set_rows(docs.join(wanted, "doc_id", "left_semi"), rank, whole=True).dropDuplicates(["doc_id", "key1", "key2"]).select(
-        "doc_id", "members"), "ngram-sets")
+    others = rows.join(classes, ["key1", "key2"]).where("doc_id <> node").select("doc_id").distinct()
+    runs = stored(shared.join(others, "doc_id", "left_anti").withColumn("size", size).where("size > 1").select(
+        "member", F.col("doc_id").alias("node"), "n"), "ngram-runs")
+    few = spark.sparkContext.broadcast(id_filter(runs.select(F.col("node").alias("doc_id")).distinct()))
+    sets = stored(set_rows(docs, rank, few).select("doc_id", "members"), "ngram-sets")
     links, labels, done, pivots = None, None, 0, FIRST_PIVOTS
     while True:
         named = runs if labels is None else runs.join(labels, "node", "left")
