@@ -13,6 +13,9 @@ member form a run. Runs are compared in rounds: the first sets of each run, the
 another component by then; pivots grow fourfold per round, until each pair of each run has been compared or is known to be
 connected. So a large group of near copies costs about one comparison per member and pivot, not all pairs, and nothing is capped.
 
+Before two sets are fetched, their profiles are compared: how many members fall into each of 256 classes by hash. The sum of
+the smaller counts is at least the overlap, so pairs below the needed overlap are left out without loss.
+
 Comparison. The sets that meet one pivot are cut into packs of bounded size. A pack is a trie, its sets in the global order: a
 depth-first walk keeps how much of the shared prefix the pivot holds, so shared prefixes are met once, and a subtree is left
 as soon as what is held and the members still to come cannot reach the overlap that 100 * common >= 75 * union needs.
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +40,9 @@ from vitrina.llm.base import components, prepare, stored
 N, BUCKET_BITS = 5, 20
 BUCKETS, SLICES = 1 << BUCKET_BITS, 64
 FILTER_BITS = 23
+FULL = b"\xff" * 512
 FIRST_PIVOTS, GROWTH, PACK = 2, 4, 256
-MEASURED = ["doc_id", "n", "key1", "key2", "slice", "counts"]
+MEASURED = ["doc_id", "n", "key1", "key2", "profile", "slice", "counts"]
 _ODD = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(N + 3)]
 # a 64-bit value for each byte, A-Z like a-z; 0 for the six bytes that end a word
 _BLANK = np.zeros(256, bool)
@@ -113,8 +118,14 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _profile(h: np.ndarray) -> bytes | None:
+    """Members in each of 256 classes; None if a count is too large for its two bytes (such a set is always compared)."""
+    counts = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256)
+    return counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else None
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key1, key2 (of the set) of every row; and, with a slice, how many members fall into each bucket of it.
+    """doc_id, n, key1, key2 and profile (of the set) of every row; and, with a slice, how many members fall into each bucket of it.
 
     The counts are BUCKETS numbers per task, whatever the size of the corpus.
     """
@@ -130,15 +141,15 @@ def measured(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(keys[::2]), pa.array(keys[1::2]),
-                 none.cast(pa.int32()), none.cast(pa.binary())], MEASURED)
+                 pa.array([_profile(h) for h in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], MEASURED)
         if total.any():
             none = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(range(SLICES), pa.int32()),
+                [none, none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()),
                  pa.array([p.tobytes() for p in total.reshape(SLICES, -1)], pa.binary())], MEASURED)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n long, key1 long, key2 long, slice int, counts binary")
+        run, "doc_id long, n long, key1 long, key2 long, profile binary, slice int, counts binary")
 
 
 def bucket_counts(rows: DataFrame) -> np.ndarray:
@@ -247,6 +258,24 @@ def trie_walk(pivot: np.ndarray, sets: list[np.ndarray], rank: np.ndarray) -> li
     return found
 
 
+def possible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose profiles leave room for the overlap that a link needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)
+            x, y = (np.frombuffer(b"".join(p or FULL for p in side), "<u2").reshape(-1, 256) for side in zip(*rows, strict=True)
+                    ) if len(batch) else (np.zeros((0, 256)), np.zeros((0, 256)))
+            room = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            need = 75 * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+            unknown = pa.compute.or_(batch.column("pa").is_null(), batch.column("pb").is_null()).to_numpy(zero_copy_only=False)
+            yield batch.select(["a", "b"]).filter(pa.array((175 * room >= need) | unknown))
+
+    one = profiles.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+    two = profiles.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, rank) -> DataFrame:
     """The pairs (a, b) that link. Each pivot's partners come in packs of about PACK, each a trie of its own."""
     load = pairs.groupBy("a").agg(F.count("*").alias("partners"))
@@ -285,8 +314,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     others = rows.join(classes, ["key1", "key2"]).where("doc_id <> node").select("doc_id").distinct()
     runs = stored(shared.join(others, "doc_id", "left_anti").withColumn("size", size).where("size > 1").select(
         "member", F.col("doc_id").alias("node"), "n"), "ngram-runs")
-    few = spark.sparkContext.broadcast(id_filter(runs.select(F.col("node").alias("doc_id")).distinct()))
-    sets = stored(set_rows(docs, rank, few).select("doc_id", "members"), "ngram-sets")
+    profiles = all_rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "profile")
     links, labels, done, pivots = None, None, 0, FIRST_PIVOTS
     while True:
         named = runs if labels is None else runs.join(labels, "node", "left")
@@ -296,8 +324,10 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         heads = listed.where((F.col("no") > done) & (F.col("no") <= done + pivots)).select(
             "member", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("no").alias("noa"))
         pairs = listed.join(heads, "member").where("no > noa and label <> la and node <> a and 4 * least(n, na) >= 3 * greatest(n, na)")
-        pairs = stored(pairs.select("a", F.col("node").alias("b")).distinct(), "ngram-pairs")
+        pairs = stored(possible(pairs.select("a", F.col("node").alias("b")).distinct(), profiles), "ngram-pairs")
         if not pairs.isEmpty():
+            few = spark.sparkContext.broadcast(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
+            sets = stored(set_rows(docs, rank, few).select("doc_id", "members"), "ngram-sets")
             new = stored(verified(pairs, sets, rank), "ngram-links")
             links = new if links is None else links.union(new)
             labels = stored(components(links), "ngram-labels")
