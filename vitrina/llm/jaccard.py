@@ -98,6 +98,8 @@ def set_of(h: np.ndarray) -> np.ndarray:
 
 def member_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Sorted hashes of the set of each text; the words of many short texts are hashed together."""
+    if not texts:
+        return []
     coded = [t.encode() + b"\n" if t else b"\n" for t in texts]
     bounds = np.cumsum([len(c) for c in coded])
     starts, hashes = [], []
