@@ -4,7 +4,7 @@ Sets. A text is lower-cased (A-Z) and cut into words; its set is its distinct ru
 sequence is the one member; without words or text the set is empty and links with nothing). A member is a 64-bit hash.
 Documents with equal sets form a class, and one set stands for each class from here on.
 
-Order. All members are ordered by how often their bucket (of 2^20, by hash) occurs in the corpus, rare first, then by hash. Any
+Order. All members are ordered by how often their bucket (of 2^23, by hash) occurs in the corpus, rare first, then by hash. Any
 one order is right; this one puts passages that many documents share last. The counts are an array of fixed size, summed over
 all documents by Spark.
 
@@ -27,6 +27,7 @@ null component. Ties and repeated rows need no rule. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 
 from vitrina.llm.base import components, prepare, stored
 
-N, BUCKET_BITS = 5, 20
+N, BUCKET_BITS = 5, 23
 BUCKETS, SLICES = 1 << BUCKET_BITS, 64
 FILTER_BITS = 23
-FULL = b"\xff" * 512
+FULL = b"\xff" * 256
 FIRST_PIVOTS, GROWTH, PACK = 2, 4, 256
 MEASURED = ["doc_id", "n", "key1", "key2", "profile", "slice", "counts"]
 _ODD = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(N + 3)]
@@ -121,9 +122,9 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def _profile(h: np.ndarray) -> bytes | None:
-    """Members in each of 256 classes; None if a count is too large for its two bytes (such a set is always compared)."""
+    """Members in each of 256 classes; None if a count is too large for its byte (such a set is always compared)."""
     counts = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256)
-    return counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else None
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -133,12 +134,13 @@ def measured(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int32)
+        total = np.zeros(BUCKETS, np.uint8)  # held at 255 in a task: the order needs no more
         for batch in batches:
             sets = member_sets(batch.column("text").to_pylist())
             if not sets:
                 continue
-            total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS).astype(np.int32)
+            bucket, times = np.unique(_bucket(np.concatenate(sets)), return_counts=True)
+            total[bucket] = np.minimum(total[bucket] + times, 255)
             keys = np.frombuffer(b"".join(hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets), np.int64)
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays(
@@ -148,7 +150,7 @@ def measured(docs: DataFrame) -> DataFrame:
             none = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [none, none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()),
-                 pa.array([p.tobytes() for p in total.reshape(SLICES, -1)], pa.binary())], MEASURED)
+                 pa.array([zlib.compress(p.tobytes(), 1) for p in total.reshape(SLICES, -1)], pa.binary())], MEASURED)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n long, key1 long, key2 long, profile binary, slice int, counts binary")
@@ -158,15 +160,15 @@ def bucket_counts(rows: DataFrame) -> np.ndarray:
     """The counts of ``measured`` summed by Spark, slice by slice."""
 
     def add(tab: pa.Table) -> pa.Table:
-        total = np.zeros(BUCKETS // SLICES, np.int64)
+        total = np.zeros(BUCKETS // SLICES, np.int32)
         for c in tab.column("counts"):
-            total += np.frombuffer(c.as_py(), np.int32)
+            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint8)
         return pa.table({"slice": tab.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    out = np.zeros((SLICES, BUCKETS // SLICES), np.int32)
     parts = rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary")
     for r in parts.collect():
-        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+        out[r["slice"]] = np.frombuffer(r["counts"], np.int32)
     return out.ravel()
 
 
@@ -266,7 +268,7 @@ def possible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)
-            x, y = (np.frombuffer(b"".join(p or FULL for p in side), "<u2").reshape(-1, 256) for side in zip(*rows, strict=True)
+            x, y = (np.frombuffer(b"".join(p or FULL for p in side), np.uint8).reshape(-1, 256) for side in zip(*rows, strict=True)
                     ) if len(batch) else (np.zeros((0, 256)), np.zeros((0, 256)))
             room = np.minimum(x, y).sum(axis=1, dtype=np.int64)
             need = 75 * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
@@ -307,7 +309,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prepare(spark)
     all_rows = stored(measured(docs), "ngram-rows")
     counts = bucket_counts(all_rows)
-    rank = spark.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
+    rank = spark.sparkContext.broadcast(counts)
     rows = all_rows.where("slice is null").select("doc_id", "n", "key1", "key2")
     posted = set_rows(docs, rank).where("n > 0").select("doc_id", "n", F.explode("members").alias("member"))
     size = F.count("*").over(Window.partitionBy("member"))
