@@ -104,10 +104,10 @@ def tokens(page: str, by_class: bool = True) -> list[Token]:
             pos, raw = (end.start() if end else len(page)), ""
             continue
         m = _TOKEN.match(page, pos)
-        if m is None:  # a tag that never ends
-            break
         pos = m.end()
         dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        if m["text"] == "<" and page[pos:pos + 1].isascii() and re.match("[A-Za-z/]", page[pos:pos + 1]):  # a tag that never ends
+            break
         if m["text"] is not None:
             where = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body") if not dropped else ""
             key = ("w", where, bool(open_names["a"]))
@@ -147,7 +147,7 @@ def tokens(page: str, by_class: bool = True) -> list[Token]:
     return out
 
 
-def learn(pages: list[str], prior: float = 20.0) -> dict:
+def learn(pages: list[str], prior: float = 10.0) -> dict:
     """Log odds of each kind of word and tag: inside against outside the only <article> of a labelled page.
 
     ``prior`` pseudo-counts stand for what is known without pages: words are text, linked words and tags are not.
@@ -159,10 +159,9 @@ def learn(pages: list[str], prior: float = 20.0) -> dict:
         for t in tokens(page):
             if not t.left_out and t.key != ("t", "article"):
                 (inside if t.labelled else outside)[t.key] += 1 if t.text is None else len(t.text.split())
-    total_in, total_out = sum(inside.values()) + prior, sum(outside.values()) + prior
     weights = {}
     for key in set(inside) | set(outside):
-        odds = math.log((inside[key] + prior * 0.5) / total_in) - math.log((outside[key] + prior * 0.5) / total_out)
+        odds = math.log((inside[key] + prior) / (outside[key] + prior))
         if key[0] == "w":
             base = -1.0 if key[2] else 1.0
             weights[key] = max(-3.0, min(3.0, base + 0.5 * odds)) if key[2] else max(0.2, min(3.0, base + 0.5 * odds))

@@ -152,7 +152,8 @@ def _ordered(docs: DataFrame, rows_per_bucket: int) -> DataFrame:
     ids = rows.select("_at")
     buckets = max(1, -(-ids.count() // rows_per_bucket))
     cut = sorted(set(ids.approxQuantile("_at", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    placed = Bucketizer(splits=[-float("inf"), *cut, float("inf")], inputCol="_at", outputCol="bucket").transform(rows)
+    placed = Bucketizer(splits=[-float("inf"), *cut, float("inf")], inputCol="_at", outputCol="bucket").transform(
+        rows) if cut else rows.withColumn("bucket", F.lit(0.0))
     first_ids = placed.groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first"))
     # one number per bucket: the bounds again, as they are met
     heads = placed.join(F.broadcast(first_ids), "bucket").where(F.coalesce("doc_id", F.lit(LAST)) == F.col("first")).groupBy("bucket").agg(
