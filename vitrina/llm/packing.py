@@ -33,7 +33,7 @@ from vitrina.llm.token_count import load, vocabulary
 
 WINDOW, END, GROUP_WINDOWS = 4096, 2, 384
 FILL, FILL_SHARE = 96, 4
-MEMORY = 500_000
+MEMORY = 800_000
 # white space of Python that the tokenizer does not take for white space
 _ODD = re.compile(r"[\x1c-\x1f]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -49,7 +49,13 @@ class Words(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= MEMORY:
             self.clear()
-        ids = self[word] = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if word[-1] in ".," and word[-2:-1].isalpha():  # always cut between a letter and a mark
+            ids = self[word[:-1]] + self[word[-1]]
+        elif word.isascii() and "<" not in word and word != word.lower():  # the tokenizer knows lower case alone
+            ids = self[word.lower()]
+        else:
+            ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self[word] = ids
         return ids
 
 
