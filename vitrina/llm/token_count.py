@@ -99,7 +99,11 @@ class Units(dict):
     def __missing__(self, unit: str) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        n = self[unit] = len(self.tokenizer.encode(" " + unit, add_special_tokens=False))
+        if unit[-1] in ".," and unit[-2:-1].isalpha():  # always cut between a letter and a mark, which is one token
+            n = self[unit[:-1]] + 1
+        else:
+            n = len(self.tokenizer.encode(" " + unit, add_special_tokens=False))
+        self[unit] = n
         return n
 
 
