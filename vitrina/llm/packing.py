@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,8 @@ class Words(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= MEMORY:
             self.clear()
-        if word[-1] in ".," and word[-2:-1].isalpha():  # always cut between a letter and a mark
+        # always cut between a letter and a mark, if what the tokenizer makes of the letter ends in a letter
+        if word[-1] in ".," and word[-2:-1].isalpha() and normalize("NFC", word[-2]).lower().isalpha():
             ids = self[word[:-1]] + self[word[-1]]
         elif word.isascii() and "<" not in word and word != word.lower():  # the tokenizer knows lower case alone
             ids = self[word.lower()]
