@@ -9,7 +9,8 @@ one order is right; this one puts passages that many documents share last. The c
 all documents by Spark.
 
 Candidates. Two sets that link share a member among the first floor(n / 4) + 1 of each (prefix filter). Sets that share such a
-member form a run. Runs are compared in rounds: the first sets of each run, the pivots, against all later ones that lie in
+member form a run. A pair is met at a member only where both hold enough from there on: at the first member they share, no more
+can be common than the shorter rest of the two, so a pair that links always passes there (positional filter). Runs are compared in rounds: the first sets of each run, the pivots, against all later ones that lie in
 another component by then; pivots grow fourfold per round, until each pair of each run has been compared or is known to be
 connected. So a large group of near copies costs about one comparison per member and pivot, not all pairs, and nothing is capped.
 
@@ -311,23 +312,27 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = bucket_counts(all_rows)
     rank = spark.sparkContext.broadcast(counts)
     rows = all_rows.where("slice is null").select("doc_id", "n", "key1", "key2")
-    posted = set_rows(docs, rank).where("n > 0").select("doc_id", "n", F.explode("members").alias("member"))
+    posted = set_rows(docs, rank).where("n > 0").select("doc_id", "n", F.posexplode("members").alias("place", "member")).select(
+        "member", "doc_id", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("place")).cast("int").alias("rest"))
     size = F.count("*").over(Window.partitionBy("member"))
     shared = posted.withColumn("size", size).where("size > 1").drop("size")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("node"))
     others = rows.join(classes, ["key1", "key2"]).where("doc_id <> node").select("doc_id").distinct()
     runs = stored(shared.join(others, "doc_id", "left_anti").withColumn("size", size).where("size > 1").select(
-        "member", F.col("doc_id").alias("node"), "n"), "ngram-runs")
+        "member", F.col("doc_id").alias("node"), "n", "rest"), "ngram-runs")
     profiles = all_rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "profile")
     links, labels, done, pivots = None, None, 0, FIRST_PIVOTS
     while True:
         named = runs if labels is None else runs.join(labels, "node", "left")
         label = F.col("node") if labels is None else F.coalesce("component", "node")
-        listed = named.select("member", "node", "n", label.alias("label"), F.row_number().over(
+        listed = named.select("member", "node", "n", "rest", label.alias("label"), F.row_number().over(
             Window.partitionBy("member").orderBy("node")).alias("no"))
         heads = listed.where((F.col("no") > done) & (F.col("no") <= done + pivots)).select(
-            "member", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("no").alias("noa"))
-        pairs = listed.join(heads, "member").where("no > noa and label <> la and node <> a and 4 * least(n, na) >= 3 * greatest(n, na)")
+            "member", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("label").alias("la"),
+            F.col("no").alias("noa"))
+        pairs = listed.join(heads, "member").where(
+            "no > noa and label <> la and node <> a and 4 * least(n, na) >= 3 * greatest(n, na)"
+            " and 175L * least(rest, ra) >= 75L * (n + na)")
         pairs = stored(possible(pairs.select("a", F.col("node").alias("b")).distinct(), profiles), "ngram-pairs")
         if not pairs.isEmpty():
             few = spark.sparkContext.broadcast(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
