@@ -11,7 +11,7 @@ all documents by Spark.
 Candidates. Two sets that link share a member among the first floor(n / 4) + 1 of each (prefix filter). Sets that share such a
 member form a run. A pair is met at a member only where both hold enough from there on: at the first member they share, no more
 can be common than the shorter rest of the two, so a pair that links always passes there (positional filter). Runs are compared in rounds: the first sets of each run, the pivots, against all later ones that lie in
-another component by then; pivots grow fourfold per round, until each pair of each run has been compared or is known to be
+another component by then; pivots grow sixteenfold per round, until each pair of each run has been compared or is known to be
 connected. So a large group of near copies costs about one comparison per member and pivot, not all pairs, and nothing is capped.
 
 Before two sets are fetched, their profiles are compared: how many members fall into each of 256 classes by hash. The sum of
@@ -43,7 +43,7 @@ N, BUCKET_BITS = 5, 23
 BUCKETS, SLICES = 1 << BUCKET_BITS, 64
 FILTER_BITS = 23
 FULL = b"\xff" * 256
-FIRST_PIVOTS, GROWTH, PACK = 2, 4, 256
+FIRST_PIVOTS, GROWTH, PACK = 2, 16, 256
 MEASURED = ["doc_id", "n", "key1", "key2", "profile", "slice", "counts"]
 _ODD = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(N + 3)]
 # a 64-bit value for each byte, A-Z like a-z; 0 for the six bytes that end a word
@@ -338,8 +338,9 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             few = spark.sparkContext.broadcast(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
             sets = stored(set_rows(docs, rank, few).select("doc_id", "members"), "ngram-sets")
             new = stored(verified(pairs, sets, rank), "ngram-links")
-            links = new if links is None else links.union(new)
-            labels = stored(components(links), "ngram-labels")
+            if not new.isEmpty():
+                links = new if links is None else links.union(new)
+                labels = stored(components(links), "ngram-labels")
         done += pivots
         pivots *= GROWTH
         # runs that still hold a set beyond the pivots and sets of more than one component
