@@ -85,7 +85,6 @@ select l.l_orderkey % (select count(*) from customer) as business_id, (l.l_partk
 from lineitem l
 join (values (0,'NO_VIEWPORT','MOBILE'),(1,'NO_HTTPS','SECURITY'),(2,'MISSING_TITLE','SEO'),(3,'NO_FAVICON','UX'),(4,'PHONE_MISMATCH','CONSISTENCY'),(5,'HOURS_MISMATCH','CONSISTENCY'),(6,'OLD_COPYRIGHT','FRESHNESS'),(7,'REVIEW_WRONG_HOURS','REVIEWS'),(8,'REVIEW_PHONE_ONLY','REVIEWS'),(9,'NO_MENU','CONTENT'),(10,'NO_CONTACT_METHOD','CONTACT'),(11,'SLOW_RESPONSE','PERFORMANCE'),(12,'FREE_SUBDOMAIN','PRESENCE'),(13,'MISSING_LANG','ACCESSIBILITY'),(14,'WEBSITE_UNREACHABLE','AVAILABILITY'),(15,'NO_ONLINE_BOOKING','UX'),(16,'WEBSITE_IS_THIRD_PARTY','PRESENCE'),(17,'PROBABLE_PUBLIC_ENTITY','PRESENCE')) as r(i, code, category) on r.i = l.l_partkey % 18
 join (values (0,'CRITICAL',0),(1,'HIGH',1),(2,'HIGH',1),(3,'MEDIUM',2),(4,'MEDIUM',2),(5,'MEDIUM',2),(6,'LOW',3),(7,'LOW',3),(8,'LOW',3),(9,'INFO',4)) as v(i, severity, sev_rank) on v.i = (l.l_suppkey + l.l_linenumber) % 10
-where l.l_partkey % 13 < 5
 """
 
 FIXTURES["fx_review"] = """
@@ -125,7 +124,6 @@ FIXTURES["fx_contact"] = """
 select l.l_orderkey % (select count(*) from customer) as business_id, (l.l_partkey * 10 + l.l_linenumber) * 100000 + l.l_suppkey as seq, k.type, concat(case when l.l_linenumber % 2 = 0 then k.type else lower(k.type) end, '-', cast(l.l_partkey % 50 as varchar(10))) as value, case when l.l_suppkey % 2 = 0 then 'listing' else 'website' end as source
 from lineitem l
 join (values (0,'PHONE'),(1,'EMAIL'),(2,'CONTACT_FORM'),(3,'WHATSAPP'),(4,'CONTACT_PAGE'),(5,'INSTAGRAM'),(6,'FACEBOOK'),(7,'BOOKING_PAGE'),(8,'TIKTOK'),(9,'LINKEDIN'),(10,'X'),(11,'YOUTUBE'),(12,'OTHER')) as k(i, type) on k.i = (l.l_partkey + l.l_suppkey) % 13
-where l.l_partkey % 7 = 0
 """
 
 FIXTURES["fx_hours"] = """
@@ -143,7 +141,6 @@ select c.c_custkey as business_id, c.rnk, concat('https://www.', h.host, '/p', c
  (c.c_custkey * 5 + c.rnk) % 17 <> 0 as readable
 from (select c_custkey, SERIES(0, 7) as rnk from customer) c
 join (values (0,'facebook.com'),(1,'bar-uno.es'),(2,'tripadvisor.es'),(3,'tienda.com.es'),(4,'pelu.wixsite.com'),(5,'bar-dos.es'),(6,'elpais.com'),(7,'tres.co.uk'),(8,'mi.business.site'),(9,'cuatro.es'),(10,'shop.bar-uno.es')) as h(i, host) on h.i = (c.c_custkey * 3 + c.rnk * 7) % 11
-where c.c_custkey % 5 = 0
 """
 
 FIXTURES["fx_page"] = """
@@ -221,6 +218,11 @@ select d.doc_id, d.text, d.lang, concat(case d.doc_id % 6 when 0 then 'Menú de
 from documents d
 """
 
+FIXTURES["fx_named_text"] = """
+select t.doc_id, t.ad_text, concat('Menú y oferta en Sevilla ', coalesce(c.c_name, '')) as name
+from fx_lead_text t left join customer c on c.c_custkey = t.doc_id % (select count(*) from customer)
+"""
+
 FIXTURES["fx_area"] = """
 select n_nationkey as area_id, 37.30D + n_nationkey / 100.0D as lat, -6.05D + n_nationkey / 200.0D as lng, 1500.0D + 700.0D * n_nationkey as radius_m from nation
 """

@@ -259,10 +259,10 @@ def business_snapshot(t):
 
 
 @query("contacts_replace", (C,), """
-select business_id, type, value from fx_contact where source = 'listing' and business_id not in (select business_id from fx_contact where source = 'website' and business_id % 3 = 0)
-union all select business_id, type, value from fx_contact where source = 'website' and business_id % 3 = 0""")
+select business_id, type, value from fx_contact where source = 'listing' and business_id not in (select business_id from fx_contact where source = 'website')
+union all select business_id, type, value from fx_contact where source = 'website'""")
 def contacts_replace(t):
-    fresh = t[C].where("source = 'website' and business_id % 3 = 0")
+    fresh = t[C].where("source = 'website'")
     return ST.replace_contacts(t[C].where("source = 'listing'"), fresh, fresh).select("business_id", "type", "value")
 
 

@@ -271,12 +271,11 @@ def reviews_clean(t):
 
 
 @query("body_decode", (), """
-select doc_id, case when doc_id % 3 = 0 then 'utf-8' when doc_id % 3 = 1 then 'utf8' else 'iso-8859-1' end as charset, length('Menú <p>' || text) as n, 'Menú' as head from documents
-where doc_id % 3 <> 2 or not regexp_matches(text, '[^\\x{00}-\\x{ff}]')""")
+select doc_id, case when not regexp_matches(text, '[^\\x{00}-\\x{ff}]') then 'iso-8859-1' when doc_id % 3 = 1 then 'utf8' else 'utf-8' end as charset, length('Menú <p>' || text) as n, 'Menú' as head from documents""")
 def body_decode(t):
-    latin = F.col("doc_id") % 3 == 2
+    latin = ~F.col("text").rlike(r"[^\x00-\xff]")
     text = F.concat(F.lit("Menú <p>"), F.col("text"))
-    rows = t["documents"].where(~latin | ~F.col("text").rlike(r"[^\x00-\xff]")).select(
+    rows = t["documents"].select(
         "doc_id",
         F.when(latin, "text/html; charset=ISO-8859-1").when(F.col("doc_id") % 3 == 1, "text/html;CHARSET= utf8 ; x").otherwise("text/html").alias("ct"),
         F.when(latin, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8")).alias("body"))

@@ -68,14 +68,14 @@ def text_snippets(t):
                        T.match_snippet(c, "the|les", 20).alias("word"))
 
 
-@query("name_coverage", (L,), f"""
+@query("name_coverage", ("fx_named_text",), f"""
 select doc_id, n, case when n = 0 then 0 else round(h::double / n, 6) end as coverage from (
  select doc_id, len(toks) as n, len(list_filter(toks, lambda x: contains(hay, x))) as h from (
-  select doc_id, list_filter(string_split(regexp_replace({_norm("substr(ad_text, 1, 80)")}, '[^a-z0-9ñ ]', ' ', 'g'), ' '), lambda x: length(x) >= 3 and x not in ({quoted(P.NAME_STOPWORDS)})) as toks,
-   {_norm("substr(ad_text, 30, 600)")} as hay from fx_lead_text))""")
+  select doc_id, list_filter(string_split(regexp_replace({_norm("name")}, '[^a-z0-9ñ ]', ' ', 'g'), ' '), lambda x: length(x) >= 3 and x not in ({quoted(P.NAME_STOPWORDS)})) as toks,
+   {_norm("ad_text")} as hay from fx_named_text))""")
 def name_coverage(t):
-    name, hay = F.substring("ad_text", 1, 80), F.substring("ad_text", 30, 600)
-    return t[L].select("doc_id", F.size(T.name_tokens(name)).cast("bigint").alias("n"),
+    name, hay = F.col("name"), F.col("ad_text")
+    return t["fx_named_text"].select("doc_id", F.size(T.name_tokens(name)).cast("bigint").alias("n"),
                        F.round(T.name_coverage(name, hay), 6).alias("coverage"))
 
 
