@@ -210,22 +210,20 @@ def postal_codes(text: Column, limit: int = 5) -> Column:
 
 
 def placeholder_kind(text: Column) -> Column:
-    sample = F.substring(text, 1, P.PLACEHOLDER_SAMPLE_CHARS)
-    n = words(sample)
+    n = words(text)
     return (
-        F.when(has(sample, P.PARKED) & (n < P.PARKED_MAX_WORDS), "PARKED")
-        .when(has(sample, P.UNDER_CONSTRUCTION) & (n < P.UNDER_CONSTRUCTION_MAX_WORDS), "UNDER_CONSTRUCTION")
-        .when(has(sample, P.PLACEHOLDER), "PLACEHOLDER")
+        F.when(has(text, P.PARKED) & (n < P.PARKED_MAX_WORDS), "PARKED")
+        .when(has(text, P.UNDER_CONSTRUCTION) & (n < P.UNDER_CONSTRUCTION_MAX_WORDS), "UNDER_CONSTRUCTION")
+        .when(has(text, P.PLACEHOLDER), "PLACEHOLDER")
     )
 
 
 def placeholder_snippet(text: Column) -> Column:
-    sample = F.substring(text, 1, P.PLACEHOLDER_SAMPLE_CHARS)
     kind = placeholder_kind(text)
     return (
-        F.when(kind == "PARKED", match_snippet(sample, P.PARKED, 60))
-        .when(kind == "UNDER_CONSTRUCTION", match_snippet(sample, P.UNDER_CONSTRUCTION, 60))
-        .when(kind == "PLACEHOLDER", match_snippet(sample, P.PLACEHOLDER, 60))
+        F.when(kind == "PARKED", match_snippet(text, P.PARKED, 60))
+        .when(kind == "UNDER_CONSTRUCTION", match_snippet(text, P.UNDER_CONSTRUCTION, 60))
+        .when(kind == "PLACEHOLDER", match_snippet(text, P.PLACEHOLDER, 60))
     )
 
 

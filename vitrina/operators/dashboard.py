@@ -59,30 +59,27 @@ def recent_scans(scans: DataFrame, limit: int = 5) -> DataFrame:
     return scans.orderBy(F.col("created_at").desc(), F.col("scan_id").desc()).limit(limit)
 
 
-def cities(business: DataFrame, limit: int = 200) -> DataFrame:
-    return business.where("city is not null").select("city").distinct().orderBy("city").limit(limit)
+def cities(business: DataFrame, limit: int | None = None) -> DataFrame:
+    found = business.where("city is not null").select("city").distinct().orderBy("city")
+    return found if limit is None else found.limit(limit)
 
 
-AGENDA_LIMITS = {"overdue": 100, "today": None, "upcoming": 50, "to_contact": 50}
-
-
-def agenda(business: DataFrame, as_of: Column) -> DataFrame:
-    """Follow-up buckets. Each capped bucket is its own top-k, so no bucket is sorted in one task."""
+def agenda(business: DataFrame, as_of: Column, limits: dict[str, int] | None = None) -> DataFrame:
+    """Follow-up buckets, whole; a bucket named in ``limits`` is its own top-k, so it is not sorted in one task."""
     tomorrow = F.date_trunc("day", as_of) + F.expr("interval 1 day")
     at = F.col("next_follow_up_at")
     live = business.where(open_lead())
     buckets = {
-        "overdue": live.where(at < as_of).orderBy(at, "business_id"),
+        "overdue": live.where(at < as_of),
         "today": live.where((at >= as_of) & (at < tomorrow)),
-        "upcoming": live.where(at >= tomorrow).orderBy(at, "business_id"),
-        "to_contact": business.where((F.col("lead_status") == "TO_CONTACT") & at.isNull()).orderBy(
-            F.col("opportunity_score").desc_nulls_last(), "business_id"
-        ),
+        "upcoming": live.where(at >= tomorrow),
+        "to_contact": business.where((F.col("lead_status") == "TO_CONTACT") & at.isNull()),
     }
+    order = {"to_contact": [F.col("opportunity_score").desc_nulls_last(), F.col("business_id")]}
     out = None
     for name, df in buckets.items():
-        limit = AGENDA_LIMITS[name]
-        part = (df.limit(limit) if limit else df).withColumn("bucket", F.lit(name))
+        limit = (limits or {}).get(name)
+        part = (df if limit is None else df.orderBy(*order.get(name, [at, F.col("business_id")])).limit(limit)).withColumn("bucket", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -152,17 +152,17 @@ def recent_scans(t):
     return DA.recent_scans(t["fx_scan"], 100).select("scan_id", "status", "estimated_cost_usd")
 
 
-@query("distinct_cities", (B,), "select distinct city from fx_business order by city limit 200")
+@query("distinct_cities", (B,), "select distinct city from fx_business")
 def distinct_cities(t):
     return DA.cities(t[B])
 
 
 @query("followup_agenda", (B,), f"""
 select business_id, bucket from (
- (select business_id, 'overdue' as bucket from fx_business where {OPEN} and next_follow_up_at < {NOW_SQL} order by next_follow_up_at, business_id limit 100)
+ (select business_id, 'overdue' as bucket from fx_business where {OPEN} and next_follow_up_at < {NOW_SQL} )
  union all select business_id, 'today' from fx_business where {OPEN} and next_follow_up_at >= {NOW_SQL} and next_follow_up_at < timestamp '2024-01-16'
- union all (select business_id, 'upcoming' from fx_business where {OPEN} and next_follow_up_at >= timestamp '2024-01-16' order by next_follow_up_at, business_id limit 50)
- union all (select business_id, 'to_contact' from fx_business where lead_status = 'TO_CONTACT' and next_follow_up_at is null order by opportunity_score desc nulls last, business_id limit 50))""")
+ union all (select business_id, 'upcoming' from fx_business where {OPEN} and next_follow_up_at >= timestamp '2024-01-16' )
+ union all (select business_id, 'to_contact' from fx_business where lead_status = 'TO_CONTACT' and next_follow_up_at is null))""")
 def followup_agenda(t):
     return DA.agenda(t[B], now()).select("business_id", "bucket")
 
@@ -296,7 +296,7 @@ def notes_current(t):
 
 _EXPORT_BASE = f"""
 cats(category_key, label_es, nb, nm) as (values {category_values()}),
-lim as (select * from fx_business where has_phone or rating >= 3 order by opportunity_score desc nulls last, user_rating_count desc nulls last, business_id limit 5000),
+lim as (select * from fx_business where has_phone or rating >= 3),
 exp as (select b.business_id, name as nombre, label_es as categoria, city as ciudad, formatted_address as direccion, coalesce(provider_website, '') as web,
  case website_status when 'SIN_WEB' then 'Sin web' when 'WEB_CAIDA' then 'Web caída' when 'WEB_FUNCIONAL_CON_PROBLEMAS' then 'Web con problemas' when 'WEB_ACEPTABLE' then 'Web aceptable' when 'WEB_NO_VERIFICABLE' then 'No verificable' else 'Sin analizar' end as estado_web,
  coalesce(opportunity_score::varchar, '') as opportunity_score,
@@ -314,7 +314,7 @@ exp as (select b.business_id, name as nombre, label_es as categoria, city as ciu
 
 def _export(t):
     rows = LI.apply_filters(t[B], LI.Filters(), now()).where(F.col("has_phone") | (F.col("rating") >= 3))
-    rows = rows.orderBy(*LI.order_by(LI.Filters())).limit(5000).withColumn(
+    rows = rows.withColumn(
         "opportunity_reason", F.concat(F.lit("+40 motivo; +3 "), F.col("city")))
     return EX.export_rows(rows, deduped(t), t[C])
 

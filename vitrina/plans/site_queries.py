@@ -133,7 +133,7 @@ kn as (select br.page_id, br.url, br.text, page_id % 29 = 3 as js, page_id % 7 a
 _ALL = _GATE + "," + PAGES + _KNOW + "," + _PF + f""",
 tt as (select page_id, replace(replace(title0, '&amp;', '&'), '&middot;', '·') as title from kn),
 ph as (select kn.page_id, case when regexp_matches(s, {ansi(P.PARKED)}) and w < 400 then 'PARKED' when regexp_matches(s, {ansi(P.UNDER_CONSTRUCTION)}) and w < 250 then 'UC' when regexp_matches(s, {ansi(P.PLACEHOLDER)}) then 'PH' end as placeholder
-  from (select page_id, left(text || ' ' || title, 20000) as s, len(regexp_extract_all(left(text || ' ' || title, 20000), '[\\p{{L}}\\p{{N}}]+')) as w from kn join tt using (page_id)) kn),
+  from (select page_id, text || ' ' || title as s, len(regexp_extract_all(text || ' ' || title, '[\\p{{L}}\\p{{N}}]+')) as w from kn join tt using (page_id)) kn),
 op0 as (select gt.*, kn.* exclude (page_id, url), t.title, p.placeholder, pf.* exclude (page_id), coalesce(gate, case when p.placeholder = 'PARKED' then 'parked_text' when js and own_scripts > 0 and broken_scripts = own_scripts then 'js_broken' end) as gate2
  from gt join kn using (page_id) join tt t using (page_id) join ph p using (page_id) left join pf using (page_id)),
 op as (select * from op0 where gate2 is null)

@@ -264,7 +264,7 @@ def sitemap_lastmod(t):
         F.date_format(F.min_by("lastmod", "seq"), "yyyy-MM-dd").alias("lastmod"))
 
 
-@query("reviews_clean", ("fx_review",), "select review_id, left(text, 2000) as text from fx_review where length(trim(text)) > 0 and review_id % 7 <> 0")
+@query("reviews_clean", ("fx_review",), "select review_id, text from fx_review where length(trim(text)) > 0 and review_id % 7 <> 0")
 def reviews_clean(t):
     df = t["fx_review"].withColumn("text", F.when(F.col("review_id") % 7 == 0, "  ").otherwise(F.col("text")))
     return PL.clean_reviews(df).select("review_id", "text")

@@ -195,7 +195,7 @@ _KIND = "case when regexp_matches(s, {0}) and w < 400 then 'PARKED' when regexp_
     ansi(P.PARKED), ansi(P.UNDER_CONSTRUCTION), ansi(P.PLACEHOLDER))
 
 
-@query("placeholder_text", (L,), f"select doc_id, kind from (select doc_id, {_KIND} as kind from (select doc_id, left(ad_text, 20000) as s, len(regexp_extract_all(left(ad_text, 20000), '[\\p{{L}}\\p{{N}}]+')) as w from fx_lead_text))")
+@query("placeholder_text", (L,), f"select doc_id, kind from (select doc_id, {_KIND} as kind from (select doc_id, ad_text as s, len(regexp_extract_all(ad_text, '[\\p{{L}}\\p{{N}}]+')) as w from fx_lead_text))")
 def placeholder_text(t):
     return t[L].select("doc_id", T.placeholder_kind(F.col("ad_text")).alias("kind"))
 

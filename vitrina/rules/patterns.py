@@ -33,7 +33,7 @@ PARKED = (
     r"|apache2? (ubuntu|debian)? ?default page|it works!|iis windows server|index of \/|site not found"
     r"|no website configured at this address)"
 )
-PARKED_MAX_WORDS, UNDER_CONSTRUCTION_MAX_WORDS, PLACEHOLDER_SAMPLE_CHARS = 400, 250, 20000
+PARKED_MAX_WORDS, UNDER_CONSTRUCTION_MAX_WORDS = 400, 250
 
 STALE_COVID = (
     r"(covid(-?19)?|coronavirus|estado de alarma|desescalada|medidas sanitarias|mascarilla obligatoria"

@@ -22,7 +22,6 @@ COMMERCIAL_SCHEMA = (
 OSM_SCHEMA = (
     "type string, id bigint, lat double, lon double, center struct<lat:double,lon:double>, tags map<string,string>"
 )
-REVIEW_CHARS = 2000
 
 
 def read_commercial(spark: SparkSession, path: str) -> DataFrame:
@@ -163,6 +162,7 @@ def from_osm(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_reviews(reviews: DataFrame, limit: int = REVIEW_CHARS) -> DataFrame:
-    """Reviews with text, blank ones dropped and long ones cut for storage."""
-    return reviews.where(F.length(F.trim("text")) > 0).withColumn("text", F.substring("text", 1, limit))
+def clean_reviews(reviews: DataFrame, limit: int | None = None) -> DataFrame:
+    """Reviews with text, blank ones dropped; texts are cut only where ``limit`` asks for it."""
+    kept = reviews.where(F.length(F.trim("text")) > 0)
+    return kept if limit is None else kept.withColumn("text", F.substring("text", 1, limit))
