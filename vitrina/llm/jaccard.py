@@ -10,9 +10,9 @@ all documents by Spark.
 
 Candidates. Two sets that link share a member among the first floor(n / 4) + 1 of each (prefix filter). Sets that share such a
 member form a run. A pair is met at a member only where both hold enough from there on: at the first member they share, no more
-can be common than the shorter rest of the two, so a pair that links always passes there (positional filter). Runs are compared in rounds: the first sets of each run, the pivots, against all later ones that lie in
-another component by then; pivots grow sixteenfold per round, until each pair of each run has been compared or is known to be
-connected. So a large group of near copies costs about one comparison per member and pivot, not all pairs, and nothing is capped.
+can be common than the shorter rest of the two, so a pair that links always passes there (positional filter). Runs are compared
+in rounds: the first sets of each run, the pivots, against all later ones that lie in another component by then; pivots grow
+sixteenfold per round, until each pair of each run has been compared or is known to be connected. So a large group of near copies costs about one comparison per member and pivot, not all pairs, and nothing is capped.
 
 Before two sets are fetched, their profiles are compared: how many members fall into each of 256 classes by hash. The sum of
 the smaller counts is at least the overlap, so pairs below the needed overlap are left out without loss.
