@@ -4,9 +4,9 @@ Sets. A text is lower-cased (A-Z) and cut into words; its set is its distinct ru
 sequence is the one member; without words or text the set is empty and links with nothing). A member is a 64-bit hash.
 Documents with equal sets form a class, and one set stands for each class from here on.
 
-Order. All members are ordered by how often their bucket (of 2^23, by hash) occurs in the corpus, rare first, then by hash. Any
-one order is right; this one puts passages that many documents share last. The counts are an array of fixed size, summed over
-all documents by Spark.
+Order. All members are ordered by how often their bucket (of 2^23, by hash) occurs in the corpus, rare first in classes of nearly
+equal counts, then by hash. Any one order is right; this one puts passages that many documents share last. The classes are an
+array of one byte a bucket, from counts that Spark sums over all documents.
 
 Candidates. Two sets that link share a member among the first floor(n / 4) + 1 of each (prefix filter). Sets that share such a
 member form a run. A pair is met at a member only where both hold enough from there on: at the first member they share, no more
@@ -157,19 +157,24 @@ def measured(docs: DataFrame) -> DataFrame:
         run, "doc_id long, n long, key1 long, key2 long, profile binary, slice int, counts binary")
 
 
-def bucket_counts(rows: DataFrame) -> np.ndarray:
-    """The counts of ``measured`` summed by Spark, slice by slice."""
+def bucket_order(rows: DataFrame) -> np.ndarray:
+    """A frequency class for each bucket: about 8 * log2 of its count in all of ``measured``, summed by Spark slice by slice.
+
+    Counts up to eleven have classes of their own, larger ones share a class with counts within a tenth. One byte a
+    bucket, so the array has the same size for every corpus.
+    """
 
     def add(tab: pa.Table) -> pa.Table:
-        total = np.zeros(BUCKETS // SLICES, np.int32)
+        total = np.zeros(BUCKETS // SLICES, np.int64)
         for c in tab.column("counts"):
             total += np.frombuffer(zlib.decompress(c.as_py()), np.uint8)
-        return pa.table({"slice": tab.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        classes = np.minimum(8 * np.log2(1.0 + total), 255).astype(np.uint8)
+        return pa.table({"slice": tab.column("slice")[:1], "classes": pa.array([zlib.compress(classes.tobytes(), 1)], pa.binary())})
 
-    out = np.zeros((SLICES, BUCKETS // SLICES), np.int32)
-    parts = rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    out = np.zeros((SLICES, BUCKETS // SLICES), np.uint8)
+    parts = rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, classes binary")
     for r in parts.collect():
-        out[r["slice"]] = np.frombuffer(r["counts"], np.int32)
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r["classes"]), np.uint8)
     return out.ravel()
 
 
@@ -309,8 +314,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     prepare(spark)
     all_rows = stored(measured(docs), "ngram-rows")
-    counts = bucket_counts(all_rows)
-    rank = spark.sparkContext.broadcast(counts)
+    rank = spark.sparkContext.broadcast(bucket_order(all_rows))
     rows = all_rows.where("slice is null").select("doc_id", "n", "key1", "key2")
     posted = set_rows(docs, rank).where("n > 0").select("doc_id", "n", F.posexplode("members").alias("place", "member")).select(
         "member", "doc_id", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("place")).cast("int").alias("rest"))
@@ -337,6 +341,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not pairs.isEmpty():
             few = spark.sparkContext.broadcast(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
             sets = stored(set_rows(docs, rank, few).select("doc_id", "members"), "ngram-sets")
+            few.destroy()
             new = stored(verified(pairs, sets, rank), "ngram-links")
             if not new.isEmpty():
                 links = new if links is None else links.union(new)
@@ -350,6 +355,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if open_.isEmpty():
             break
         runs = stored(runs.join(open_, "member", "left_semi"), "ngram-runs")
+    rank.destroy()  # all that needs it is written
     if labels is None:
         labels = spark.createDataFrame([], "node long, component long")
     return rows, labels
