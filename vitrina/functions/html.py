@@ -273,13 +273,20 @@ def _body_children(all_tags: Column) -> Column:
 
 
 def _first_by(items: Column, field: str) -> Column:
-    """Array of structs with later repeats of ``field`` dropped."""
-    return T.let(
-        items,
-        lambda xs: F.filter(
-            xs, lambda x, i: F.array_position(F.transform(xs, lambda y: y[field]), x[field]) == i + 1
-        ),
-    )
+    """Array of structs with later repeats of ``field`` dropped, and those without a value.
+
+    Repeats meet by sorting (value, place), so the work does not grow with the square of the items.
+    """
+    def firsts(places: Column) -> Column:
+        met = F.filter(places, lambda p, i: (i == 0) | (F.get(places, i - 1)["value"] != p["value"]))
+        return F.sort_array(F.transform(met, lambda p: p["place"]))
+
+    def kept(xs: Column) -> Column:
+        places = F.filter(
+            F.transform(xs, lambda x, i: F.struct(x[field].alias("value"), i.alias("place"))), lambda p: p["value"].isNotNull())
+        return F.transform(T.let(F.sort_array(places), firsts), lambda i: F.get(xs, i))
+
+    return T.let(items, kept)
 
 
 def _field_tags(all_tags: Column) -> Column:

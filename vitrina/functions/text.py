@@ -133,14 +133,37 @@ def copyright_years(text: Column) -> Column:
 def match_offsets(text: Column, pattern: str) -> Column:
     """array<struct<at, hit>>: zero-based start and text of every match, left to right.
 
-    The pieces between matches come from ``split``; each start is the length of all earlier pieces and hits.
+    The pieces between matches come from ``split``; each start is the length of all earlier pieces and hits. Starts are
+    summed within runs of ``_RUN`` matches and then over the runs, as an array that grows step by step is copied each time.
     """
     p = java(pattern)
     hits = F.regexp_extract_all(text, F.lit(p), F.lit(0))
     gaps = F.transform(F.split(text, p), lambda g: F.length(g))
     pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+
+    def by_runs(all_pairs: Column) -> Column:
+        last = F.greatest(F.floor((F.size(all_pairs) - 1) / _RUN), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: _walk(F.slice(all_pairs, b * _RUN + 1, _RUN)))
+
+    def joined(runs: Column) -> Column:
+        begins = F.aggregate(
+            runs,
+            F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
+            lambda acc, r: F.struct((acc["pos"] + r["pos"]).cast("int").alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")),
+        )["out"]
+        return F.flatten(F.zip_with(runs, begins, lambda r, begin: F.transform(
+            r["out"], lambda m: F.struct((m["at"] + begin).cast("int").alias("at"), m["hit"].alias("hit")))))
+
+    return let(let(pairs, by_runs), joined)
+
+
+_RUN = 128
+
+
+def _walk(pairs: Column) -> Column:
+    """struct<pos, out>: length of a short run of (gap, hit) pairs and the start of each hit within it."""
     state = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<at:int,hit:string>>").alias("out"))
-    walked = F.aggregate(
+    return F.aggregate(
         pairs,
         state,
         lambda acc, m: F.struct(
@@ -151,7 +174,6 @@ def match_offsets(text: Column, pattern: str) -> Column:
             ).alias("out"),
         ),
     )
-    return walked["out"]
 
 
 def _around(text: Column, at: Column, back: int, ahead: int) -> Column:

@@ -54,7 +54,10 @@ def capture_outcome(captures: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("res", F.when(again, F.col("again")).otherwise(F.col("r3")))
     err, status = F.col("res.error_code"), F.col("res.status")
     body = F.coalesce("res.html", F.lit(""))
-    challenge = status.isin(403, 503, 429) & F.substring(body, 1, 50_000).rlike(java(P.CHALLENGE))
+    challenge = F.substring(body, 1, 50_000).rlike(java(P.CHALLENGE))
+    if "headers" in captures.columns:  # header names are in lower case, as fetched
+        challenge = challenge | F.coalesce(F.col("res.headers")["cf-mitigated"] != "", F.lit(False))
+    challenge = status.isin(403, 503, 429) & challenge
     http = F.concat(F.lit("HTTP "), status.cast("string"))
     verdict = lambda outcome, reason, code: F.struct(
         F.lit(outcome).alias("outcome"), reason.cast("string").alias("reason"), code.cast("string").alias("code"))
@@ -329,7 +332,7 @@ def audit_findings(rows: DataFrame, key: str, families: list[str] | None = None)
 def site_status(rows: DataFrame, deduped: DataFrame, key: str) -> DataFrame:
     """Final status, reason, technical score and completeness per site."""
     counts = severity_counts(deduped, key).join(technical_score(deduped, key), key)
-    df = rows.select(key, "gate", "reason", F.coalesce("js_only", F.lit(False)).alias("js_limited")).join(counts, key, "left")
+    df = rows.select(key, "gate", "reason", "outcome", F.coalesce("js_only", F.lit(False)).alias("js_limited")).join(counts, key, "left")
     crit, high, med = (F.coalesce(c, F.lit(0)) for c in ("n_critical", "n_high", "n_medium"))
     gate = F.col("gate")
     status = (
@@ -342,6 +345,8 @@ def site_status(rows: DataFrame, deduped: DataFrame, key: str) -> DataFrame:
     )
     score = F.when(status == "WEB_CAIDA", 0).when(gate.isNull(), F.coalesce("technical_score", F.lit(100)))
     complete = F.when(gate.isNull(), ~F.col("js_limited")).otherwise(
-        gate.isin("third_party", "discontinued", "down", "redirect_third_party", "parking_host", "parked_text", "js_broken"))
+        gate.isin("third_party", "down", "redirect_third_party", "parking_host", "parked_text", "js_broken")
+        # a discontinued builder's site counts as analysed only if its host still answers
+        | ((gate == "discontinued") & F.coalesce(F.col("outcome") == "ok", F.lit(False))))
     return df.select(key, "gate", status.alias("website_status"), F.coalesce("reason", F.lit("")).alias("fetch_reason"),
                      score.cast("bigint").alias("technical_score"), complete.alias("analysis_complete"))

@@ -66,6 +66,19 @@ def comparison_facts(business: DataFrame, extraction: DataFrame, schema: DataFra
     return CN.address_facts(CN.phone_facts(df))
 
 
+def gated_sites(business: DataFrame, captures: DataFrame) -> DataFrame:
+    """Gates of every site that its listed address or its captures decide.
+
+    The listed address is judged first, fetched or not; a business that lists none is judged by what was fetched for it.
+    Sites that only a fetch could decide and that have none are left out.
+    """
+    listed = business.where("website_uri is not null").select(KEY, F.col("website_uri").alias("_listed"))
+    asked = SI.capture_outcome(captures, KEY).join(listed, KEY, "full").withColumn(
+        "requested_url", F.coalesce("_listed", "requested_url")).drop("_listed")
+    by_address = F.coalesce(F.col("gate").isin("url_invalid", "third_party", "discontinued"), F.lit(False))
+    return SI.gates(asked, KEY).where(F.col("outcome").isNotNull() | by_address)
+
+
 def analyze(business: DataFrame, captures: DataFrame, pages: DataFrame, probes: DataFrame, reviews: DataFrame,
             as_of: Column, current_year: int, stage: Callable[[str, Callable[[], DataFrame]], DataFrame],
             sitemap: DataFrame | None = None) -> Audit:
@@ -77,8 +90,9 @@ def analyze(business: DataFrame, captures: DataFrame, pages: DataFrame, probes:
     ``pages`` are page features (a written stage table), ``captures`` the home-page attempts. Every join is on
     ``business_id``; nothing is gathered beyond the bounded lists of one site.
     """
-    gated = stage("gates", lambda: SI.gates(SI.capture_outcome(captures, KEY), KEY))
-    extraction = stage("extraction", lambda: EX.site_extraction(pages, KEY, F.lit("ES"), current_year))
+    gated = stage("gates", lambda: gated_sites(business, captures))
+    placed = pages.join(business.select(KEY, F.col("country_code").alias("site_country")), KEY, "left")
+    extraction = stage("extraction", lambda: EX.site_extraction(placed, KEY, F.coalesce("site_country", F.lit("ES")), current_year))
     rows = stage("site_rows", lambda: SI.site_rows(
         gated, pages.where("seq = 0").drop("page_id"), extraction, probes, category_needs(business), KEY))
     site_raw = stage("site_findings", lambda: SI.audit_findings(rows, KEY))

@@ -19,7 +19,7 @@ def full(t) -> Audit:
         "email": F.lit(None).cast("string"), "socials": F.lit(None).cast("map<string,string>"),
         "opening_hours": F.when(k % 2 == 0, hours)})
     pages = _feats(t)
-    homes = t["fx_capture"].where("page_id % 3 = 0")
+    homes = t["fx_capture"].join(pages.where("seq = 0").select("page_id"), "page_id", "left_semi")
     probes = t["fx_probe"].drop("page_id")
     return analyze(business, homes, pages, probes, t["fx_review"], now(), 2024,
                    lambda name, build: staged(t, f"audit-{name}", build))

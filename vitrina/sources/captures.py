@@ -42,28 +42,40 @@ def charset(content_type: Column, body: Column) -> Column:
     return F.coalesce(F.nullif(header, F.lit("")), F.nullif(meta, F.lit("")), F.lit("utf-8"))
 
 
+_LATIN = ["iso-8859-1", "latin1", "ascii", "us-ascii", "windows-1252", "cp1252"]
+# bytes 80 to 9F stand for printable characters under every Latin-1 label; the five that have none stay as they are
+_HIGH = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+_CONTROLS = "".join(c for c, printable in _HIGH if printable)
+_PRINTABLE = "".join(printable for _, printable in _HIGH)
+
+
+def _decode_utf8(body: Column) -> Column:
+    """Without a byte-order mark; bytes that are no UTF-8 become replacement characters."""
+    marked = F.substring(body, 1, 3) == F.lit(b"\xef\xbb\xbf")
+    return F.make_valid_utf8(F.when(marked, F.substring(body, 4, 2_147_483_647)).otherwise(body).cast("string"))
+
+
 @F.pandas_udf(StringType())
 def _decode_other(body: pd.Series, name: pd.Series) -> pd.Series:
     """Bytes in a charset the JVM functions do not offer; an unknown name falls back to UTF-8."""
     def one(raw, label):
         if raw is None:
             return None
-        label = "cp1252" if label in ("iso-8859-1", "latin1", "ascii", "us-ascii") else label
         try:
             return bytes(raw).decode(label, "replace")
         except LookupError:
-            return bytes(raw).decode("utf-8", "replace")
+            return bytes(raw).decode("utf-8-sig", "replace")
 
     return pd.Series([one(b, n) for b, n in zip(body, name)])
 
 
 def decode_bodies(captures: DataFrame, content_type: Column) -> DataFrame:
-    """Add ``html``. UTF-8 rows stay in the JVM; only rows in other charsets go through Python batches."""
+    """Add ``charset`` and ``html`` in one pass. UTF-8 and Latin-1 stay in the JVM; Python sees the bodies in other charsets."""
     named = captures.withColumn("charset", charset(content_type, F.col("body")))
-    utf8 = F.col("charset").isin("utf-8", "utf8")
-    plain = named.where(utf8).withColumn("html", F.col("body").cast("string"))
-    other = named.where(~utf8).withColumn("html", _decode_other("body", "charset"))
-    return plain.unionByName(other)
+    utf8, latin = F.col("charset").isin("utf-8", "utf8"), F.col("charset").isin(_LATIN)
+    rest = named.withColumn("html", _decode_other(F.when(~utf8 & ~latin, F.col("body")), F.col("charset")))
+    return rest.withColumn("html", F.when(utf8, _decode_utf8(F.col("body"))).when(
+        latin, F.translate(F.decode("body", "ISO-8859-1"), _CONTROLS, _PRINTABLE)).otherwise(F.col("html")))
 
 
 def is_html(content_type: Column) -> Column:
