@@ -120,6 +120,20 @@ def test_lines(docs, empty, rows):
     assert line_dedup.digest(empty).collect() == []
 
 
+def test_lines_keep_new_words(spark):
+    rng = random.Random(11)
+    a, b = (" ".join(rng.choices(WORDS, k=40)) for _ in range(2))
+    w, x = a.split(), b.split()
+    new = " ".join(w[:31] + [f"new{c}" for c in "abcdefghi"])  # only its last quarter is new
+    mixed = " ".join(w[:3] + ["m"] * 9 + w[12:21] + x[21:])
+    other = " ".join(w[:3] + ["m"] * 9 + ["n"] * 9 + x[21:])
+    texts = [a, other, new, mixed, a, "net sales 4 5 6 7 8", "net sales 9 8 7 6 5", "net sales 9 8 7 6 5",
+             "last changed on day 4 by the office", "last changed on day 5 by the office"]
+    rows = spark.createDataFrame([(i, f"line {i}\n{t}") for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"].count("\n") for r in line_dedup.clean_documents(rows).collect()}
+    assert {i for i, n in out.items() if not n} == {4, 7, 9}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 16))

@@ -9,6 +9,11 @@ the first document keeps its line, so nothing is lost from the table.
 
 Lines are split at line feeds. Lines under LEAST words are never dropped. Rows that share a doc_id count as one document; a
 null doc_id comes last. Null texts stay null, empty ones empty. Lines repeated within one document stay.
+
+This rule, which the SQL states too, lets a line's own words go with it where one of its runs is new, and takes support from
+different documents. Hence ``clean_documents`` (the pipeline) drops by ``repeated_lines`` instead: a line goes only when one
+and the same earlier document holds the whole line. Variable fields may differ where the line has more other words than
+fields; else the line must be equal as it is, so rows of numbers stay.
 The tree is a table of hashed nodes with the smallest doc_id under each (a partial aggregate), joined back to the lines.
 """
 
@@ -54,9 +59,33 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return lines.where("found >= needed").groupBy("id", "text_hash").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def whole_lines(docs: DataFrame) -> DataFrame:
+    """id, text_hash, line_no, node: one row for each line that is long enough; white space counts as one space."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_hash"),
+                       F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    plain = F.regexp_replace(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+", " ")
+    # one-element explodes keep a value an input of what follows, as above
+    cut = rows.select("id", "text_hash", "line_no", F.explode(F.array(plain)).alias("line")).select(
+        "*", (F.regexp_count("line", F.lit(" ")) + 1).alias("m")).where(F.col("m") >= LEAST)
+    fields = F.when(F.col("line").rlike("[0-9]"), F.regexp_count("line", F.lit(VARIABLE))).otherwise(0)
+    varies = (fields > 0) & (2 * fields < F.col("m"))
+    named = cut.withColumn("varies", varies).select("id", "text_hash", "line_no", "varies", F.explode(F.array(
+        F.when(F.col("varies"), F.regexp_replace("line", VARIABLE, "<*>")).otherwise(F.col("line")))).alias("path"))
+    return named.select("id", "text_hash", "line_no", F.struct(
+        F.xxhash64("varies", "path").alias("h"), F.hash("varies", "path").alias("g")).alias("node"))
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """As dropped_lines, for lines that stand whole in one earlier document."""
+    each = whole_lines(docs)
+    shared = each.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("node", "first")
+    hit = each.join(shared, "node").where("first < id")
+    return hit.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+
+
+def dedup(docs: DataFrame, dropped=dropped_lines) -> DataFrame:
     """The input with text rewritten, and n_lines and n_dropped added (clashing columns of those names are replaced)."""
-    gone = dropped_lines(docs).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    gone = dropped(docs).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
     base = docs.drop("n_lines", "n_dropped")
     joined = base.join(gone, (F.coalesce("doc_id", F.lit(LAST)) == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
     lines = F.split("text", "\n", -1)
@@ -79,7 +108,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """Documents with the columns of the input; a document that had words and lost all its lines goes."""
-    out = dedup(docs).where(~((F.col("n_dropped") > 0) & ~F.col("text").rlike(WORD)))
+    out = dedup(docs, repeated_lines).where(~((F.col("n_dropped") > 0) & ~F.col("text").rlike(WORD)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
