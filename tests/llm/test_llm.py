@@ -129,11 +129,18 @@ def test_lines_keep_new_words(spark):
     other = " ".join(w[:3] + ["m"] * 9 + ["n"] * 9 + x[21:])
     texts = [a, other, new, mixed, a, "net sales 4 5 6 7 8", "net sales 9 8 7 6 5", "net sales 9 8 7 6 5",
              "last changed on day 4 by the office", "last changed on day 5 by the office"]
-    rows = spark.createDataFrame([(i, f"line {i}\n{t}") for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = spark.createDataFrame([(i, f"own{i}\n{t}") for i, t in enumerate(texts)], "doc_id long, text string")
     out = {r["doc_id"]: r["text"].count("\n") for r in line_dedup.clean_documents(rows).collect()}
     assert {i for i, n in out.items() if not n} == {4, 7, 9}
 
 
+def test_short_lines(spark):
+    texts = ["one\nAll rights reserved.\n---\n\nMenu\nTotal 5\n© 2020 Some Name", "two\nAll  rights reserved. \n---\n\nMenu\nTotal 6\n© 2021 Some Name",
+             "three\nTotal 5\nmenu"]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: texts[0], 1: "two\n---\n\nTotal 6", 2: "three\nmenu"}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 16))

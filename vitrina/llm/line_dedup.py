@@ -7,13 +7,14 @@ that does not is a variable field of the line. A line is an instance of a recurr
 one for lines of at least LOOSE words, already stand in its leaf in a document of smaller doc_id. Such lines are dropped;
 the first document keeps its line, so nothing is lost from the table.
 
-Lines are split at line feeds. Lines under LEAST words are never dropped. Rows that share a doc_id count as one document; a
+Lines are split at line feeds. Lines under LEAST words never enter the tree. Rows that share a doc_id count as one document; a
 null doc_id comes last. Null texts stay null, empty ones empty. Lines repeated within one document stay.
 
 This rule, which the SQL states too, lets a line's own words go with it where one of its runs is new, and takes support from
 different documents. Hence ``clean_documents`` (the pipeline) drops by ``repeated_lines`` instead: a line goes only when one
 and the same earlier document holds the whole line. Variable fields may differ where the line has more other words than
-fields; else the line must be equal as it is, so rows of numbers stay.
+fields; else the line must be equal as it is, so rows of numbers stay. This holds for lines of any length that have a letter
+or a digit; rules and brackets alone are layout and stay.
 The tree is a table of hashed nodes with the smallest doc_id under each (a partial aggregate), joined back to the lines.
 """
 
@@ -60,13 +61,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def whole_lines(docs: DataFrame) -> DataFrame:
-    """id, text_hash, line_no, node: one row for each line that is long enough; white space counts as one space."""
+    """id, text_hash, line_no, node: one row for each line with a letter or a digit; white space counts as one space."""
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_hash"),
                        F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     plain = F.regexp_replace(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+", " ")
     # one-element explodes keep a value an input of what follows, as above
-    cut = rows.select("id", "text_hash", "line_no", F.explode(F.array(plain)).alias("line")).select(
-        "*", (F.regexp_count("line", F.lit(" ")) + 1).alias("m")).where(F.col("m") >= LEAST)
+    cut = rows.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("id", "text_hash", "line_no", F.explode(F.array(plain)).alias("line")).select(
+        "*", (F.regexp_count("line", F.lit(" ")) + 1).alias("m"))
     fields = F.when(F.col("line").rlike("[0-9]"), F.regexp_count("line", F.lit(VARIABLE))).otherwise(0)
     varies = (fields > 0) & (2 * fields < F.col("m"))
     named = cut.withColumn("varies", varies).select("id", "text_hash", "line_no", "varies", F.explode(F.array(
