@@ -159,6 +159,19 @@ def test_vectors(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(300, 305))
 
 
+def test_vectors_small_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16))
+    x[:160] = x[0] + 0.05 * rng.normal(size=(160, 16))  # one group that is found, and pairs that the search misses
+    x[201:400:2] = x[200:400:2] + 0.01 * rng.normal(size=(100, 16))
+    search = vector_dedup.links_of
+    monkeypatch.setattr(vector_dedup, "links_of", lambda *a: search(*a).where("a < 200"))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    out = {r["vec_id"]: r for r in vector_dedup.groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(out[i]["component_id"] == i - i % 2 and out[i]["n_links"] >= 1 for i in range(200, 400))
+    assert vector_dedup.worst_class([(100, 100)] * 60 + [(1, 0)] * 9 + [(1, 1)] * 1) == 0.1 and vector_dedup.worst_class([(0, 0)]) == 1
+
+
 def test_token_counts(docs, empty, rows):
     tokenizer = token_count.load(token_count.vocabulary())
     out = token_count.counts(docs, huge=2000, chunk=600, overlap=100).collect()

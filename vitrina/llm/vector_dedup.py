@@ -8,8 +8,10 @@ vector of a cluster walks the part's graph from the medoids of its connected pie
 and, once in range, on from every vector in range (range-expanding greedy search). Pairs found count only if their cosine in
 double precision is at least ``threshold``.
 
-Recall is audited against all pairs of AUDIT rows (drawn by hash; a documented bound) and all vectors; below TARGET the overlap
-doubles and the search runs again, up to all clusters.
+Recall is audited against all pairs of rows drawn by hash (not the rows of the k-means sample's draw) and all vectors: AUDIT
+rows at first, more until LINKED of them have links or SAMPLE rows are drawn (a documented bound). It is averaged over vectors
+by class of their number of links, so large groups do not speak for small ones. Where a class is below TARGET the overlap
+doubles and the search runs again, up to all clusters; if that does not reach it either, all pairs are compared.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing, nor do rows with a null vec_id; vectors of
 different lengths do not link. Rows that share a vec_id stand for one node. Labels and other columns are not read.
@@ -29,6 +31,7 @@ from vitrina.llm.base import components, prepare, stored
 SAMPLE, CENTRES, CLUSTER, LIMIT = 16384, 2048, 700, 2500
 CANDIDATES, DEGREE, ALPHA, BEAM, ROWS = 64, 24, 1.2, 16, 256
 AUDIT, TARGET = 200, 0.97
+LINKED, CLASS = 200, 10
 
 
 def unit(column) -> np.ndarray:
@@ -143,15 +146,15 @@ def _good(rows: DataFrame) -> DataFrame:
     return rows.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def _draw(bits: int = 30) -> F.Column:
-    return F.pmod(F.xxhash64(F.lit("vectors"), "node"), F.lit(1 << bits)) / float(1 << bits)
+def _draw(salt: str, bits: int = 30) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "node"), F.lit(1 << bits)) / float(1 << bits)
 
 
 def links_of(nodes: DataFrame, n: int, dim: int, threshold: float, overlap: int) -> DataFrame:
     """(a, b) both ways: found pairs of the nodes (node, v, all of one length)."""
     spark = nodes.sparkSession
     k = max(1, min(CENTRES, math.ceil(n / CLUSTER)))
-    sample = nodes.where(_draw() < min(1.0, SAMPLE / n)).select("node", "v").collect()
+    sample = nodes.where(_draw("vectors") < min(1.0, SAMPLE / n)).select("node", "v").collect()
     sample.sort(key=lambda r: hash((r["node"] * 2654435761) % 2**32))
     xs = np.array([r["v"] for r in sample], dtype=np.float64)
     c = centres(xs / np.linalg.norm(xs, axis=1, keepdims=True), min(k, len(xs)))
@@ -199,27 +202,77 @@ def links_of(nodes: DataFrame, n: int, dim: int, threshold: float, overlap: int)
     return found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def audit(nodes: DataFrame, n: int, links: DataFrame, threshold: float) -> tuple[int, int]:
-    """(true links, found links) of about AUDIT nodes against all nodes, by brute force in blocks."""
-    spark = nodes.sparkSession
-    few = nodes.where(_draw() < min(1.0, AUDIT / n))
-    rows = few.select("node", "v").collect()
-    if not rows:
-        return 0, 0
-    x = np.array([r["v"] for r in rows], dtype=np.float64)
-    shared = spark.sparkContext.broadcast((np.array([r["node"] for r in rows]), x / np.linalg.norm(x, axis=1, keepdims=True)))
-
-    def brute(batches):
-        ids, y = shared.value
-        for batch in batches:
-            node = batch.column("node").to_numpy()
-            i, j = np.nonzero(y @ unit(batch.column("v")).T >= threshold)
-            a, b = ids[i], node[j]
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], ["a", "b"])
+def all_pairs(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b) both ways by comparing every part with every other; quadratic."""
+    parts = math.ceil(n / LIMIT)
+    own = nodes.select(F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("own"), "node", "v")
+    left = own.select(F.col("own").alias("part"), F.explode(F.sequence("own", F.lit(parts - 1))).alias("asked"), "node", "v")
+    right = own.select(F.explode(F.sequence(F.lit(0), "own")).alias("qp"), F.col("own").alias("qa"), F.col("node").alias("q"), F.col("v").alias("qv"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(left) and len(right):
+            node, x, q, y = left.column("node").to_numpy(), unit(left.column("v")), right.column("q").to_numpy(), unit(right.column("qv"))
+            for lo in range(0, len(q), ROWS):
+                i, j = np.nonzero(y[lo:lo + ROWS] @ x.T >= threshold)
+                a, b = q[lo + i], node[j]
+                found_a.append(a[a != b])
+                found_b.append(b[a != b])
+        return pa.table({"a": pa.array(np.concatenate(found_a), pa.int64()), "b": pa.array(np.concatenate(found_b), pa.int64())})
+
+    found = left.groupBy("part", "asked").cogroup(right.groupBy("qp", "qa")).applyInArrow(compare, "a long, b long")
+    return found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
-    truth = nodes.select("node", "v").mapInArrow(brute, "a long, b long")
-    r = truth.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return r[0], r[1]
+
+def worst_class(counts: list[tuple[int, int]]) -> float:
+    """Lowest mean recall over classes of vectors by their number of links (1, 2 to 3, 4 to 7, ...); counts: (true, found) of each.
+
+    A class of under CLASS vectors joins the next larger one, the largest the one below it.
+    """
+    classes: dict[int, list[float]] = {}
+    for true, hit in counts:
+        if true:
+            classes.setdefault(true.bit_length(), []).append(hit / true)
+    pooled: list[list[float]] = []
+    for k in sorted(classes):
+        if pooled and len(pooled[-1]) < CLASS:
+            pooled[-1] += classes[k]
+        else:
+            pooled.append(classes[k])
+    if len(pooled) > 1 and len(pooled[-1]) < CLASS:
+        last = pooled.pop()
+        pooled[-1] += last
+    return min((sum(p) / len(p) for p in pooled), default=1.0)
+
+
+def truth_of(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b): all true links of about AUDIT nodes by brute force in blocks; of more nodes until LINKED of them have links."""
+    spark, size = nodes.sparkSession, AUDIT
+    while True:
+        rows = nodes.where(_draw("audit") < min(1.0, size / n)).select("node", "v").collect()
+        x = np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        shared = spark.sparkContext.broadcast((np.array([r["node"] for r in rows], np.int64), x / np.linalg.norm(x, axis=1, keepdims=True)))
+
+        def brute(batches, shared=shared):
+            ids, y = shared.value
+            for batch in batches:
+                node = batch.column("node").to_numpy()
+                if len(ids):
+                    i, j = np.nonzero(y @ unit(batch.column("v")).T >= threshold)
+                    a, b = ids[i], node[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], ["a", "b"])
+
+        truth = stored(nodes.select("node", "v").mapInArrow(brute, "a long, b long"), "vector-truth")
+        if size >= min(n, SAMPLE) or truth.select("a").distinct().count() >= LINKED:
+            return truth
+        size *= 4
+
+
+def audit(truth: DataFrame, links: DataFrame) -> float:
+    """The recall of the links, see worst_class."""
+    counts = truth.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("a").agg(
+        F.count("*").alias("true"), F.count("hit").alias("found"))
+    return worst_class([(r["true"], r["found"]) for r in counts.collect()])
 
 
 def found_links(nodes: DataFrame, threshold: float, overlap: int) -> DataFrame:
@@ -228,10 +281,13 @@ def found_links(nodes: DataFrame, threshold: float, overlap: int) -> DataFrame:
     out = None
     for dim, n in sorted((r["d"], r["n"]) for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()):
         own, wide = nodes.where(F.size("v") == dim), overlap
+        truth = truth_of(own, n, threshold)
         while True:
             links = stored(links_of(own, n, dim, threshold, wide), "vector-links")
-            true, hit = audit(own, n, links, threshold)
-            if hit >= TARGET * true or wide >= min(CENTRES, math.ceil(n / CLUSTER)):
+            if audit(truth, links) >= TARGET:
+                break
+            if wide >= min(CENTRES, math.ceil(n / CLUSTER)):
+                links = stored(all_pairs(own, n, threshold), "vector-links")
                 break
             wide *= 2
         out = links if out is None else out.union(links)
