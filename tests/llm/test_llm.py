@@ -76,6 +76,13 @@ def test_main_text(spark):
     assert html.unescape("&eacute;") == "é" and html_main.best_run([-1, 2, -1, 3, -5, 1]) == (1, 4) and html_main.best_run([-1]) == (0, 0)
 
 
+def test_main_text_beside_articles():
+    body = "<p>" + "</p><p>".join(["several plain words of text"] * 30) + "</p>"
+    page = "<body><div><h1>Head</h1>{}</div><ul><li><a href=a>more</a></li></ul><article><p>short teaser</p></article></body>"
+    text = html_main.extract(page.format(body), {})
+    assert text == "Head " + " ".join(["several plain words of text"] * 30)
+
+
 def test_mixing(docs, empty, rows):
     out = mixing.taken(docs, block_words=16, shard_slots=64).collect()
     size = {(i, s): len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _, s, *_ in rows}

@@ -198,7 +198,6 @@ def extract(page: str | None, weights: dict) -> str:
         seq = tokens(page, by_class)
         if any(t.text and not t.left_out and not t.text.isspace() for t in seq):
             break
-    in_article = any(t.key == ("t", "article") and not t.left_out for t in seq)
     scores = []
     for t in seq:
         if t.left_out:
@@ -206,17 +205,13 @@ def extract(page: str | None, weights: dict) -> str:
             continue
         w = _weight(t.key, weights)
         if t.text is None:
-            scores.append(-3.0 if t.key[1] == "article" else max(w, -0.01) if t.labelled else w)
-        elif in_article and not t.labelled:
-            scores.append(-abs(w) * len(t.text.split()))  # an open article decides against what stands around it
-        elif in_article:
-            scores.append(abs(w) * len(t.text.split()))
+            scores.append(-3.0 if t.key[1] == "article" else w)
         else:
             scores.append(w * len(t.text.split()))
     first, last = best_run(scores)
     parts, block = [], None
     for t in seq[first:last]:
-        if t.text is not None and not t.left_out and (not in_article or t.labelled):
+        if t.text is not None and not t.left_out:
             if block is not None and t.block != block:
                 parts.append(" ")
             parts.append(t.text)
