@@ -83,6 +83,16 @@ def test_main_text_beside_articles():
     assert text == "Head " + " ".join(["several plain words of text"] * 30)
 
 
+def test_main_text_in_wrappers():
+    body = "<p>" + "</p><p>".join(["several plain words of text"] * 30) + "</p>"
+    want = " ".join(["several plain words of text"] * 30)
+    for attrs in ("class='content-sidebar-wrap'", "id='page' class='layout-sidebar-right'", "class='social-science'", "class='post-with-share'"):
+        for name in ("article", "main", "div"):
+            page = f"<body><h5>Site</h5><div {attrs}><{name}>{body}</{name}><div class=sidebar>aside</div></div></body>"
+            assert html_main.extract(page, {}) in (want, "Site " + want)
+    assert html_main.extract(f"<body><article><p>short text</p><section id=comments>{body}</section></article></body>", {}) == "short text"
+
+
 def test_mixing(docs, empty, rows):
     out = mixing.taken(docs, block_words=16, shard_slots=64).collect()
     size = {(i, s): len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _, s, *_ in rows}

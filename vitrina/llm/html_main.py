@@ -5,7 +5,9 @@ not), tags the weight of their name; both are log odds from labelled pages: page
 own words, inside or outside. Words are worth something, tags cost something, and one linear scan finds the contiguous
 run with the highest sum. Elements that are never article text (scripts, styles, menus, forms, page headers, footers,
 sidebars, notices, adverts, reader comments; told by element, role or class name) score nothing and are left out of the
-text, so they neither attract nor break the run.
+text, so they neither attract nor break the run. Class names do not leave out an element that holds most unlinked words of
+the page's articles (of its <main> if no article has any, else of the page): that is a wrapper. Reader comments, role and
+hiding are left out at any size.
 
 Text: character references decoded, white space inside a block one space, blocks joined by one space in page order.
 Null, empty and tag-only pages give an empty text. Rows are independent; repeated rows give repeated results; other
@@ -46,6 +48,7 @@ FURNITURE = re.compile(
     r"|sidebars?|sidenav|menus?|nav|navs|navbar|navigation|breadcrumbs?|footers?|footnav|masthead|topbar|toolbars?|share|sharing"
     r"|social|related|recommend(?:ed|ations?)|comments?|commentlist|commentform|disqus|respond|replies|reply|widgets?|pagination|pager"
     r"|skip|skiplink|searchbox|searchform|disclaimer|teasers?|outbrain|taboola)")
+COMMENTS = frozenset("comment comments commentlist commentform disqus respond reply replies".split())
 CONTENT = frozenset("content article post entry main story".split())
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
@@ -55,21 +58,24 @@ _CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _furniture(attrs: str) -> bool:
-    """Is an element with these attributes page furniture by role, hiding or class words?"""
+def _furniture(attrs: str) -> str:
+    """Why an element with these attributes is page furniture: "sure" (role, hiding, comments), "class" words, or ""."""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     if found.get("role", "").strip().lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return "sure"
     if _HIDDEN.search(found.get("style", "")):
-        return True
+        return "sure"
     names = [n for key in ("class", "id") for n in found.get(key, "").split()]
     if any(n.lower() in CONTENT for n in names):
-        return False
+        return ""
+    why = ""
     for name in names:
         words = [w.lower() for w in _CLASS_WORD.findall(name)]
         if words and words[0] not in ("has", "with", "no", "without") and any(FURNITURE.fullmatch(w) for w in words):
-            return True
-    return False
+            if not COMMENTS.isdisjoint(words):
+                return "sure"
+            why = "class"
+    return why
 
 
 class Token:
@@ -85,11 +91,21 @@ def tokens(page: str, by_class: bool = True) -> list[Token]:
     """Tags have text None. ``block`` grows at every block edge; ``labelled`` tells whether an <article> is open."""
     out: list[Token] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, article
+    within: list[tuple[int, ...]] = []  # for each open element, the elements with furniture's class words around it
+    marked: list[tuple[int, ...]] = []  # the same for each token
+    mains: list[bool] = []  # for each token, is a <main> open?
+    n_marked = 0
     open_names: Counter = Counter()
     block, raw = 0, ""
 
     def pop() -> None:
         open_names[stack.pop()[0]] -= 1
+        within.pop()
+
+    def put(token: Token, around: tuple[int, ...]) -> None:
+        out.append(token)
+        marked.append(around)
+        mains.append(bool(open_names["main"]))
 
     def close_to(name: str) -> None:
         while stack and stack[-1][0] != name:
@@ -111,7 +127,7 @@ def tokens(page: str, by_class: bool = True) -> list[Token]:
         if m["text"] is not None:
             where = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body") if not dropped else ""
             key = ("w", where, bool(open_names["a"]))
-            out.append(Token(key, html.unescape(m["text"]), block, dropped, article))
+            put(Token(key, html.unescape(m["text"]), block, dropped, article), within[-1] if within else ())
             continue
         name = (m["name"] or "").lower()
         if not name:
@@ -119,7 +135,7 @@ def tokens(page: str, by_class: bool = True) -> list[Token]:
         if name in BLOCKS or name == "br":
             block += 1
         if m["close"]:
-            out.append(Token(("t", name), None, block, dropped, article))
+            put(Token(("t", name), None, block, dropped, article), within[-1] if within else ())
             if open_names[name]:
                 close_to(name)
             continue
@@ -132,18 +148,39 @@ def tokens(page: str, by_class: bool = True) -> list[Token]:
                 if inner == ended:
                     close_to(ended)
         dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        around = within[-1] if within else ()
         gone = dropped or name in DROPPED or (name == "header" and not article and not open_names["main"])
         if not gone and by_class and name not in ("html", "body", "main", "article"):
-            gone = bool(m["attrs"]) and _furniture(m["attrs"])
+            why = _furniture(m["attrs"]) if m["attrs"] else ""
+            gone = why == "sure"
+            if why == "class":
+                n_marked += 1
+                around = (*around, n_marked)
         article = article or name == "article"
-        out.append(Token(("t", name), None, block, gone, article and name != "article"))
+        put(Token(("t", name), None, block, gone, article and name != "article"), around)
         if name in RAW:
             raw = name
             stack.append((name, gone, article))
+            within.append(around)
             open_names[name] += 1
         elif name not in VOID:
             stack.append((name, gone, article))
+            within.append(around)
             open_names[name] += 1
+    if n_marked:
+        words = [0 if t.text is None or t.left_out or t.key[2] else len(t.text.split()) for t in out]
+        counted = [n if t.labelled else 0 for t, n in zip(out, words)]
+        if not any(counted):
+            counted = [n if m else 0 for n, m in zip(words, mains)]
+        if not any(counted):
+            counted = words
+        held: Counter = Counter()
+        for own, n in zip(marked, counted):
+            for k in own:
+                held[k] += n
+        total = sum(counted)
+        for t, own in zip(out, marked):
+            t.left_out = t.left_out or any(2 * held[k] <= total for k in own)
     return out
 
 
