@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrina.llm import html_main, jaccard, langid, licenses, line_dedup, merkle, mixing, packing, token_count, vector_dedup
+from vitrina.llm import html_main, jaccard, langid, licenses, line_dedup, merkle, mixing, packing, prefix_trie
+from vitrina.llm import ranked_search, token_count, toxicity, vector_dedup
 from vitrina.llm.base import table
 
 
@@ -25,6 +26,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": _over("documents", packing.pack),
     "op9_ngram_jaccard_join": _over("documents", jaccard.groups),
     "op10_license_scan": _over("documents", licenses.scan),
+    "op11_conversation_trie": _over("conversations", prefix_trie.nodes),
+    "op12_toxicity": lambda spark, sf_dir: toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op13_ranked_search": lambda spark, sf_dir: ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
-SQL: dict[str, str] = {"op4_line_dedup": line_dedup.SQL, "op10_license_scan": licenses.sql()}
+SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.SQL, "op10_license_scan": licenses.sql(), "op11_conversation_trie": prefix_trie.SQL,
+    "op13_ranked_search": ranked_search.SQL,
+}
