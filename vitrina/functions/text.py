@@ -90,10 +90,14 @@ def name_tokens(c: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda t: (F.length(t) >= 3) & ~t.isin(P.NAME_STOPWORDS))
 
 
+def covered(tokens: Column, hay: Column) -> Column:
+    """Share of tokens found in normalised text; 0 without tokens."""
+    return F.when(F.size(tokens) == 0, F.lit(0.0)).otherwise(F.size(F.filter(tokens, lambda t: F.contains(hay, t))) / F.size(tokens))
+
+
 def name_coverage(name: Column, haystack: Column) -> Column:
     both = F.struct(name_tokens(name).alias("tokens"), normalize_text(haystack).alias("hay"))
-    return let(both, lambda b: F.when(F.size(b["tokens"]) == 0, F.lit(0.0)).otherwise(
-        F.size(F.filter(b["tokens"], lambda t: F.contains(b["hay"], t))) / F.size(b["tokens"])))
+    return let(both, lambda b: covered(b["tokens"], b["hay"]))
 
 
 def emails(text: Column, extra: Column | None = None, limit: int = 10) -> Column:

@@ -14,11 +14,15 @@ from ..rules.regex import java
 MAX_PAGES = 6
 
 
-def features(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """All page facts beside the input keys; the raw HTML is not carried on."""
+# what the visible text, the headings and the telephone links of a page are made from
+TEXT_FACTS = {"_raw", "_page", "_clean", "_host", "_bare", "_tags", "_base", "_anchors", "text", "title", "h1", "tel_links"}
+
+
+def features(pages: DataFrame, html: str = "html", url: str = "url", only: set[str] | None = None) -> DataFrame:
+    """All page facts (or those named) beside the input keys; the raw HTML is not carried on."""
     df = pages
     for layer in HT.page_columns(F.col(html), F.col(url)):
-        df = df.withColumns(layer)
+        df = df.withColumns({name: c for name, c in layer.items() if only is None or name in only})
     return df.drop(html, *[c for c in df.columns if c.startswith("_")])
 
 

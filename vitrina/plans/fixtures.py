@@ -143,6 +143,31 @@ from (select c_custkey, SERIES(0, 7) as rnk from customer) c
 join (values (0,'facebook.com'),(1,'bar-uno.es'),(2,'tripadvisor.es'),(3,'tienda.com.es'),(4,'pelu.wixsite.com'),(5,'bar-dos.es'),(6,'elpais.com'),(7,'tres.co.uk'),(8,'mi.business.site'),(9,'cuatro.es'),(10,'shop.bar-uno.es')) as h(i, host) on h.i = (c.c_custkey * 3 + c.rnk * 7) % 11
 """
 
+FIXTURES["fx_web_hit"] = """
+select c.c_custkey as business_id, c.rnk, concat('https://', case (c.c_custkey * 3 + c.rnk * 5) % 9 when 0 then 'www.facebook.com/biz' when 1 then concat('www.negocio', cast(c.c_custkey as varchar(12)), '.es/') when 2 then 'www.tripadvisor.es/x'
+  when 3 then concat('tienda.negocio', cast(c.c_custkey as varchar(12)), '.es/t') when 4 then 'guia-local.es/sitio' when 5 then concat('pelu', cast(c.c_custkey as varchar(12)), '.wixsite.com/inicio') when 6 then 'elpais.com/n'
+  when 7 then concat('www.otro', cast(c.c_custkey % 40 as varchar(4)), '.co.uk/') else 'bad host/x' end, '?r=', cast(c.rnk as varchar(2))) as url, 'Resultado' as title, 'Texto' as snippet
+from (select c_custkey, SERIES(0, 7) as rnk from customer) c
+"""
+
+FIXTURES["fx_home_capture"] = """
+select h.home as requested_url, h.attempt, case when h.id % 10 = 7 then concat(h.home, 'inicio') else h.home end as url,
+ case when h.id % 13 = 5 then 404 when h.id % 17 = 3 then 503 else 200 end as status,
+ case when h.id % 19 = 4 then 'application/pdf' when h.id % 3 = 0 then 'text/html; charset=utf-8' else 'text/html' end as content_type,
+ case when h.id % 5 = 2 and h.attempt = 1 then 'TIMEOUT' when h.id % 23 = 9 then 'DNS_NOT_FOUND' end as error_code,
+ concat('<html><head><title>', case h.id % 4 when 0 then h.name when 1 then concat('Bienvenidos a ', upper(h.name)) when 2 then 'Inicio' else concat('customer ', h.city) end, '</title></head><body><h1>',
+  case when h.id % 2 = 0 then h.city else 'Portada' end, '</h1><p>', h.words, case when h.id % 3 = 1 then concat(' CP ', coalesce(h.postal_code, 'no')) else '' end, ' fin</p>',
+  case when h.national_phone is null then '' when h.id % 6 in (1, 2) then concat('<a href="tel:+34', h.national_phone, '">Llamar</a>') when h.id % 6 = 3 then concat('<p>Tel. ', substring(h.national_phone, 1, 3), ' ', substring(h.national_phone, 4, 6), ' y listo</p>') else '' end,
+  '</body></html>') as html
+from (select b.business_id as id, b.name, b.city, b.postal_code, b.national_phone, p.p_name as words, SERIES(1, 2) as attempt,
+  case b.business_id % 3 when 0 then concat('https://www.negocio', cast(b.business_id as varchar(12)), '.es/') when 1 then concat('https://tienda.negocio', cast(b.business_id as varchar(12)), '.es/') else concat('https://pelu', cast(b.business_id as varchar(12)), '.wixsite.com/') end as home
+  from fx_business b join part p on p.p_partkey = b.business_id) h
+union all
+select case when g.k = 0 then 'https://guia-local.es/' else concat('https://www.otro', cast(g.k as varchar(4)), '.co.uk/') end, 1, case when g.k = 0 then 'https://guia-local.es/es' else concat('https://www.otro', cast(g.k as varchar(4)), '.co.uk/') end, case when g.k % 7 = 3 then 500 else 200 end, 'text/html', null,
+ concat('<html><head><title>Todos los bares</title></head><body><h1>Customer</h1><p>', n.n_name, '</p></body></html>')
+from (select n_nationkey as k, n_name from nation) g join nation n on n.n_nationkey = g.k
+"""
+
 FIXTURES["fx_page"] = """
 select cast((p.page_id - p.page_id % 3) / 3 as bigint) as business_id, p.page_id % 3 as seq, p.page_id, p.url,
   case when p.page_id % 29 = 3 then concat('<!DOCTYPE html><html><head><title>App</title></head><body><div id="root"></div><script src="/app.js?v=', cast(p.page_id as varchar(12)), '"></script><noscript>Please enable JavaScript</noscript></body></html>')

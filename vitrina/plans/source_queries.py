@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..functions import hours as H
 from ..operators import discovery as DI
+from ..operators import official as OF
 from ..operators import store as ST
+from ..rules import patterns as P
 from ..rules.categories import CATEGORIES
 from ..rules.platforms import SEARCH_IGNORE_DOMAINS
 from ..sources import captures as CA
@@ -16,7 +18,7 @@ from ..sources import robots as RO
 from .fixtures import AS_OF, now
 from .registry import query
 from .sqltext import quoted, values
-from .text_queries import HOST_PARTS, PLATFORM_VALUES
+from .text_queries import HOST_PARTS, PLATFORM_VALUES, _norm, _squeeze
 
 B = "fx_business"
 
@@ -218,6 +220,60 @@ def official_site(t):
     return DI.official_site(t["fx_search_hit"])
 
 
+_VERIFIED = f"""
+plat(seq, domain, kind, label) as (values {PLATFORM_VALUES}),
+hp as (select *, regexp_extract(url, '^https://([^/]*)', 1) as host from fx_web_hit where not contains(regexp_extract(url, '^https://([^/]*)', 1), ' ')),
+hd as (select *, {HOST_PARTS.format(h="host")} as domain, (select arg_min(kind, seq) from plat p where p.domain <> 'google.com' and (host = p.domain or ends_with(host, '.' || p.domain))) as kind from hp),
+h1 as (select *, row_number() over (partition by business_id, domain order by rnk, url) as dr from hd),
+play as (select *, row_number() over (partition by business_id order by rnk) as position, 'https://' || host || '/' as home from h1 where dr = 1 and (kind is null or kind = 'FREE_SUBDOMAIN_BUILDER')
+ and not exists (select 1 from (values {values([(d,) for d in SEARCH_IGNORE_DOMAINS])}) as g(d) where domain = g.d or ends_with(host, '.' || g.d)) qualify position <= 3),
+cap as (select * from fx_home_capture qualify row_number() over (partition by requested_url order by attempt desc, url desc) = 1),
+pgs as (select *, case when error_code is not null then error_code when status >= 400 or not contains(lower(content_type), 'text/html') then 'HTTP ' || status end as unread,
+ regexp_extract(html, '<title>(.*?)</title>', 1) || ' ' || regexp_extract(html, '<h1>(.*?)</h1>', 1) || ' ' || {_squeeze("regexp_replace(regexp_extract(html, '<body>(.*)</body>', 1), '<[^>]*>', ' ', 'g')")} as hay,
+ list_transform(list_concat(regexp_extract_all(html, 'tel:([^"]*)"', 1), regexp_extract_all(html, 'Tel. ([0-9 ]*)', 1)), lambda x: '+34' || regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^34([0-9]{{9}})$', '\\1')) as phones from cap),
+judge as (select p.business_id, p.position, p.home, g.url as final_url, g.unread, g.requested_url is not null as fetched,
+ coalesce(list_contains(g.phones, '+34' || b.national_phone), false) as by_phone,
+ len(list_filter(toks, lambda x: contains({_norm("g.hay")}, x))) / len(toks) as cover,
+ contains({_norm("g.hay")}, {_norm("b.city")}) or coalesce(contains(g.hay, b.postal_code), false) as located
+ from play p join (select *, list_filter(string_split(regexp_replace({_norm("name")}, '[^a-z0-9ñ ]', ' ', 'g'), ' '), lambda x: length(x) >= 3 and x not in ({quoted(P.NAME_STOPWORDS)})) as toks from fx_business) b using (business_id)
+ left join pgs g on g.requested_url = p.home),
+ver as (select *, fetched and unread is null as readable, case when fetched and unread is null then case when by_phone then 'phone' when cover >= 0.6 and located then 'name_location' end end as verification,
+ case when fetched and unread is null then 'Coincidencia insuficiente (nombre ' || floor(cover * 100 + 0.5)::int || '%, ubicación ' || case when located then 'sí' else 'no' end || ')' else 'No verificable (' || coalesce(unread, 'error') || ')' end as reason,
+ case when fetched and unread is null then final_url else home end as url from judge),
+walk as (select *, coalesce(bool_or(verification is not null) over (partition by business_id order by position rows between unbounded preceding and 1 preceding), false) as done from ver),
+found as (select b.business_id, b.provider_key, r.url, r.verification, coalesce(r.candidates, '') as candidates from fx_business b left join (
+ select business_id, max(case when verification is not null then url end) as url, max(verification) as verification,
+  string_agg(url || ' (' || reason || ')', '; ' order by position) filter (where verification is null) as candidates from walk where not done group by 1) r using (business_id))
+"""
+
+
+def _search(t):
+    business = t[B].withColumn("international_phone", F.lit(None).cast("string"))
+    return OF.find(business, t["fx_web_hit"], t["fx_home_capture"])
+
+
+@query("official_site_verified", (B, "fx_web_hit", "fx_home_capture"), "select business_id, url, verification, candidates from found", _VERIFIED)
+def official_site_verified(t):
+    shown = F.array_join(F.transform("candidates", lambda c: F.concat(c["url"], F.lit(" ("), c["reason"], F.lit(")"))), "; ")
+    return _search(t).select("business_id", "url", "verification", shown.alias("candidates"))
+
+
+@query("official_site_findings", (B, "fx_web_hit", "fx_home_capture", "fx_finding_raw"), """
+select business_id, code, 'INFO' as severity, confidence, title, description from fx_finding_raw where business_id in (select business_id from found where url is not null)
+union all select business_id, 'GOOGLE_LISTING_MISSING_WEBSITE', 'MEDIUM', case verification when 'phone' then 'HIGH' else 'MEDIUM' end,
+ 'La ficha de ' || case provider_key when 'google_places' then 'Google' else 'OpenStreetMap' end || ' no enlaza la web del negocio',
+ 'La web se ha encontrado mediante buscador y se ha verificado por ' || case verification when 'phone' then 'coincidencia de teléfono' else 'coincidencia de nombre y ubicación' end || '.' from found where url is not null""", _VERIFIED)
+def official_site_findings(t):
+    rows = OF.found_findings(_search(t), t[B], t["fx_finding_raw"])
+    return rows.select("business_id", "code", "severity", "confidence", "title", "description")
+
+
+@query("official_site_notes", (B, "fx_web_hit", "fx_home_capture"), f"""
+select business_id, '{OF.NOTE}' || candidates as note from found where url is null and candidates <> ''""", _VERIFIED)
+def official_site_notes(t):
+    return OF.search_notes(_search(t))
+
+
 @query("robots_rules", ("fx_robots",), """
 select site_id, name as kind, seq, value from mark where value <> '' and (name = 'sitemap' or (name in ('allow','disallow') and grp > 0 and case when anyspec then spec else gen end))""", """
 ln as (select site_id, trim(regexp_replace(l, '#.*$', ''), E' \\t\\r') as l, i - 1 as seq from (select site_id, unnest(string_split(content, chr(10))) as l, generate_subscripts(string_split(content, chr(10)), 1) as i from fx_robots)),
