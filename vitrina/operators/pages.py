@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..rules import patterns as P
 from ..rules.regex import java
+from .links import keep_allowed
 
 MAX_PAGES = 6
 
@@ -72,11 +73,11 @@ def page_links(pages: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def frontier(homes: DataFrame, robots: Column | None = None, max_pages: int = MAX_PAGES) -> DataFrame:
+def frontier(homes: DataFrame, rules: DataFrame | None = None, max_pages: int | None = MAX_PAGES) -> DataFrame:
     """Further pages to fetch per home page: contact links first, then keyword kinds, each address once.
 
-    ``robots`` maps (link struct) to a Column saying whether it may be fetched. Candidates live in one home page's
-    link array, so the choice is a projection.
+    ``rules`` are robots rules (business_id, kind, value); addresses they forbid take no place. Candidates live in one home
+    page's link array, so the choice is a projection. ``max_pages`` counts the home page; None sets no limit.
     """
     bare = lambda u: F.regexp_replace(F.regexp_replace(u, "#.*$", ""), "/$", "")
 
@@ -85,7 +86,8 @@ def frontier(homes: DataFrame, robots: Column | None = None, max_pages: int = MA
         return F.coalesce(*[F.when(hay.rlike(java(p)), F.lit(k)) for k, p in P.FRONTIER_KINDS])
 
     contact = F.filter("links", lambda x: F.array_contains("contact_pages", x["href"]))
-    entry = lambda x, k: F.struct(bare(x["href"]).alias("url"), k.alias("kind"), x["parts"]["path"].alias("path"))
+    entry = lambda x, k: F.struct(bare(x["href"]).alias("url"), k.alias("kind"), x["parts"]["path"].alias("path"),
+                                  F.concat(x["parts"]["path"], F.coalesce(x["parts"]["query"], F.lit(""))).alias("asked"))
     wanted = F.concat(
         F.transform(contact, lambda x: entry(x, F.lit("contact"))),
         F.filter(
@@ -96,12 +98,11 @@ def frontier(homes: DataFrame, robots: Column | None = None, max_pages: int = MA
     usable = F.filter(
         wanted, lambda e: ~e["path"].rlike(java(P.BINARY_PATH)) & (e["url"] != F.regexp_replace("url", "/$", "")))
     once = HT._first_by(usable, "url")
-    rows = homes.select("business_id", "url", F.posexplode(once).alias("k", "e"))
-    if robots is not None:
-        rows = rows.where(robots)
-    return rows.select("business_id", F.col("e.url").alias("page_url"), F.col("e.kind").alias("kind"), "k").withColumn(
-        "position", F.row_number().over(Window.partitionBy("business_id").orderBy("k"))
-    ).where(F.col("position") <= max_pages - 1)
+    rows = homes.select("business_id", F.posexplode(once).alias("k", "e")).select(
+        "business_id", "k", F.col("e.asked").alias("path"), F.col("e.url").alias("page_url"), F.col("e.kind").alias("kind"))
+    ranked = keep_allowed(rows, rules).select("business_id", "page_url", "kind", "k").withColumn(
+        "position", F.row_number().over(Window.partitionBy("business_id").orderBy("k")))
+    return ranked if max_pages is None else ranked.where(F.col("position") <= max_pages - 1)
 
 
 def social_links(links: DataFrame, *keys: str) -> DataFrame:

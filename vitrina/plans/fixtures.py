@@ -238,6 +238,14 @@ join (values (0, concat('User-agent: *', chr(13), chr(10), 'Disallow: /fr', chr(
 join (values (0, '/fr/public/'), (1, '/en/'), (2, '/p'), (3, '/index.php?x='), (4, '/orphan'), (5, '/p1/x')) as t(i, path) on t.i = p.page_id % 6
 """
 
+FIXTURES["fx_site_robots"] = """
+select s.business_id, concat(r.body, chr(10), 'Disallow: /', case s.business_id % 4 when 0 then 'de' when 1 then 'the' when 2 then 'in$' else 'er*n' end) as content
+from (select distinct business_id from fx_page) s
+join (values (0, concat('User-agent: *', chr(10), 'Disallow: /cont', chr(10), 'Allow: /contacto$')), (1, concat('User-agent: *', chr(10), 'Disallow: /*previa', chr(10), 'Disallow: /e')),
+ (2, concat('User-agent: sitecheck', chr(10), 'Disallow: /', chr(10), 'Allow: /n', chr(10), 'Allow: /c*a')), (3, concat('User-agent: other', chr(10), 'Disallow: /', chr(10), 'User-agent: *', chr(10), 'Allow: /x')),
+ (4, concat('User-agent: *', chr(10), 'Disallow: /cita-previa', chr(10), 'Allow: /cita-previa')), (5, 'Disallow: /orphan')) as r(i, body) on r.i = s.business_id % 6
+"""
+
 FIXTURES["fx_lead_text"] = """
 select d.doc_id, d.text, d.lang, concat(case d.doc_id % 6 when 0 then 'Menú de Navidad 2018 y oferta de verano 2021. ' when 1 then 'Copyright 2012-2016. Abierto desde 1999. ' when 2 then 'Calle Sierpes 12, 41004 Sevilla; tel. 954 123 456 y +44 20 7946 0958. ' when 3 then 'COVID-19: aforo limitado. Lunes a viernes 09:00 - 14:00. ' when 4 then 'Este dominio está en venta. ' else 'Próximamente: hola@Bar-Pepe.es, user@test.com ' end, d.text) as ad_text
 from documents d

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import url as U
+from ..operators import links as LI
 from ..operators import pages as PG
 from ..rules import patterns as P
 from ..rules.platforms import BOOKING_HOSTS
 from ..rules.regex import ansi
+from ..sources import robots as RO
 from .registry import query
 from .stages import staged
 from .sqltext import values
-from .text_queries import PLATFORM_VALUES, _squeeze, _trim
+from .text_queries import HOST_PARTS, PLATFORM_VALUES, _squeeze, _trim
 
 PAGE = "fx_page"
 A = """((?:[^''">]|"[^"]*"|''[^'']*'')*)"""
@@ -187,3 +190,56 @@ select business_id, page_url, kind from (select *, row_number() over (partition
  where kind is not null and not regexp_matches(path, {ansi(P.BINARY_PATH)})) where rn = 1) where position <= 5""", PAGES)
 def crawl_frontier(t):
     return PG.frontier(_feats(t).where("seq = 0")).select("business_id", "page_url", "kind")
+
+
+SITE_RULES = """
+rln as (select business_id, trim(regexp_replace(l, '#.*$', ''), E' \\t\\r') as l, i as seq from (select business_id, unnest(string_split(content, chr(10))) as l, generate_subscripts(string_split(content, chr(10)), 1) as i from fx_site_robots)),
+rkv as (select business_id, seq, lower(trim(split_part(l, ':', 1))) as name, trim(substr(l, strpos(l, ':') + 1)) as value from rln where contains(l, ':')),
+rgr as (select *, sum(op) over (partition by business_id order by seq) as grp from (select *, case when name = 'user-agent' and coalesce(lag(name) over (partition by business_id order by seq), '') <> 'user-agent' then 1 else 0 end as op from rkv)),
+rsp as (select *, bool_or(name = 'user-agent' and value <> '*' and contains('sitecheck', lower(value))) over (partition by business_id, grp) as spec, bool_or(name = 'user-agent' and value = '*') over (partition by business_id, grp) as gen from rgr),
+rule as (select business_id, name, value, '^' || replace(regexp_replace(regexp_replace(value, '([.+?^{}()|$])', '\\\\\\1', 'g'), '\\\\\\$$', '$'), '*', '.*') as re
+ from (select *, bool_or(spec) over (partition by business_id) as anyspec from rsp) where value <> '' and name in ('allow', 'disallow') and grp > 0 and case when anyspec then spec else gen end)
+"""
+
+
+def _may(path):
+    """SQL truth value of a path under the rules of the row's business."""
+    return (f"coalesce((select arg_max(r.name = 'allow', length(r.value) * 2 + (r.name = 'allow')::int) from rule r "
+            f"where r.business_id = c.business_id and regexp_matches({path}, r.re)), true)")
+
+
+def _site_rules(t):
+    return RO.parse_robots(t["fx_site_robots"], key="business_id")
+
+
+@query("crawl_frontier_robots", (PAGE, "fx_site_robots"), f"""
+select business_id, page_url, kind, row_number() over (partition by business_id order by pri, k) as position from (
+ select c.* from (select *, row_number() over (partition by business_id, page_url order by pri, k) as rn from (
+  select business_id, regexp_replace(regexp_replace(href, '#.*$', ''), '/$', '') as page_url, 'contact' as kind, 0 as pri, k, path, href from lk where seq = 0 and internal and (regexp_matches(path, {ansi(P.CONTACT_LINK)}) or regexp_matches(text, {ansi(P.CONTACT_LINK)}))
+  union all select business_id, regexp_replace(regexp_replace(href, '#.*$', ''), '/$', ''), {_KINDS}, 1, k, path, href from lk where seq = 0 and internal)
+ where kind is not null and not regexp_matches(path, {ansi(P.BINARY_PATH)})) c where rn = 1 and {_may("regexp_extract(c.href, '://[^/?#]*([^#]*)', 1)")})""", PAGES + "," + SITE_RULES)
+def crawl_frontier_robots(t):
+    found = PG.frontier(_feats(t).where("seq = 0"), _site_rules(t), max_pages=None)
+    return found.select("business_id", "page_url", "kind", F.col("position").cast("bigint").alias("position"))
+
+
+_ABS = """case when {u} is null or {u} = '' or starts_with({u}, '#') or regexp_matches({u}, '(?i)^(javascript|data):') then null when regexp_matches({u}, '^https?:') then {u} when starts_with({u}, '//') then split_part(url, ':', 1) || ':' || {u}
+ when starts_with({u}, '/') then regexp_extract(url, '^[a-z]+://[^/?#]*') || {u} else regexp_extract(url, '^[a-z]+://[^/?#]*') || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') || {u} end"""
+_SRC = f"coalesce({_attr('raw', 'src')}, {_attr('raw', 'data-src')})"
+
+
+@query("link_targets", (PAGE, "fx_site_robots"), f"""
+select business_id, kind as target_kind, position, target_url from (select *, row_number() over (partition by business_id, kind order by seq, ord, target_url) as position from (
+ select business_id, kind, target_url, arg_min(seq, (seq, ord)) as seq, arg_min(ord, (seq, ord)) as ord from (
+  select c.business_id, 'link' as kind, regexp_replace(c.href, '#.*$', '') as target_url, c.seq, c.k as ord from lk c where internal
+   and not exists (select 1 from fx_page f where f.business_id = c.business_id and regexp_replace(f.url, '/$', '') = regexp_replace(regexp_replace(c.href, '#.*$', ''), '/$', '')) and {_may("regexp_extract(c.href, '://[^/?#]*([^#]*)', 1)")}
+  union all select tg.business_id, 'image', target, tg.seq, tg.k from (select tgs.*, {_ABS.format(u='v')} as target from (select t.*, p.business_id, p.seq, p.url, {_SRC} as v from tg t join fx_page p using (page_id) where name = 'img') tgs) tg where regexp_matches(target, '(?i)^https?:')
+  union all select tg.business_id, 'resource', target, tg.seq, tg.k + case name when 'link' then 1000000 else 0 end from (select tgs.*, {_ABS.format(u='v')} as target from (
+    select t.*, p.business_id, p.seq, p.url, case name when 'script' then {_attr('raw', 'src')} else {_attr('raw', 'href')} end as v from tg t join fx_page p using (page_id) where name = 'script' or (name = 'link' and regexp_matches(lower(coalesce({_attr('raw', 'rel')}, '')), '(^|\\s)stylesheet(\\s|$)'))) tgs) tg where regexp_matches(target, '(?i)^https?:')
+  union all select c.business_id, 'domain', c.lhost, c.seq, c.k from lk c where not internal and c.lhost <> '' and not exists (select 1 from (values {PLATFORM_VALUES}) as pl(s, d, kd, lb) where (d <> 'google.com' or starts_with(c.path, '/maps')) and (c.lhost = d or ends_with(c.lhost, '.' || d)))
+   and {HOST_PARTS.format(h='c.lhost')} <> {HOST_PARTS.format(h='c.host')}) group by 1, 2, 3))
+where position <= case kind when 'link' then 25 when 'domain' then 10 else 15 end""", PAGES + "," + SITE_RULES)
+def link_targets(t):
+    pages = _feats(t).withColumn("home_host", U.parse(F.col("url"))["host"])
+    found = LI.link_targets(pages, t[PAGE].select("business_id", "url"), _site_rules(t), LI.QUOTAS)
+    return found.withColumn("position", F.col("position").cast("bigint"))
