@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from . import audit_queries, consistency_queries, listing_queries, page_queries, scoring_queries, site_queries, source_queries, stream_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    audit_queries, consistency_queries, listing_queries, page_queries, scoring_queries, site_queries, source_queries, store_queries, stream_queries, text_queries,
+)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
