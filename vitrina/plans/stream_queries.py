@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import live as LV
+from ..streaming import timeline as TL
 from .fixtures import AS_OF, now
 from .registry import query
 
@@ -89,3 +90,60 @@ def stream_scan_cost(t):
 def stream_reanalyze_dedupe(t):
     # the file arrives as one micro-batch, so the watermark does not expire any key in between
     return LV.run_to_table(LV.reanalyze_requests(_stream(t)), "reanalyze", "append")
+
+
+_AT = "epoch_ms(ts)"
+_END = "(select max(epoch_ms(ts)) - 600000 from le where {})"  # the last watermark: ten minutes behind the newest event
+_STAMP = "strftime(make_timestamp({} * 1000), '%Y-%m-%d %H:%M:%S')"
+
+
+def _shown(rows: DataFrame, *times: str) -> DataFrame:
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in times})
+
+
+@query("stream_hanging_jobs", (), f"""
+select business_id, {_STAMP.format("ms")} as since, {_STAMP.format("(ms + 600000)")} as alerted_at from (
+ select business_id, kind, {_AT} as ms, lead({_AT}) over (partition by business_id order by ts, event_id) as nxt from le where kind like 'JOB%')
+where kind = 'JOB_STARTED' and coalesce(nxt > ms + 600000, true) and ms + 600000 < {_END.format("kind like 'JOB%'")}""", _LE)
+def stream_hanging_jobs(t):
+    return _shown(LV.run_to_table(TL.hanging_jobs(_stream(t)), "hanging-jobs", "append"), "since", "alerted_at")
+
+
+@query("stream_followup_alerts", (), f"""
+select business_id, {_STAMP.format("due")} as follow_up, {_STAMP.format("min(greatest(due, ms))")} as alerted_at from (
+ select business_id, ms, coalesce(lead(ms) over w, fin) as nxt, coalesce(last_value(case when st is not null then st in ('WON','LOST','DISCARDED') end ignore nulls) over w, false) as closed,
+  last_value(case when resched then coalesce(epoch_ms(fu), -1) end ignore nulls) over w as due
+ from (select *, {_AT} as ms, {_END.format("kind = 'LEAD_PATCH'")} as fin from le where kind = 'LEAD_PATCH') where ms < fin
+ window w as (partition by business_id order by ts, event_id))
+where due >= 0 and not closed and greatest(due, ms) < nxt group by business_id, due""", _LE)
+def stream_followup_alerts(t):
+    return _shown(LV.run_to_table(TL.followup_alerts(_stream(t)), "followup-alerts", "append"), "follow_up", "alerted_at")
+
+
+_PENDING = f"""
+ask as (select business_id, event_id, kind, {_AT} as ms, lag(kind) over (partition by business_id order by ts, event_id) as before from le where kind in ('REANALYZE', 'JOB_DONE', 'JOB_FAILED'))
+"""
+
+
+@query("stream_reanalyze_pending", (), f"""
+select business_id, event_id, {_STAMP.format("ms")} as requested_at from ask
+where kind = 'REANALYZE' and coalesce(before <> 'REANALYZE', true) and ms < {_END.format("kind in ('REANALYZE', 'JOB_DONE', 'JOB_FAILED')")}""", _LE + "," + _PENDING)
+def stream_reanalyze_pending(t):
+    return _shown(LV.run_to_table(TL.accepted_requests(_stream(t)), "reanalyze-pending", "append"), "requested_at")
+
+
+@query("batch_reanalyze_pending", (), f"""
+select business_id, event_id, {_STAMP.format("ms")} as requested_at from ask where kind = 'REANALYZE' and coalesce(before <> 'REANALYZE', true)""", _LE + "," + _PENDING)
+def batch_reanalyze_pending(t):
+    return _shown(TL.accepted_requests(lead_events(t["events"])), "requested_at")
+
+
+@query("stream_scan_completed", (), f"""
+select scan_id, case when failed > 0 then 'COMPLETED_WITH_ERRORS' else 'COMPLETED' end as status, processed, {_STAMP.format("epoch_ms(minute)")} as completed_at from (
+ select scan_id, minute, sum(n) over w as processed, sum(f) over w as failed from (
+  select scan_id, date_trunc('minute', ts) + interval 1 minute as minute, count(*) as n, count(*) filter (where kind = 'JOB_FAILED') as f from le where kind in ('JOB_DONE','JOB_FAILED') group by 1, 2)
+ window w as (partition by scan_id order by minute))
+where processed >= {_FOUND} and epoch_ms(minute) < (select max(epoch_ms(date_trunc('minute', ts) + interval 1 minute)) - 600000 from le where kind in ('JOB_DONE','JOB_FAILED'))
+qualify row_number() over (partition by scan_id order by minute) = 1""", _LE)
+def stream_scan_completed(t):
+    return _shown(LV.run_to_table(TL.completed_scans(_stream(t)), "scan-completed", "append"), "completed_at")
