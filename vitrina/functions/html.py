@@ -19,6 +19,8 @@ from . import text as T
 from . import url as U
 from .literals import literal_array, lookup
 
+WHOLE = 2_147_483_647  # length of the rest of a text
+
 _ATTRS = r"""((?:[^'">]++|"[^"]*+"|'[^']*+')*+)"""
 _TAG = rf"</?[a-zA-Z]{_ATTRS}>"
 # --- fixed values: element names by role -----------------------------------------------------
@@ -435,12 +437,12 @@ def page_columns(html: Column, url: Column) -> list[dict[str, Column]]:
     links = F.filter(anchors, lambda a: a["parts"].isNotNull() & ~a["raw_href"].rlike("(?i)^(tel|mailto):"))
     plus_kept = lambda x: F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
     tel = F.transform(
-        F.filter(anchors, lambda a: a["raw_href"].rlike("(?i)^tel:")), lambda a: plus_kept(F.substring(a["raw_href"], 5, 200))
+        F.filter(anchors, lambda a: a["raw_href"].rlike("(?i)^tel:")), lambda a: plus_kept(F.substring(a["raw_href"], 5, WHOLE))
     )
     mailto = F.flatten(F.transform(
         F.filter(anchors, lambda a: a["raw_href"].rlike("(?i)^mailto:")),
         lambda a: F.transform(
-            F.split(plus_kept(F.split_part(F.substring(a["raw_href"], 8, 2000), F.lit("?"), F.lit(1))), ","),
+            F.split(plus_kept(F.split_part(F.substring(a["raw_href"], 8, WHOLE), F.lit("?"), F.lit(1))), ","),
             lambda m: T.trim_blanks(m),
         ),
     ))
@@ -476,10 +478,10 @@ def page_columns(html: Column, url: Column) -> list[dict[str, Column]]:
         "app_shell": F.exists(all_tags, lambda t: t["name"] == "script") & (bare.rlike(SHELL_ROOTS) | (c("_children") <= 1)),
         "mixed_content": F.when(
             url.startswith("https:"),
-            F.slice(F.filter(
+            F.filter(
                 F.concat("scripts", "stylesheets", F.transform("images", lambda i: i["src"]), "iframes"),
                 lambda u: u.startswith("http:"),
-            ), 1, 20),
+            ),
         ).otherwise(F.array().cast("array<string>")),
     }
     booking_host = lambda u: F.get(
@@ -509,22 +511,20 @@ def page_columns(html: Column, url: Column) -> list[dict[str, Column]]:
     from_buttons = F.transform(F.filter("_button_texts", lambda x: x.rlike(java(P.BOOKING_TEXT))), lambda x: signal(url, x))
     short_cta = lambda x: (x != "") & (F.length(x) <= 40) & x.rlike(java(P.CTA))
     seventh = {
-        "booking_signals": F.slice(
-            _first_by(F.concat(widgets, F.flatten(F.transform("links", link_signals)), from_buttons), "url"), 1, 10),
-        "menu_links": F.slice(
-            F.transform(
-                F.filter("links", lambda x: x["text"].rlike(java(P.MENU_TEXT)) | x["parts"]["path"].rlike(java(P.MENU_PATH))),
-                lambda x: F.struct(x["href"].alias("url"), x["href"].rlike(java(P.PDF_LINK)).alias("is_pdf")),
-            ), 1, 10),
-        "contact_pages": F.slice(F.array_distinct(F.transform(
+        "booking_signals": _first_by(F.concat(widgets, F.flatten(F.transform("links", link_signals)), from_buttons), "url"),
+        "menu_links": F.transform(
+            F.filter("links", lambda x: x["text"].rlike(java(P.MENU_TEXT)) | x["parts"]["path"].rlike(java(P.MENU_PATH))),
+            lambda x: F.struct(x["href"].alias("url"), x["href"].rlike(java(P.PDF_LINK)).alias("is_pdf")),
+        ),
+        "contact_pages": F.array_distinct(F.transform(
             F.filter("links", lambda x: x["internal"] & (x["parts"]["path"].rlike(java(P.CONTACT_LINK)) | x["text"].rlike(java(P.CONTACT_LINK)))),
             lambda x: x["href"],
-        )), 1, 5),
-        "cta_texts": F.slice(F.array_distinct(F.concat(
+        )),
+        "cta_texts": F.array_distinct(F.concat(
             F.transform(F.filter("links", lambda x: short_cta(x["text"])), lambda x: x["text"]),
             F.filter("_button_texts", short_cta),
             F.when(F.size("tel_links") > 0, F.array(F.lit("tel:"))).otherwise(F.array().cast("array<string>")),
-        )), 1, 20),
+        )),
         "has_map": F.exists("iframes", lambda u: u.rlike(java(P.MAP_FRAME))) | F.exists("links", lambda x: x["href"].rlike(java(P.MAP_LINK))),
     }
     return [zero, first, half, second, third, fourth, fifth, sixth, seventh]

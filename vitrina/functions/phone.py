@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .literals import literal_array
-from .text import let
+from .text import first_few, let
 from ..rules.phones import PHONE_PLANS
 
 _CANDIDATE = r"(?:^|[^0-9+A-Za-z])((?:\+|00)?[(]?[0-9](?:[ ().-]?[0-9]){7,14})(?![0-9])"
@@ -85,11 +85,10 @@ def same_phone(a: Column, b: Column, country: Column) -> Column:
     return F.coalesce(e164(a, country) == e164(b, country), F.lit(False))
 
 
-def phones_in_text(text: Column, country: Column, limit: int | None = 10) -> Column:
+def phones_in_text(text: Column, country: Column, limit: int | None = None) -> Column:
     """Distinct valid numbers of a text in E.164 form, in order of appearance."""
     raw = F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(1))
     parsed = F.transform(raw, lambda r: _parsed(r, country))
     valid = F.filter(parsed, lambda p: p.isNotNull() & F.coalesce(F.regexp_like(p["nsn"], p["plan"]["valid"]), F.lit(False)))
     numbers = F.transform(valid, lambda p: F.concat(F.lit("+"), p["plan"]["code"], p["nsn"]))
-    once = F.array_distinct(numbers)
-    return once if limit is None else F.slice(once, 1, limit)
+    return first_few(F.array_distinct(numbers), limit)

@@ -100,7 +100,12 @@ def name_coverage(name: Column, haystack: Column) -> Column:
     return let(both, lambda b: covered(b["tokens"], b["hay"]))
 
 
-def emails(text: Column, extra: Column | None = None, limit: int = 10) -> Column:
+def first_few(items: Column, limit: int | None) -> Column:
+    """The first ``limit`` items; all of them without a limit."""
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def emails(text: Column, extra: Column | None = None, limit: int | None = None) -> Column:
     found = F.regexp_extract_all(text, F.lit(java(P.EMAIL)), F.lit(1))
     if extra is not None:
         found = F.concat(extra, found)
@@ -109,7 +114,7 @@ def emails(text: Column, extra: Column | None = None, limit: int = 10) -> Column
         clean,
         lambda e: e.rlike(java(P.EMAIL_SHAPE)) & ~e.rlike("|".join(f"(?:{java(b)})" for b in P.EMAIL_BLOCKED)),
     )
-    return F.slice(F.array_distinct(keep), 1, limit)
+    return first_few(F.array_distinct(keep), limit)
 
 
 def hidden_email(hex_text: Column) -> Column:
@@ -185,7 +190,7 @@ def _around(text: Column, at: Column, back: int, ahead: int) -> Column:
     return F.substring(text, start + 1, at + ahead - start)
 
 
-def dated_mentions(text: Column, current_year: int, limit: int = 5) -> Column:
+def dated_mentions(text: Column, current_year: int, limit: int | None = None) -> Column:
     """array<struct<year, text>> of event words next to a past year."""
     years = F.filter(
         match_offsets(text, r"(?:19|20)\d{2}"),
@@ -195,7 +200,7 @@ def dated_mentions(text: Column, current_year: int, limit: int = 5) -> Column:
         & ~_around(text, m["at"], 30, 0).rlike(java(P.SINCE_WORDS)),
     )
     return F.transform(
-        F.slice(years, 1, limit),
+        first_few(years, limit),
         lambda m: F.struct(
             m["hit"].cast("int").alias("year"), snippet(text, m["at"], F.lit(4), 60).alias("text")
         ),
@@ -216,23 +221,23 @@ def stale_notices(text: Column) -> Column:
     )
 
 
-def hours_texts(text: Column, limit: int = 5) -> Column:
-    hits = F.slice(match_offsets(text, P.HOURS_TEXT), 1, limit)
+def hours_texts(text: Column, limit: int | None = None) -> Column:
+    hits = first_few(match_offsets(text, P.HOURS_TEXT), limit)
     return F.transform(hits, lambda m: snippet(text, m["at"], F.length(m["hit"]), 25))
 
 
-def address_texts(text: Column, limit: int = 5) -> Column:
+def address_texts(text: Column, limit: int | None = None) -> Column:
     hits = F.regexp_extract_all(text, F.lit(java(P.ADDRESS_TEXT)), F.lit(0))
-    return F.array_distinct(F.transform(F.slice(hits, 1, limit), trim_blanks))
+    return F.array_distinct(F.transform(first_few(hits, limit), trim_blanks))
 
 
-def postal_codes(text: Column, limit: int = 5) -> Column:
+def postal_codes(text: Column, limit: int | None = None) -> Column:
     """Five-digit codes with an address word near by."""
     hits = F.filter(
         match_offsets(text, P.POSTAL_CODE),
         lambda m: _around(text, m["at"], 80, 40).rlike(java(P.POSTAL_CONTEXT)),
     )
-    return F.slice(F.array_distinct(F.transform(hits, lambda m: m["hit"])), 1, limit)
+    return first_few(F.array_distinct(F.transform(hits, lambda m: m["hit"])), limit)
 
 
 def placeholder_kind(text: Column) -> Column:

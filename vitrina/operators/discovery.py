@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..functions import url as U
 from ..functions.literals import literal_array
+from ..functions.text import let
 from ..rules.categories import CATEGORIES
 from ..rules.platforms import SEARCH_IGNORE_DOMAINS
 
@@ -117,7 +118,7 @@ def worklist(found: DataFrame, business: DataFrame, jobs: DataFrame, as_of: Colu
 
 def _ignored(host: Column, domain: Column) -> Column:
     """Directories, marketplaces and news sites: the domain itself or any host below a listed name."""
-    parents = F.slice(U.host_suffixes(host), 2, 20)
+    parents = let(U.host_suffixes(host), lambda s: F.slice(s, 2, F.size(s)))
     return domain.isin(SEARCH_IGNORE_DOMAINS) | F.arrays_overlap(
         parents, literal_array(SEARCH_IGNORE_DOMAINS)
     )

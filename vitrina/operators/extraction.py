@@ -11,7 +11,7 @@ from ..functions import url as U
 from ..rules.patterns import LOCAL_SCHEMA, STOCK_IMAGE
 from ..rules.regex import java
 
-# How many of each kind an extraction keeps, in its documented order.
+# How many of each kind a short extraction keeps, in its documented order; without caps all are kept.
 CAPS = {
     "phone": 6, "email": 5, "social": 10, "whatsapp": 3, "contact_page": 3, "form": 2, "booking": 5, "menu": 5,
     "address": 5, "postal": 5, "hours": 5, "dated": 6, "stale": 4,
@@ -40,7 +40,7 @@ def page_items(pages: DataFrame, key: str, country: Column, current_year: int) -
     url, text = F.col("url"), F.col("text")
     own = F.concat(F.lit("@"), U.registrable_domain(U.parse(url)["host"]))
     tel = F.filter(F.transform("tel_links", lambda x: PH.e164(x, country)), lambda x: x.isNotNull())
-    typed = PH.phones_in_text(F.substring(text, 1, 60_000), country, 8)
+    typed = PH.phones_in_text(text, country)
     none = F.lit(None)
     profile = F.filter(
         F.transform("links", lambda x: F.struct(
@@ -86,8 +86,8 @@ def page_items(pages: DataFrame, key: str, country: Column, current_year: int) -
     return pages.select(key, "seq", F.inline(cells))
 
 
-def site_extraction(pages: DataFrame, key: str, country: Column, current_year: int) -> DataFrame:
-    """One row per site. Lists are cut to their documented size before they are gathered."""
+def site_extraction(pages: DataFrame, key: str, country: Column, current_year: int, caps: dict[str, int] | None = None) -> DataFrame:
+    """One row per site. With ``caps`` lists are cut to their size before they are gathered."""
     items = page_items(pages, key, country, current_year)
     at = F.struct("front", "seq", "k")
     best = items.groupBy(key, "kind", "key").agg(
@@ -97,8 +97,10 @@ def site_extraction(pages: DataFrame, key: str, country: Column, current_year: i
         F.min(F.struct("seq", "k")).alias("seen"),
     )
     w = Window.partitionBy(key, "kind").orderBy(F.col("at.front"), F.col("seen"))
-    cap = F.create_map(*[F.lit(x) for kv in CAPS.items() for x in kv])[F.col("kind")]
-    kept = best.withColumn("rn", F.row_number().over(w)).where((F.col("rn") <= max(CAPS.values())) & (F.col("rn") <= cap))
+    kept = best.withColumn("rn", F.row_number().over(w))
+    if caps is not None:
+        cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col("kind")]
+        kept = kept.where((F.col("rn") <= max(caps.values())) & (F.col("rn") <= cap))
 
     def gather(kind: str, shape) -> Column:
         rows = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rn", "v"))))

@@ -128,3 +128,8 @@ def search_notes(found: DataFrame) -> DataFrame:
     """(business_id, note): candidates that were found but not verified."""
     shown = F.array_join(F.transform("candidates", lambda c: F.concat(c["url"], F.lit(" ("), c["reason"], F.lit(")"))), "; ")
     return found.where(F.col("url").isNull() & (F.size("candidates") > 0)).select(KEY, F.concat(F.lit(NOTE), shown).alias("note"))
+
+
+def to_fetch(found: DataFrame) -> DataFrame:
+    """(business_id, requested_url): verified sites for the crawler's next round."""
+    return found.where("url is not null").select(KEY, F.col("url").alias("requested_url"))

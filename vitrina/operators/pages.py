@@ -12,8 +12,6 @@ from ..rules import patterns as P
 from ..rules.regex import java
 from .links import keep_allowed
 
-MAX_PAGES = 6
-
 
 # what the visible text, the headings and the telephone links of a page are made from
 TEXT_FACTS = {"_raw", "_page", "_clean", "_host", "_bare", "_tags", "_base", "_anchors", "text", "title", "h1", "tel_links"}
@@ -73,7 +71,7 @@ def page_links(pages: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def frontier(homes: DataFrame, rules: DataFrame | None = None, max_pages: int | None = MAX_PAGES) -> DataFrame:
+def frontier(homes: DataFrame, rules: DataFrame | None = None, max_pages: int | None = None) -> DataFrame:
     """Further pages to fetch per home page: contact links first, then keyword kinds, each address once.
 
     ``rules`` are robots rules (business_id, kind, value); addresses they forbid take no place. Candidates live in one home

@@ -120,8 +120,8 @@ def summary(business: DataFrame, findings: DataFrame) -> DataFrame:
     return business.join(facts, KEY, "left").select(*business.columns, text.alias("summary"))
 
 
-def unverified_notes(business: DataFrame, contact_facts: DataFrame) -> DataFrame:
-    """What could not be verified, one distinct note per row."""
+def unverified_notes(business: DataFrame, contact_facts: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """What could not be verified, one distinct note per row; ``more`` are notes (business_id, note) of other steps."""
     no_site = F.coalesce(F.col("website_status") == "SIN_WEB", F.lit(False))
     notes = F.array_compact(F.array(
         F.when(~F.coalesce("c_email", F.lit(False)),
@@ -137,6 +137,5 @@ def unverified_notes(business: DataFrame, contact_facts: DataFrame) -> DataFrame
                "No se ha comprobado en buscadores si existe una web no enlazada en la ficha (SEARCH_PROVIDER no "
                "configurado)."),
     ))
-    return business.join(contact_facts, KEY, "left").select(
-        KEY, F.explode(F.array_distinct(notes)).alias("note")
-    )
+    rows = business.join(contact_facts, KEY, "left").select(KEY, F.explode(F.array_distinct(notes)).alias("note"))
+    return rows if more is None else rows.unionByName(more.select(KEY, "note")).distinct()

@@ -54,7 +54,7 @@ def capture_outcome(captures: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("res", F.when(again, F.col("again")).otherwise(F.col("r3")))
     err, status = F.col("res.error_code"), F.col("res.status")
     body = F.coalesce("res.html", F.lit(""))
-    challenge = F.substring(body, 1, 50_000).rlike(java(P.CHALLENGE))
+    challenge = body.rlike(java(P.CHALLENGE))
     if "headers" in captures.columns:  # header names are in lower case, as fetched
         challenge = challenge | F.coalesce(F.col("res.headers")["cf-mitigated"] != "", F.lit(False))
     challenge = status.isin(403, 503, 429) & challenge

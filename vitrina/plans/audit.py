@@ -12,6 +12,7 @@ from ..operators import consistency as CN
 from ..operators import contacts as CO
 from ..operators import extraction as EX
 from ..operators import findings as FI
+from ..operators import official as OF
 from ..operators import recommend as RE
 from ..operators import reviews as RV
 from ..operators import scoring as SC
@@ -30,6 +31,7 @@ class Audit:
     contributions: DataFrame
     scores: DataFrame
     recommendations: DataFrame
+    notes: DataFrame
 
 
 def category_needs(business: DataFrame) -> DataFrame:
@@ -81,9 +83,13 @@ def gated_sites(business: DataFrame, captures: DataFrame) -> DataFrame:
 
 def analyze(business: DataFrame, captures: DataFrame, pages: DataFrame, probes: DataFrame, reviews: DataFrame,
             as_of: Column, current_year: int, stage: Callable[[str, Callable[[], DataFrame]], DataFrame],
-            sitemap: DataFrame | None = None) -> Audit:
+            sitemap: DataFrame | None = None, search: DataFrame | None = None) -> Audit:
     """All results for every business.
 
+    ``search`` is what ``official.find`` gave for businesses without a site of their own. Where it verified one, the findings
+    of the listed address become mere information, the listing gets its missing link as a finding, and the business no longer
+    counts as one without a site; the site itself is audited when it has been fetched (``official.to_fetch``).
+
     ``stage(name, build)`` writes an intermediate to the shared folder and returns it read back: each is used by several
     later steps, so this avoids doing the work again and keeps every plan small.
 
@@ -95,8 +101,8 @@ def analyze(business: DataFrame, captures: DataFrame, pages: DataFrame, probes:
     extraction = stage("extraction", lambda: EX.site_extraction(placed, KEY, F.coalesce("site_country", F.lit("ES")), current_year))
     rows = stage("site_rows", lambda: SI.site_rows(
         gated, pages.where("seq = 0").drop("page_id"), extraction, probes, category_needs(business), KEY))
-    site_raw = stage("site_findings", lambda: SI.audit_findings(rows, KEY))
-    site = SI.site_status(rows, FI.dedupe(site_raw), KEY)
+    site_listed = site_raw = stage("site_findings", lambda: SI.audit_findings(rows, KEY))
+    site = SI.site_status(rows, FI.dedupe(site_listed), KEY)
     readable = rows.where("gate is null").select(KEY)
     read_sites = extraction.join(readable, KEY, "left_semi")
     facts = stage("facts", lambda: comparison_facts(business, read_sites, pages.select(KEY, "schema"), sitemap))
@@ -105,8 +111,16 @@ def analyze(business: DataFrame, captures: DataFrame, pages: DataFrame, probes:
         site.select(KEY, "website_status", "technical_score", "analysis_complete"), KEY, "left"
     ).join(RV.reviews_analyzed(reviews), KEY, "left").fillna(0, ["reviews_analyzed"])
     state = state.join(CN.consistency_score(facts, consistency), KEY, "left")
-    no_site = F.col("website_status").isNull() & F.col("website_uri").isNull()
-    unreached = F.col("website_status").isNull() & F.col("website_uri").isNotNull()
+    if search is not None:
+        told = search.select(KEY, F.col("search_checked").alias("_searched"), F.col("url").alias("found_url"))
+        state = state.join(told, KEY, "left").withColumn("search_checked", F.coalesce("_searched", "search_checked")).drop("_searched")
+        site_raw = stage("found_findings", lambda: FI.union_all(
+            site_listed.join(search.where("url is not null").select(KEY), KEY, "left_anti"), OF.found_findings(search, business, site_listed)))
+    else:
+        state = state.withColumn("found_url", F.lit(None).cast("string"))
+    found = F.col("found_url").isNotNull()
+    no_site = F.col("website_status").isNull() & F.col("website_uri").isNull() & ~found
+    unreached = (F.col("website_status").isNull() & ~no_site) | (found & F.coalesce(F.col("website_status") == "SIN_WEB", F.lit(False)))
     state = state.withColumn("no_site", no_site).withColumn(
         "website_status", F.when(no_site, "SIN_WEB").when(unreached, "WEB_NO_VERIFICABLE").otherwise(F.col("website_status")))
     unsaved = state
@@ -116,7 +130,9 @@ def analyze(business: DataFrame, captures: DataFrame, pages: DataFrame, probes:
     findings = stage("findings", lambda: FI.dedupe(FI.union_all(site_raw, listing, consistency, heard)))
     contacts = stage("contacts", lambda: CO.merge(CO.from_listing(business).unionByName(CO.from_site(read_sites))))
     parts = SC.contributions(state, findings, contacts)
+    reached = contacts.groupBy(KEY).agg(F.bool_or(F.col("type") == "EMAIL").alias("c_email"), F.bool_or(F.col("type") == "PHONE").alias("c_phone"))
+    notes = RE.unverified_notes(state, reached, None if search is None else OF.search_notes(search))
     return Audit(
         status=state, findings=findings, comparisons=CN.comparisons(facts), contacts=contacts, contributions=parts,
-        scores=SC.score(state, findings, contacts, parts), recommendations=RE.recommend(state, findings),
+        scores=SC.score(state, findings, contacts, parts), recommendations=RE.recommend(state, findings), notes=notes,
     )

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import official as OF
 from .audit import Audit, analyze
 from .fixtures import now
 from .page_queries import _feats
 from .registry import query
+from .source_queries import VERIFIED
 from .stages import staged
 
 
@@ -21,8 +23,9 @@ def full(t) -> Audit:
     pages = _feats(t)
     homes = t["fx_capture"].join(pages.where("seq = 0").select("page_id"), "page_id", "left_semi")
     probes = t["fx_probe"].drop("page_id")
+    search = staged(t, "audit-search", lambda: OF.find(business.where("website_uri is null"), t["fx_web_hit"], t["fx_home_capture"]))
     return analyze(business, homes, pages, probes, t["fx_review"], now(), 2024,
-                   lambda name, build: staged(t, f"audit-{name}", build))
+                   lambda name, build: staged(t, f"audit-{name}", build), search=search)
 
 
 @query("full_audit_scores", ("fx_business",))
@@ -46,3 +49,12 @@ def full_audit_invariants(t):
     return scores.join(repeats, "k").select("businesses", "repeated_codes", "bad_scores")
 
 
+@query("full_audit_search", ("fx_business", "fx_web_hit", "fx_home_capture"), f"""
+select business_id, 'GOOGLE_LISTING_MISSING_WEBSITE' as kind, url as value from found where url is not null and provider_website is null
+union all select business_id, 'note', '{OF.NOTE}' || candidates from found where url is null and candidates <> '' and provider_website is null""", VERIFIED)
+def full_audit_search(t):
+    """What the search for a site adds to the audit: the finding with the site, or the note with the candidates."""
+    audit = full(t)
+    found = audit.findings.where("code = 'GOOGLE_LISTING_MISSING_WEBSITE'").select("business_id", F.col("code").alias("kind"), F.col("evidence").alias("value"))
+    noted = audit.notes.where(F.col("note").startswith(OF.NOTE)).select("business_id", F.lit("note").alias("kind"), F.col("note").alias("value"))
+    return found.unionByName(noted)

@@ -187,7 +187,7 @@ select business_id, page_url, kind from (select *, row_number() over (partition
  select *, row_number() over (partition by business_id, page_url order by pri, k) as rn from (
   select business_id, regexp_replace(regexp_replace(href, '#.*$', ''), '/$', '') as page_url, 'contact' as kind, 0 as pri, k, path from lk where seq = 0 and internal and (regexp_matches(path, {ansi(P.CONTACT_LINK)}) or regexp_matches(text, {ansi(P.CONTACT_LINK)}))
   union all select business_id, regexp_replace(regexp_replace(href, '#.*$', ''), '/$', ''), {_KINDS}, 1, k, path from lk where seq = 0 and internal)
- where kind is not null and not regexp_matches(path, {ansi(P.BINARY_PATH)})) where rn = 1) where position <= 5""", PAGES)
+ where kind is not null and not regexp_matches(path, {ansi(P.BINARY_PATH)})) where rn = 1)""", PAGES)
 def crawl_frontier(t):
     return PG.frontier(_feats(t).where("seq = 0")).select("business_id", "page_url", "kind")
 

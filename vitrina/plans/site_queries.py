@@ -29,7 +29,7 @@ a2 as (select *, case when error_code = 'TLS_ERROR' and ih then ie when error_co
 a3 as (select *, coalesce(e2 in ('CONNECTION_REFUSED','TIMEOUT','CONNECTION_RESET','HOST_UNREACHABLE','TLS_ERROR') and oh and oe is null, false) as use_o, coalesce(e2 = 'DNS_NOT_FOUND' and wh and we is null, false) as use_w from a2),
 a4 as (select *, case when use_o or use_w then null else e2 end as err, use_o and starts_with(requested_url, 'https:') as https_dead, case when use_o then ourl else url end as final_url from a3),
 oc as (select *, case when error_code = 'SSRF_BLOCKED' then 'unverifiable' when err in ({quoted(P.UNREACHABLE_REASON)}) then 'down' when err is not null then 'unverifiable'
-  when status in (403,503,429) and regexp_matches(substr(html, 1, 50000), {ansi(P.CHALLENGE)}) then 'unverifiable' when status in (401,403,407,429,451) then 'unverifiable' when status >= 500 or status in (404,410) then 'down'
+  when status in (403,503,429) and regexp_matches(html, {ansi(P.CHALLENGE)}) then 'unverifiable' when status in (401,403,407,429,451) then 'unverifiable' when status >= 500 or status in (404,410) then 'down'
   when status < 200 or status >= 400 then 'unverifiable' when html = '' then 'down' else 'ok' end as outcome,
   case when error_code = 'SSRF_BLOCKED' then 'SSRF_BLOCKED' when err is not null then err when status in (401,403,407,429,451) or status >= 400 then 'HTTP_' || status when html = '' then 'EMPTY' end as code from a4)
 """

@@ -220,7 +220,7 @@ def official_site(t):
     return DI.official_site(t["fx_search_hit"])
 
 
-_VERIFIED = f"""
+VERIFIED = f"""
 plat(seq, domain, kind, label) as (values {PLATFORM_VALUES}),
 hp as (select *, regexp_extract(url, '^https://([^/]*)', 1) as host from fx_web_hit where not contains(regexp_extract(url, '^https://([^/]*)', 1), ' ')),
 hd as (select *, {HOST_PARTS.format(h="host")} as domain, (select arg_min(kind, seq) from plat p where p.domain <> 'google.com' and (host = p.domain or ends_with(host, '.' || p.domain))) as kind from hp),
@@ -241,7 +241,7 @@ ver as (select *, fetched and unread is null as readable, case when fetched and
  case when fetched and unread is null then 'Coincidencia insuficiente (nombre ' || floor(cover * 100 + 0.5)::int || '%, ubicación ' || case when located then 'sí' else 'no' end || ')' else 'No verificable (' || coalesce(unread, 'error') || ')' end as reason,
  case when fetched and unread is null then final_url else home end as url from judge),
 walk as (select *, coalesce(bool_or(verification is not null) over (partition by business_id order by position rows between unbounded preceding and 1 preceding), false) as done from ver),
-found as (select b.business_id, b.provider_key, r.url, r.verification, coalesce(r.candidates, '') as candidates from fx_business b left join (
+found as (select b.business_id, b.provider_key, b.provider_website, r.url, r.verification, coalesce(r.candidates, '') as candidates from fx_business b left join (
  select business_id, max(case when verification is not null then url end) as url, max(verification) as verification,
   string_agg(url || ' (' || reason || ')', '; ' order by position) filter (where verification is null) as candidates from walk where not done group by 1) r using (business_id))
 """
@@ -252,7 +252,7 @@ def _search(t):
     return OF.find(business, t["fx_web_hit"], t["fx_home_capture"])
 
 
-@query("official_site_verified", (B, "fx_web_hit", "fx_home_capture"), "select business_id, url, verification, candidates from found", _VERIFIED)
+@query("official_site_verified", (B, "fx_web_hit", "fx_home_capture"), "select business_id, url, verification, candidates from found", VERIFIED)
 def official_site_verified(t):
     shown = F.array_join(F.transform("candidates", lambda c: F.concat(c["url"], F.lit(" ("), c["reason"], F.lit(")"))), "; ")
     return _search(t).select("business_id", "url", "verification", shown.alias("candidates"))
@@ -262,14 +262,14 @@ def official_site_verified(t):
 select business_id, code, 'INFO' as severity, confidence, title, description from fx_finding_raw where business_id in (select business_id from found where url is not null)
 union all select business_id, 'GOOGLE_LISTING_MISSING_WEBSITE', 'MEDIUM', case verification when 'phone' then 'HIGH' else 'MEDIUM' end,
  'La ficha de ' || case provider_key when 'google_places' then 'Google' else 'OpenStreetMap' end || ' no enlaza la web del negocio',
- 'La web se ha encontrado mediante buscador y se ha verificado por ' || case verification when 'phone' then 'coincidencia de teléfono' else 'coincidencia de nombre y ubicación' end || '.' from found where url is not null""", _VERIFIED)
+ 'La web se ha encontrado mediante buscador y se ha verificado por ' || case verification when 'phone' then 'coincidencia de teléfono' else 'coincidencia de nombre y ubicación' end || '.' from found where url is not null""", VERIFIED)
 def official_site_findings(t):
     rows = OF.found_findings(_search(t), t[B], t["fx_finding_raw"])
     return rows.select("business_id", "code", "severity", "confidence", "title", "description")
 
 
 @query("official_site_notes", (B, "fx_web_hit", "fx_home_capture"), f"""
-select business_id, '{OF.NOTE}' || candidates as note from found where url is null and candidates <> ''""", _VERIFIED)
+select business_id, '{OF.NOTE}' || candidates as note from found where url is null and candidates <> ''""", VERIFIED)
 def official_site_notes(t):
     return OF.search_notes(_search(t))
 

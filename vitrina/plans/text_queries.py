@@ -112,7 +112,7 @@ def same_phone(t):
 
 
 @query("phones_in_text", (L,), f"""
-select doc_id, array_to_string(list_distinct_ordered[1:10], ',') as phones from (
+select doc_id, array_to_string(list_distinct_ordered, ',') as phones from (
  select f.doc_id, coalesce((select list(e order by k) from (select e, min(k) as k from (
    select '+' || code || nsn as e, k from (
      select k, p.code, p.valid, p.lo, p.hi, case when p.trunk <> '' and starts_with(loc, p.trunk) then substr(loc, length(p.trunk) + 1) else loc end as nsn from (
@@ -128,7 +128,7 @@ def phones_in_text(t):
 @query("emails_in_text", (L,), f"""
 select doc_id, coalesce((select string_agg(e, ',' order by k) from (select e, k from (select e, min(k) as k from (
   select lower(regexp_replace({_trim('e')}, '^[.]+|[.]+$', '', 'g')) as e, k from (select unnest(regexp_extract_all(f.ad_text, {ansi(P.EMAIL)}, 1)) as e, generate_subscripts(regexp_extract_all(f.ad_text, {ansi(P.EMAIL)}, 1), 1) as k))
-  where regexp_matches(e, {ansi(P.EMAIL_SHAPE)}) and {' and '.join(f'not regexp_matches(e, {ansi(b)})' for b in P.EMAIL_BLOCKED)} group by e) order by k limit 10)), '') as emails from fx_lead_text f""")
+  where regexp_matches(e, {ansi(P.EMAIL_SHAPE)}) and {' and '.join(f'not regexp_matches(e, {ansi(b)})' for b in P.EMAIL_BLOCKED)} group by e) order by k)), '') as emails from fx_lead_text f""")
 def emails_in_text(t):
     return t[L].select("doc_id", F.array_join(T.emails(F.col("ad_text")), ",").alias("emails"))
 
@@ -159,7 +159,7 @@ def _matches(pattern, group=0):
 @query("dated_mentions", (L,), f"""
 select doc_id, coalesce((select string_agg(hit || ':' || {_snip('f.ad_text', 'pos', '4', 60)}, '|' order by k) from (select * from (select *, row_number() over (order by k) as rn from {_matches('(?:19|20)[0-9][0-9]')} m
  where hit::int between 2000 and 2022 and regexp_matches(substr(f.ad_text, greatest(0, pos - 45)::int + 1, (pos + 10 - greatest(0, pos - 45))::int), {ansi(P.EVENT_WORDS)})
- and not regexp_matches(substr(f.ad_text, greatest(0, pos - 30)::int + 1, (pos - greatest(0, pos - 30))::int), {ansi(P.SINCE_WORDS)})) where rn <= 5)), '') as mentions from fx_lead_text f""")
+ and not regexp_matches(substr(f.ad_text, greatest(0, pos - 30)::int + 1, (pos - greatest(0, pos - 30))::int), {ansi(P.SINCE_WORDS)})))), '') as mentions from fx_lead_text f""")
 def dated_mentions(t):
     m = T.dated_mentions(F.col("ad_text"), 2024)
     return t[L].select("doc_id", F.array_join(F.transform(m, lambda x: F.concat(x["year"].cast("string"), F.lit(":"), x["text"])), "|").alias("mentions"))
@@ -173,20 +173,20 @@ def stale_notices(t):
 
 
 @query("hours_text_hits", (L,), f"""
-select doc_id, coalesce((select string_agg({_snip('f.ad_text', 'pos', 'length(hit)', 25)}, '|' order by k) from {_matches(P.HOURS_TEXT)} where k <= 5), '') as hours from fx_lead_text f""")
+select doc_id, coalesce((select string_agg({_snip('f.ad_text', 'pos', 'length(hit)', 25)}, '|' order by k) from {_matches(P.HOURS_TEXT)}), '') as hours from fx_lead_text f""")
 def hours_text_hits(t):
     return t[L].select("doc_id", F.array_join(T.hours_texts(F.col("ad_text")), "|").alias("hours"))
 
 
 @query("address_text_hits", (L,), f"""
-select doc_id, coalesce((select string_agg(a, '|' order by k) from (select a, min(k) as k from (select {_trim('h')} as a, k from (select unnest(regexp_extract_all(f.ad_text, {ansi(P.ADDRESS_TEXT)})) as h, generate_subscripts(regexp_extract_all(f.ad_text, {ansi(P.ADDRESS_TEXT)}), 1) as k) where k <= 5) group by a)), '') as addresses from fx_lead_text f""")
+select doc_id, coalesce((select string_agg(a, '|' order by k) from (select a, min(k) as k from (select {_trim('h')} as a, k from (select unnest(regexp_extract_all(f.ad_text, {ansi(P.ADDRESS_TEXT)})) as h, generate_subscripts(regexp_extract_all(f.ad_text, {ansi(P.ADDRESS_TEXT)}), 1) as k)) group by a)), '') as addresses from fx_lead_text f""")
 def address_text_hits(t):
     return t[L].select("doc_id", F.array_join(T.address_texts(F.col("ad_text")), "|").alias("addresses"))
 
 
 @query("postal_codes", (L,), f"""
 select doc_id, coalesce((select string_agg(hit, ',' order by k) from (select hit, min(k) as k from {_matches(P.POSTAL_CODE)} m
- where regexp_matches(substr(f.ad_text, greatest(0, pos - 80)::int + 1, (pos + 40 - greatest(0, pos - 80))::int), {ansi(P.POSTAL_CONTEXT)}) group by hit order by k limit 5)), '') as codes from fx_lead_text f""")
+ where regexp_matches(substr(f.ad_text, greatest(0, pos - 80)::int + 1, (pos + 40 - greatest(0, pos - 80))::int), {ansi(P.POSTAL_CONTEXT)}) group by hit order by k)), '') as codes from fx_lead_text f""")
 def postal_codes(t):
     return t[L].select("doc_id", F.array_join(T.postal_codes(F.col("ad_text")), ",").alias("codes"))
 
