@@ -362,7 +362,35 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id."""
+    """One row per document row: doc_id, n_shingles, component_id.
+
+    Rows that share a doc_id with different texts are joined under ids of their own, and what they link is united again.
+    """
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of"))
+    again = stored(known.groupBy("doc_id").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("doc_id"), "ngram-again")
+    return _groups(docs) if again.isEmpty() else _united(docs, again)
+
+
+def _united(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """``groups`` where the doc_ids of ``again`` stand for several texts each: every such text gets 64 bits of a hash as its id."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(again.withColumn("several", F.lit(True)), "doc_id", "left")
+    rows = stored(own.withColumn("row_id", F.when(F.col("several"), F.xxhash64(F.lit("row"), "doc_id", "text")).otherwise(F.col("doc_id"))), "ngram-renamed")
+    found = stored(_groups(rows.select(F.col("row_id").alias("doc_id"), "text")), "ngram-found")
+    each = found.where("doc_id is not null").withColumnRenamed("doc_id", "row_id")
+    names = rows.where("row_id is not null").select("row_id", "doc_id").distinct()
+    parts = names.join(each.where("n_shingles > 0").select("row_id", F.col("component_id").alias("part")).distinct(), "row_id").select("doc_id", "part").distinct()
+    first = parts.groupBy("doc_id").agg(F.min("part").alias("b"))
+    joined = components(parts.join(first, "doc_id").select(F.col("part").alias("a"), "b")).withColumnRenamed("node", "part")
+    whole = parts.join(joined, "part", "left").select("doc_id", F.coalesce("component", "part").alias("whole"))
+    smallest = whole.groupBy("whole").agg(F.min("doc_id").alias("found"))
+    named = whole.join(smallest, "whole").select("doc_id", "found").distinct()
+    out = each.drop("component_id").join(names, "row_id").join(named, "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+    return out.unionByName(found.where("doc_id is null"))
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """``groups`` where rows of one doc_id have one text."""
     rows, labels = join(docs)
     classes = rows.where("n > 0 and doc_id is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("node"))
     named = classes.join(labels, "node", "left").select("key1", "key2", F.coalesce("component", "node").alias("found"))

@@ -116,8 +116,8 @@ def train(docs: DataFrame, per_lang: int = 250, landmarks: int = 48) -> Model:
     return fit([r["text"] for r in sample], [r["lang"] for r in sample], landmarks)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default doc_id) of every row with lang_pred and score."""
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` (default doc_id) of every row with the label and its score, under ``names``."""
     spark, keep = docs.sparkSession, keep or ["doc_id"]
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -127,10 +127,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
         for batch in batches:
             found, value = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], pa.array(found, pa.string()), pa.array(value)], [*keep, "lang_pred", "score"])
+                [*[batch.column(c) for c in keep], pa.array(found, pa.string()), pa.array(value)], [*keep, *names])
 
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    return source.mapInArrow(score, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def classify(docs: DataFrame, per_lang: int = 250, landmarks: int = 48) -> DataFrame:
@@ -140,6 +140,7 @@ def classify(docs: DataFrame, per_lang: int = 250, landmarks: int = 48) -> DataF
 
 
 def accept(docs: DataFrame, per_lang: int = 250, landmarks: int = 48, min_score: float = 0.2) -> DataFrame:
-    """The documents whose language is recognised, with the columns of the input."""
-    found = identify(docs, train(docs, per_lang, landmarks), docs.columns)
-    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*docs.columns)
+    """The documents whose language is recognised, with the columns of the input, whatever their names."""
+    label, score = (next(n for n in (f"_{base}{'_' * i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for base in ("label", "score"))
+    found = identify(docs, train(docs, per_lang, landmarks), docs.columns, (label, score))
+    return found.where((F.col(label) != UND) & (F.col(score) >= min_score)).select(*docs.columns)
