@@ -265,6 +265,12 @@ select c_custkey % 12 as query_idx, ((c_custkey - c_custkey % 12) / 12) % 3 as t
  case when c_custkey % 7 = 0 then c_custkey + 1 else c_custkey end as place_id from customer
 """
 
+FIXTURES["fx_scan_hit"] = """
+select scan_id, query_idx, tile_idx, cast(row_number() over (partition by scan_id, query_idx, tile_idx order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as bigint) as rank, place_id, place_id % 10 <> 3 as inside from (
+ select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(case when l_orderkey % 3 = 0 then 0 else l_orderkey % 9 end as bigint) as scan_id, cast(l_partkey % (3 + l_orderkey % 5) as bigint) as query_idx,
+  cast(l_suppkey % 5 as bigint) as tile_idx, cast((l_partkey * 31 + l_suppkey) % 5000 as bigint) as place_id from lineitem) h
+"""
+
 FIXTURES["fx_typed"] = """
 select p_partkey as id, t.types, case when p_partkey % 11 = 0 then 'gimnasios' when p_partkey % 11 = 1 then 'no-existe' else null end as hint,
  t.tag_key, t.tag_value, t.request, p_partkey % 13 = 0 as all_categories
