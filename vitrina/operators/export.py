@@ -25,8 +25,11 @@ def _optional(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def export_rows(business: DataFrame, findings: DataFrame, contacts: DataFrame) -> DataFrame:
-    """The twenty export columns plus ``business_id``; filter, order and limit come from the caller's list."""
+def export_rows(business: DataFrame, findings: DataFrame, contacts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The twenty export columns plus ``business_id``; filter, order and limit come from the caller's list.
+
+    ``keep`` names columns of ``business`` to carry along, such as a list position.
+    """
     problems = FI.top_titles(findings, "business_id", ["CRITICAL", "HIGH", "MEDIUM"], 6)
     df = business.join(problems, "business_id", "left").join(CO.first_phone(contacts), "business_id", "left")
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -55,7 +58,7 @@ def export_rows(business: DataFrame, findings: DataFrame, contacts: DataFrame) -
         "proximo_seguimiento": D.date_text(F.col("next_follow_up_at")),
         "fecha_analisis": D.date_text(F.col("last_analyzed_at")),
     }
-    return df.select("business_id", *[values[c].alias(c) for c in EXPORT_COLUMNS])
+    return df.select("business_id", *keep, *[values[c].alias(c) for c in EXPORT_COLUMNS])
 
 
 def safe_cell(c: Column) -> Column:

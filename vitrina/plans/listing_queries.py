@@ -9,11 +9,13 @@ from ..operators import contacts as CO
 from ..operators import dashboard as DA
 from ..operators import export as EX
 from ..operators import listing as LI
+from ..operators import ordered as OR
 from ..operators import scoring as SC
 from ..operators import store as ST
 from ..operators import usage as US
 from ..rules.categories import CATEGORIES
 from ..rules.vocab import PROVIDERS, WEBSITE_STATUSES
+from ..session import scratch_path
 from .fixtures import AS_OF, now
 from .registry import query
 from .scoring_queries import ALL, DEDUPED, contributions, deduped
@@ -324,12 +326,15 @@ def export_rows(t):
     return _export(t)
 
 
-@query("export_csv_lines", (B, R, C), """
+_CSV_LINES = """
 select business_id, concat_ws(';', """ + ", ".join(
     "''" if c in ("email", "whatsapp", "instagram", "facebook", "maps") else
     f"""case when contains(z.{c}, '"') or contains(z.{c}, ';') then '"' || replace(z.{c}, '"', '""') || '"' else z.{c} end""" for c in EX.EXPORT_COLUMNS) + """) as line from (
  select business_id, """ + ", ".join(
-    f"case when regexp_matches(trim({c}), '^[=+@-]') then '''' || trim({c}) else trim({c}) end as {c}" for c in EX.EXPORT_COLUMNS if c not in ("email", "whatsapp", "instagram", "facebook", "maps")) + " from exp) z", DEDUPED + "," + _EXPORT_BASE)
+    f"case when regexp_matches(trim({c}), '^[=+@-]') then '''' || trim({c}) else trim({c}) end as {c}" for c in EX.EXPORT_COLUMNS if c not in ("email", "whatsapp", "instagram", "facebook", "maps")) + " from exp) z"
+
+
+@query("export_csv_lines", (B, R, C), _CSV_LINES, DEDUPED + "," + _EXPORT_BASE)
 def export_csv_lines(t):
     return EX.csv_lines(_export(t))
 
@@ -339,6 +344,28 @@ def export_json_manifest(t):
     return EX.manifest(t[B].where(F.col("has_phone") | (F.col("rating") >= 3)), now())
 
 
+_LISTED = """,
+pos as (select business_id, row_number() over (order by b.opportunity_score desc nulls last, b.user_rating_count desc nulls last, business_id) as position from fx_business b where has_phone or rating >= 3)"""
+
+
+@query("export_file_lines", (B, R, C), f"""
+select position // 1000 as part, line from ({_CSV_LINES}) join pos using (business_id)
+union all select 0, '{";".join(EX.EXPORT_COLUMNS)}'""", DEDUPED + "," + _EXPORT_BASE.rstrip() + _LISTED)
+def export_file_lines(t):
+    """The file itself, written in the order of the list and read back: which lines stand in which part (Spark's reader drops the mark)."""
+    rows = LI.apply_filters(t[B], LI.Filters(), now()).where(F.col("has_phone") | (F.col("rating") >= 3))
+    rows = rows.withColumn("opportunity_reason", F.concat(F.lit("+40 motivo; +3 "), F.col("city")))
+    path = scratch_path(t.spark, "export")
+    run = OR.export_file(rows, deduped(t), t[C], LI.order_by(LI.Filters()), path, now(), rows_per_part=1000)
+    return OR.file_lines(t.spark, path, run)
+
+
+@query("list_positions", (B,), """
+select business_id, row_number() over (order by rating desc nulls last, name nulls last, business_id) as position from fx_business""")
+def list_positions(t):
+    return OR.in_order(t[B], LI.order_by(LI.Filters(sort="rating"))).select("business_id", "position")
+
+
 @query("relative_time", (B,), f"""
 select business_id, case when due_at is null then '—' when g >= 86400 then p || (g // 86400) || ' día' || case when g // 86400 > 1 then 's' else '' end
  when g >= 3600 then p || (g // 3600) || ' hora' || case when g // 3600 > 1 then 's' else '' end when g >= 60 then p || (g // 60) || ' minuto' || case when g // 60 > 1 then 's' else '' end else 'ahora' end as due,
