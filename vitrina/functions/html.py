@@ -168,20 +168,45 @@ def _strings(v: Column, path: str) -> Column:
     return F.transform(kept, lambda x: F.variant_get(x, "$", "string"))
 
 
-def ld_nodes(documents: Column) -> Column:
-    """Typed nodes of all documents: the document itself, list members, and two levels of ``@graph``."""
-    def level(vs: Column) -> Column:
-        return F.flatten(F.transform(vs, lambda v: _as_list(v)))
+def ld_nodes(documents: Column, depth: int | None = None) -> Column:
+    """Typed nodes of all documents in page order, a node before those of its own ``@graph``.
 
-    def graphs(vs: Column) -> Column:
-        return F.flatten(F.transform(vs, lambda v: _as_list(v, "$['@graph']")))
-
-    def with_graphs(top: Column) -> Column:
-        return T.let(level(graphs(top)), lambda second: F.concat(top, second, level(graphs(second))))
-
-    return F.filter(
-        T.let(level(documents), with_graphs), lambda n: F.try_variant_get(n, "$['@type']", "variant").isNotNull()
-    )
+    Lists and graphs are opened level by level until nothing is left to open. A document has no more levels than it has brackets
+    and graphs, so that many rounds are run over it. ``depth``, where given, is the number of levels below the document that count.
+    """
+    rounds = lambda v: F.regexp_count(F.to_json(v), F.lit(r'\[|"@graph"'))
+    most = rounds if depth is None else lambda v: F.least(rounds(v), F.lit(depth))
+    return F.flatten(F.transform(documents, lambda v: _opened(v, most(v))))
+
+
+def _opened(document: Column, rounds: Column) -> Column:
+    """The typed nodes reached from one document within ``rounds`` levels."""
+    kind = "array<struct<at: array<int>, v: variant>>"
+
+    def place(v: Column, at: Column) -> Column:
+        return F.struct(at.alias("at"), v.alias("v"))
+
+    def inside(x: Column) -> Column:
+        graph = F.try_variant_get(x["v"], "$['@graph']", "variant")
+        members = F.coalesce(
+            F.try_variant_get(x["v"], "$", "array<variant>"),
+            F.when(graph.isNotNull() & ~F.is_variant_null(graph), F.array(graph)),
+            F.array().cast("array<variant>"))
+        return F.transform(members, lambda v, i: place(v, F.concat(x["at"], F.array(i))))
+
+    def step(done: Column) -> Column:
+        front = F.flatten(F.transform(done["front"], inside))
+        return T.let(front, lambda f: F.struct(f.alias("front"), F.concat(done["seen"], f).alias("seen")))
+
+    top = F.array(place(document, F.array().cast("array<int>"))).cast(kind)
+    every = F.aggregate(
+        F.when(rounds > 0, F.sequence(F.lit(1), rounds)).otherwise(F.array().cast("array<int>")),
+        F.struct(top.alias("front"), top.alias("seen")),
+        lambda done, _: F.when(F.size(done["front"]) > 0, step(done)).otherwise(done),
+        lambda done: done["seen"])
+    typed = F.filter(every, lambda x: F.try_variant_get(x["v"], "$['@type']", "variant").isNotNull())
+    ordered = F.array_sort(typed, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
+    return F.transform(ordered, lambda x: x["v"])
 
 
 def schema_facts(documents: Column) -> Column:

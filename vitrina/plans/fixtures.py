@@ -271,6 +271,11 @@ select scan_id, query_idx, tile_idx, cast(row_number() over (partition by scan_i
   cast(l_suppkey % 5 as bigint) as tile_idx, cast((l_partkey * 31 + l_suppkey) % 5000 as bigint) as place_id from lineitem) h
 """
 
+FIXTURES["fx_nested_ld"] = """
+select page_id, concat('[', repeat('{"@type":"Shell","@graph":[[', cast(page_id % 12 as int)), '{"@type":"Store","name":"', url, '","telephone":"95', cast(1000000 + page_id as varchar(12)),
+ '"},{"name":"untyped","@graph":{"@type":["Event","Thing"],"name":"', cast(page_id as varchar(12)), '"}}', repeat(']]}', cast(page_id % 12 as int)), ']') as body from pages
+"""
+
 FIXTURES["fx_typed"] = """
 select p_partkey as id, t.types, case when p_partkey % 11 = 0 then 'gimnasios' when p_partkey % 11 = 1 then 'no-existe' else null end as hint,
  t.tag_key, t.tag_value, t.request, p_partkey % 13 = 0 as all_categories

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import html as HT
+from ..functions import text as T
 from ..functions import url as U
 from ..operators import links as LI
 from ..operators import pages as PG
@@ -169,6 +171,25 @@ def jsonld_facts(t):
         "page_id", j("types"), j("telephone"), j("email"), j("postal_code"), j("street_address"), hours.alias("hours"), j("same_as"))
 
 
+@query("jsonld_nested", ("fx_nested_ld",), """
+select page_id, count(*) as nodes, count(*) filter (where v ->> '$."@type"' = 'Shell') as shells, max(v ->> '$.name') filter (where v ->> '$."@type"' = 'Store') as store,
+ max(v ->> '$.telephone') as telephone, max(v ->> '$."@type"[1]') as last_type
+from (with recursive w as (
+  select page_id, body::json as v from fx_nested_ld union all
+  select page_id, unnest(case when json_type(v) = 'ARRAY' then json_extract(v, '$[*]') when json_type(v -> '$."@graph"') = 'ARRAY' then json_extract(v, '$."@graph"[*]') else [v -> '$."@graph"'] end) as v
+  from w where json_type(v) = 'ARRAY' or json_type(v -> '$."@graph"') is not null) select * from w) where json_type(v) = 'OBJECT' and json_type(v -> '$."@type"') is not null group by 1""")
+def jsonld_nested(t):
+    nodes = T.let(F.array(F.try_parse_json("body")), lambda docs: HT.ld_nodes(docs))
+    text = lambda n, path: F.try_variant_get(n, path, "string")
+    kind = lambda n, name: text(n, "$['@type']") == name
+    found = t["fx_nested_ld"].select("page_id", nodes.alias("n"))
+    return found.select(
+        "page_id", F.size("n").cast("bigint").alias("nodes"), F.size(F.filter("n", lambda n: kind(n, "Shell"))).cast("bigint").alias("shells"),
+        text(F.get(F.filter("n", lambda n: kind(n, "Store")), F.lit(0)), "$.name").alias("store"),
+        F.array_max(F.transform("n", lambda n: text(n, "$.telephone"))).alias("telephone"),
+        F.array_max(F.transform("n", lambda n: text(n, "$['@type'][1]"))).alias("last_type"))
+
+
 @query("social_links", (PAGE,), """
 select page_id, 'INSTAGRAM' as type, case when starts_with(url, 'https') then 'https' else 'http' end || '://www.instagram.com/bar.foo' as profile from fx_page where page_id % 11 = 10 and page_id % 29 <> 3
 union all select page_id, 'X', 'https://x.com/barfoo' from fx_page where page_id % 11 = 10 and page_id % 29 <> 3
