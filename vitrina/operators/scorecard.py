@@ -13,14 +13,23 @@ from ..functions.literals import literal_array, lookup
 from ..rules import scoring as S
 from ..rules.categories import CATEGORIES
 from ..rules.recommendations import THIRD_PARTY_CODES
-from ..rules.vocab import CONTENT_CATEGORIES, TECHNICAL_CATEGORIES, WEBSITE_FIELD_RELIABILITY
+from ..rules.vocab import CONSISTENCY_CATEGORIES, CONTENT_CATEGORIES, TECHNICAL_CATEGORIES, WEBSITE_FIELD_RELIABILITY
 from . import scoring as SC
 from .weights import REST, Weights
 
 KEY = "business_id"
+_LISTING = [
+    KEY, "website_status", "provider_key", "category_key", "business_status", "user_rating_count", "national_phone", "search_checked",
+    "analysis_complete", "reviews_analyzed", "technical_score", "consistency_score",
+]
 _FINDING = ["sev_rank", "seq", "code", "severity", "category", "title", "description", "confidence", "provenance"]
 _PART = "array<struct<ord: bigint, component: string, points: double, reason: string, codes: string, inferred: boolean>>"
 _CAPPED = "array<struct<finding: {f}, place: bigint, raw: double, points: double>>"
+ISSUES = {
+    "technical_issue_count": TECHNICAL_CATEGORIES,
+    "content_issue_count": CONTENT_CATEGORIES,
+    "consistency_issue_count": CONSISTENCY_CATEGORIES,
+}
 _FLAGS = ["c_phone", "c_email", "c_form", "c_chat", "c_page", "c_social"]
 
 
@@ -31,10 +40,10 @@ def finding_lists(findings: DataFrame) -> DataFrame:
 
 def _wide(business: DataFrame, findings: DataFrame, contacts: DataFrame) -> DataFrame:
     """One row per business with its findings and what the score asks of them and of its contacts."""
-    joined = business.join(finding_lists(findings), KEY, "left").join(SC.contact_facts(contacts), KEY, "left")
+    joined = business.select(*_LISTING).join(finding_lists(findings), KEY, "left").join(SC.contact_facts(contacts), KEY, "left")
     empty = F.array().cast(joined.schema["found"].dataType)
     no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    listed = joined.select(*business.columns, F.coalesce("found", empty).alias("found"), *[no(c) for c in _FLAGS])
+    listed = joined.select(*_LISTING, F.coalesce("found", empty).alias("found"), *[no(c) for c in _FLAGS])
     down = lambda f: (f["category"] == "AVAILABILITY") & (f["severity"] == "CRITICAL")
     has = lambda *codes: F.exists("found", lambda f: f["code"].isin(*codes))
     first = lambda test: F.get(F.filter("found", test), F.lit(0))
@@ -51,9 +60,15 @@ def _wide(business: DataFrame, findings: DataFrame, contacts: DataFrame) -> Data
         F.coalesce(of_category(2), F.lit("")).alias("category_label"),
         F.coalesce(F.col("website_status").isin("SIN_WEB", "WEB_CAIDA"), F.lit(False)).alias("no_site"),
         F.coalesce("user_rating_count", F.lit(0)).alias("reviews"),
+        *[_issues(categories).alias(name) for name, categories in ISSUES.items()],
     )
 
 
+def _issues(categories: list[str]) -> Column:
+    real = F.filter("found", lambda f: (f["severity"] != "INFO") & f["category"].isin(categories))
+    return F.size(real).cast("bigint")
+
+
 def _capped(found: Column, kind: str, keep, raw, place, cap: Column) -> Column:
     """Findings that ``keep``, by ``place`` (ties: worst first), with the points the cap still leaves them."""
     rows = F.transform(F.filter(found, keep), lambda f: F.struct(
@@ -138,7 +153,7 @@ def _finding_parts(w: Weights) -> Column:
 
 
 def scorecard(business: DataFrame, findings: DataFrame, contacts: DataFrame, weights: Weights | None = None) -> DataFrame:
-    """One row per business: its score columns and ``parts``, every contribution in explanation order.
+    """One row per business: its score columns, issue counts and ``parts``, every contribution in explanation order.
 
     ``findings`` are deduped. Two shuffles beyond those of the dedupe, by business: findings and contacts, both aggregated first.
     """
@@ -178,8 +193,9 @@ def scorecard(business: DataFrame, findings: DataFrame, contacts: DataFrame, wei
         _clamp(F.col("website_points") / w.points("cap", "website") * 100).alias("website_opportunity"),
         "technical_score", "consistency_score", F.col("reachable").alias("contact_score"), F.col("sure").alias("evidence_confidence"),
         F.sort_array(F.when(F.col("gone") & (F.col("raw_total") != 0), F.concat("parts", F.array(closing))).otherwise(F.col("parts"))).alias("parts"),
+        *ISSUES,
     ).select(KEY, "opportunity_score", F.col("decision.level").alias("opportunity_level"), F.col("decision.why").alias("level_reason"),
-             "website_opportunity", "technical_score", "consistency_score", "contact_score", "evidence_confidence", "parts")
+             "website_opportunity", "technical_score", "consistency_score", "contact_score", "evidence_confidence", "parts", *ISSUES)
 
 
 def _clamp(c: Column) -> Column:
@@ -210,8 +226,11 @@ def _level(w: Weights) -> Column:
 
 
 def contributions(cards: DataFrame) -> DataFrame:
-    """One row per contribution of every business."""
-    return cards.select(KEY, F.inline("parts"))
+    """One row per contribution of every business.
+
+    Opened with empty lists kept and dropped after: else the test for empty ones is pushed below and computes the lists twice.
+    """
+    return cards.select(KEY, F.explode_outer("parts").alias("part")).where(F.col("part").isNotNull()).select(KEY, "part.*")
 
 
 def reason(limit: int = 3) -> Column:

@@ -75,14 +75,19 @@ def snapshot(business: DataFrame, scores: DataFrame, findings: DataFrame, contac
              reasons: DataFrame, analyses: DataFrame) -> DataFrame:
     """Business list columns refreshed from the latest analysis; one row per analysed business."""
     counts = ["technical_issue_count", "content_issue_count", "consistency_issue_count"]
+    cards = scores.join(FI.issue_counts(findings), KEY, "left").fillna(0, counts).join(reasons, KEY, "left")
+    return card_snapshot(business, cards, contacts, analyses)
+
+
+def card_snapshot(business: DataFrame, cards: DataFrame, contacts: DataFrame, analyses: DataFrame) -> DataFrame:
+    """The same from one row per business that already holds scores, issue counts and reason."""
     last = DA.latest(analyses).select(
         KEY, F.col("analysis_id").alias("latest_analysis_id"), F.col("created_at").alias("last_analyzed_at"))
     source = business.select(
         KEY, "website_status",
         F.when(F.col("website_source") != "none", F.col("website_url")).alias("website_url"))
     return (
-        source.join(scores, KEY).join(FI.issue_counts(findings), KEY, "left").fillna(0, counts)
-        .join(CO.primary(contacts), KEY, "left").join(reasons, KEY, "left").join(last, KEY, "left")
+        source.join(cards, KEY).join(CO.primary(contacts), KEY, "left").join(last, KEY, "left")
         .withColumn("has_phone", F.coalesce("has_phone", F.lit(False)))
         .withColumn("has_email", F.col("primary_email").isNotNull())
     )

@@ -15,7 +15,7 @@ from ..operators import findings as FI
 from ..operators import official as OF
 from ..operators import recommend as RE
 from ..operators import reviews as RV
-from ..operators import scoring as SC
+from ..operators import scorecard as CA
 from ..operators import site as SI
 from ..rules.categories import CATEGORIES
 
@@ -129,10 +129,10 @@ def analyze(business: DataFrame, captures: DataFrame, pages: DataFrame, probes:
     heard = RV.review_findings(stage("review_signals", lambda: RV.signals(reviews)))
     findings = stage("findings", lambda: FI.dedupe(FI.union_all(site_raw, listing, consistency, heard)))
     contacts = stage("contacts", lambda: CO.merge(CO.from_listing(business).unionByName(CO.from_site(read_sites))))
-    parts = SC.contributions(state, findings, contacts)
+    cards = stage("cards", lambda: CA.scorecard(state, findings, contacts))
     reached = contacts.groupBy(KEY).agg(F.bool_or(F.col("type") == "EMAIL").alias("c_email"), F.bool_or(F.col("type") == "PHONE").alias("c_phone"))
     notes = RE.unverified_notes(state, reached, None if search is None else OF.search_notes(search))
     return Audit(
-        status=state, findings=findings, comparisons=CN.comparisons(facts), contacts=contacts, contributions=parts,
-        scores=SC.score(state, findings, contacts, parts), recommendations=RE.recommend(state, findings), notes=notes,
+        status=state, findings=findings, comparisons=CN.comparisons(facts), contacts=contacts, contributions=CA.contributions(cards),
+        scores=cards.drop("parts", *CA.ISSUES), recommendations=RE.recommend(state, findings), notes=notes,
     )

@@ -276,6 +276,14 @@ select page_id, concat('[', repeat('{"@type":"Shell","@graph":[[', cast(page_id
  '"},{"name":"untyped","@graph":{"@type":["Event","Thing"],"name":"', cast(page_id as varchar(12)), '"}}', repeat(']]}', cast(page_id % 12 as int)), ']') as body from pages
 """
 
+FIXTURES["fx_weight"] = """
+select kind, key, place, cast(points as double) as points from (values ('severity','CRITICAL',0,9),('severity','HIGH',1,11),('severity','MEDIUM',2,2.5),('severity','LOW',3,1),('severity','INFO',4,0),
+ ('cap','WEB_FUNCIONAL_CON_PROBLEMAS',0,28),('cap','WEB_ACEPTABLE',1,10),('status','SIN_WEB',0,33),('contact','phone',0,9),('level','HIGH',0,52),
+ ('consistency','PHONE_MISMATCH',3,7),('consistency','ADDRESS_MISMATCH',1,8),('consistency','HOURS_MISMATCH',2,5),('consistency','STATUS_CONFLICT',0,9),('consistency','STALE_COVID_NOTICE',4,5),
+ ('consistency','OLD_DATED_CONTENT',5,4),('consistency','GOOGLE_LISTING_MISSING_WEBSITE',6,0),('consistency','DEAD_EXTERNAL_DOMAINS',7,3),('consistency','SITEMAP_STALE',8,2),
+ ('consistency','PROVIDER_MISSING_PHONE',9,2),('consistency','WEBSITE_HOURS_CONTRADICTORY',10,2),('consistency','OLD_COPYRIGHT',11,6)) as w(kind, key, place, points)
+"""
+
 FIXTURES["fx_typed"] = """
 select p_partkey as id, t.types, case when p_partkey % 11 = 0 then 'gimnasios' when p_partkey % 11 = 1 then 'no-existe' else null end as hint,
  t.tag_key, t.tag_value, t.request, p_partkey % 13 = 0 as all_categories

@@ -10,7 +10,7 @@ from ..operators import dashboard as DA
 from ..operators import export as EX
 from ..operators import listing as LI
 from ..operators import ordered as OR
-from ..operators import scoring as SC
+from ..operators import scorecard as CA
 from ..operators import store as ST
 from ..operators import usage as US
 from ..rules.categories import CATEGORIES
@@ -18,7 +18,7 @@ from ..rules.vocab import PROVIDERS, WEBSITE_STATUSES
 from ..session import scratch_path
 from .fixtures import AS_OF, now
 from .registry import query
-from .scoring_queries import ALL, DEDUPED, contributions, deduped
+from .scoring_queries import ALL, DEDUPED, cards, deduped
 from .scoring_queries import business as scored_business
 from .sqltext import category_values, values
 
@@ -137,7 +137,7 @@ select business_id, name, score as opportunity_score, level as opportunity_level
 order by score desc, user_rating_count desc nulls last, business_id limit 8""", ALL)
 def top_opportunities(t):
     b = scored_business(t)
-    scores = SC.score(b, deduped(t), t[C]).select("business_id", "opportunity_score", "opportunity_level")
+    scores = cards(t).select("business_id", "opportunity_score", "opportunity_level")
     ranked = b.drop("opportunity_score", "opportunity_level").join(scores, "business_id")
     return DA.top_opportunities(ranked).select(
         "business_id", "name", "opportunity_score", "opportunity_level", "user_rating_count")
@@ -252,9 +252,8 @@ def business_snapshot(t):
     b = scored_business(t).withColumns({
         "website_url": F.col("provider_website"),
         "website_source": F.when(F.col("business_id") % 3 == 0, "none").otherwise("provider")})
-    parts = contributions(t)
-    snap = ST.snapshot(b, SC.score(b, deduped(t), t[C], parts), deduped(t), CO.merge(t[C]),
-                       SC.opportunity_reason(parts), t["fx_analysis"])
+    rows = cards(t).withColumn("opportunity_reason", CA.reason()).drop("parts")
+    snap = ST.card_snapshot(b, rows, CO.merge(t[C]), t["fx_analysis"])
     return snap.select("business_id", "website_status", "website_url", "opportunity_score", "opportunity_level", "technical_issue_count",
                        "content_issue_count", "consistency_issue_count", "has_phone", "has_email", "primary_email",
                        "opportunity_reason", "latest_analysis_id")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import findings as FI
 from ..operators import recommend as RE
+from ..operators import scorecard as CA
 from ..operators import scoring as SC
+from ..operators import weights as WE
 from ..rules import scoring as S
 from ..rules.recommendations import HIDDEN_WITHOUT_SITE, NEW_SITE_OFFERS, REC_RULES
 from .registry import query
@@ -106,8 +108,8 @@ def deduped(t):
     return FI.dedupe(t[R])
 
 
-def contributions(t):
-    return SC.contributions(business(t), deduped(t), t[C])
+def cards(t, weights=None):
+    return CA.scorecard(business(t), deduped(t), t[C], weights)
 
 
 def big(*names):
@@ -186,14 +188,14 @@ def contact_score(t):
 
 @query("evidence_confidence", (B, R, C), "select business_id, conf as evidence_confidence from sc", ALL)
 def evidence_confidence(t):
-    return SC.score(business(t), deduped(t), t[C]).select("business_id", "evidence_confidence")
+    return cards(t).select("business_id", "evidence_confidence")
 
 
 @query("score_presence_contact_need", (B, R, C), """
 select business_id, component, sum(points)::double as points from allparts where component in ('presence','contact','need') group by 1, 2""", ALL)
 def score_presence_contact_need(t):
     return (
-        contributions(t).where(F.col("component").isin("presence", "contact", "need"))
+        CA.contributions(cards(t)).where(F.col("component").isin("presence", "contact", "need"))
         .groupBy("business_id", "component").agg(F.sum("points").alias("points"))
     )
 
@@ -201,16 +203,42 @@ def score_presence_contact_need(t):
 @query("opportunity_score", (B, R, C), """
 select business_id, score as opportunity_score, level as opportunity_level, evidence as evidence_confidence from (select *, conf as evidence from lev)""", ALL)
 def opportunity_score(t):
-    return SC.score(business(t), deduped(t), t[C]).select(
+    return cards(t).select(
         "business_id", "opportunity_score", "opportunity_level", "evidence_confidence")
 
 
+def _weighed(sql: str) -> str:
+    """The score's SQL with the points of the rule table where it names built-in ones."""
+    point = "(select points from fx_weight w where w.kind = '{}' and w.key = {})".format
+    swaps = [
+        ("case severity when 'CRITICAL' then 15.0 when 'HIGH' then 7.0 when 'MEDIUM' then 3.0 when 'LOW' then 0.5 else 0 end::double", point("severity", "severity")),
+        ("case website_status when 'WEB_ACEPTABLE' then 8 else 35 end::double", point("cap", "website_status")),
+        ("count(*) * 0.5", f"count(*) * any_value({point('severity', chr(39) + 'LOW' + chr(39))})"),
+        ("(values " + values([(i, c, float(p)) for i, (c, p) in enumerate(S.CONSISTENCY_POINTS.items())]) + ")",
+         "(select place, key, points from fx_weight where kind = 'consistency')"),
+        ("'website' as component, 40.0 as points", f"'website' as component, {point('status', chr(39) + 'SIN_WEB' + chr(39))} as points"),
+        ("6000000, 'contact', 6,", f"6000000, 'contact', {point('contact', chr(39) + 'phone' + chr(39))},"),
+        ("when score >= 60 then 'HIGH'", f"when score >= {point('level', chr(39) + 'HIGH' + chr(39))} then 'HIGH'"),
+    ]
+    for old, new in swaps:
+        assert sql.count(old) == 1, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query("opportunity_score_weighted", (B, R, C, "fx_weight"), """
+select business_id, score as opportunity_score, level as opportunity_level from lev""", _weighed(ALL))
+def opportunity_score_weighted(t):
+    """Scores under the weights of a rule table instead of the built-in ones."""
+    return cards(t, WE.load(t["fx_weight"])).select("business_id", "opportunity_score", "opportunity_level")
+
+
 @query("score_components", (B, R, C), """
 select business_id, round(webpts / 40 * 100)::bigint as website_opportunity, website_score::bigint as technical_score, consistency_score::bigint as consistency_score,
  (40 * ph::int + 25 * em::int + 10 * fo::int + 10 * wa::int + 5 * pg::int + 10 * so::int)::bigint as contact_score, conf as evidence_confidence
 from lev""", ALL)
 def score_components(t):
-    return SC.score(business(t), deduped(t), t[C]).select(
+    return cards(t).select(
         "business_id", *big("website_opportunity", "technical_score", "consistency_score", "contact_score",
                             "evidence_confidence"))
 
@@ -218,14 +246,14 @@ def score_components(t):
 @query("score_contributions", (B, R, C), """
 select business_id, component, points::double as points, reason, codes, inferred from allparts""", ALL)
 def score_contributions(t):
-    return SC.all_contributions(business(t), deduped(t), t[C]).drop("ord")
+    return CA.contributions(cards(t)).drop("ord")
 
 
 @query("level_reason", (B, R, C), """
 select business_id, case when business_status = 'CLOSED_PERMANENTLY' then 'closed' when pub then 'public' when level = 'INSUFFICIENT_EVIDENCE' then 'evidence'
  when score >= 60 then 'Score ' || score || ' ≥ 60' when score >= 40 then 'Score ' || score || ' entre 40 y 59' else 'Score ' || score || ' < 40' end as why from lev""", ALL)
 def level_reason(t):
-    s = SC.score(business(t), deduped(t), t[C])
+    s = cards(t)
     r = F.col("level_reason")
     return s.select("business_id", F.when(r.startswith("Negocio cerrado"), "closed").when(
         r.startswith("Posible entidad"), "public").when(
@@ -236,7 +264,7 @@ def level_reason(t):
 select business_id, string_agg('+' || round(points)::bigint || ' ' || reason, '; ' order by rn) as opportunity_reason from (
  select *, row_number() over (partition by business_id order by points desc, ord) as rn from allparts where points > 0) where rn <= 3 group by 1""", ALL)
 def opportunity_reason(t):
-    return SC.opportunity_reason(contributions(t))
+    return cards(t).select("business_id", CA.reason().alias("opportunity_reason")).where("opportunity_reason is not null")
 
 
 TRIGGERS = values([(i, r.code, r.title, c) for i, r in enumerate(REC_RULES) for c in r.triggers])
