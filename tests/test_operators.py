@@ -8,6 +8,7 @@ from vitrina.operators import consistency as CN
 from vitrina.operators import discovery as DI
 from vitrina.operators import findings as FI
 from vitrina.operators import pages as PG
+from vitrina.operators import scorecard as CA
 from vitrina.operators import scoring as SC
 
 PAGE = """<!doctype html><html lang=es><head><title>Bar &quot;Pepe&quot; &amp; hijos</title>
@@ -111,7 +112,7 @@ def test_contributions_sum_to_score(spark):
     from vitrina.plans.scoring_queries import business, deduped
 
     t = tables(spark, "/root/testdata/sf0.001")
-    parts = SC.all_contributions(business(t), deduped(t), t["fx_contact"]).groupBy("business_id").agg(F.sum("points").alias("p"))
-    scores = SC.score(business(t), deduped(t), t["fx_contact"])
+    scores = CA.scorecard(business(t), deduped(t), t["fx_contact"])
+    parts = CA.contributions(scores).groupBy("business_id").agg(F.sum("points").alias("p"))
     clash = scores.join(parts, "business_id").where(F.greatest(F.lit(0), F.least(F.lit(100), F.round("p"))) != F.col("opportunity_score"))
     assert clash.count() == 0

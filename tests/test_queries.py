@@ -23,7 +23,8 @@ DEFAULT = [
     "finding_rules_network", "stream_lead_state", "stream_scan_cost",
     "official_site_verified", "official_site_notes", "link_targets", "crawl_frontier_robots", "analysis_append", "business_card_lists",
     "business_card_full", "stream_hanging_jobs", "stream_followup_alerts", "stream_reanalyze_pending", "batch_reanalyze_pending",
-    "stream_scan_completed",
+    "stream_scan_completed", "scan_fair_sample", "scan_request_usage", "export_file_lines", "list_positions", "jsonld_nested",
+    "opportunity_score_weighted", "top_opportunities", "opportunity_reason",
 ]
 KEYS = sorted(entry.queries()) if os.environ.get("VITRINA_ALL") else DEFAULT
 

@@ -1,4 +1,4 @@
-"""Explainable opportunity score: contributions, totals, confidence and level."""
+"""Parts of the opportunity score by themselves: capped points, contactability, confidence, remarks."""
 
 from __future__ import annotations
 
@@ -7,23 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.literals import lookup as _lookup
 from ..rules import scoring as S
-from ..rules.categories import CATEGORIES
-from ..rules.recommendations import THIRD_PARTY_CODES
 from ..rules.vocab import (
     CONTENT_CATEGORIES, PROVIDER_LABEL, SOCIAL_TYPES, TECHNICAL_CATEGORIES, WEBSITE_FIELD_RELIABILITY,
 )
 
 KEY = "business_id"
-_SHAPE = [KEY, "ord", "component", "points", "reason", "codes", "inferred"]
-
-
-def _row(block: int, component: str, points: Column, reason: Column, codes: Column, inferred: Column,
-         offset: Column | None = None) -> list[Column]:
-    place = F.lit(block * 1_000_000) + (offset if offset is not None else F.lit(0))
-    return [
-        place.cast("bigint").alias("ord"), F.lit(component).alias("component"), points.cast("double").alias("points"),
-        reason.alias("reason"), codes.cast("string").alias("codes"), inferred.alias("inferred"),
-    ]
 
 
 def capped(points: Column, cap: Column, order: list[Column]) -> Column:
@@ -71,23 +59,6 @@ def review_points(findings: DataFrame) -> DataFrame:
     return rows.withColumn("points", capped(F.col("raw"), cap, [F.col("sev_rank"), F.col("seq")])).where("points > 0")
 
 
-def finding_facts(findings: DataFrame) -> DataFrame:
-    """What the score asks of a business's findings, in one pass."""
-    in_order = F.struct("sev_rank", "seq")
-    third = F.col("code").isin(THIRD_PARTY_CODES)
-    down = (F.col("category") == "AVAILABILITY") & (F.col("severity") == "CRITICAL")
-    has = lambda *codes: F.bool_or(F.col("code").isin(*codes))
-    return findings.groupBy(KEY).agg(
-        F.min_by(F.when(third, F.struct("code", "title")), F.when(third, in_order)).alias("third"),
-        F.min_by(F.when(down, F.struct("code", "description")), F.when(down, in_order)).alias("cause"),
-        F.bool_or(down & (F.col("confidence") == "HIGH")).alias("sure_down"),
-        has("NO_ONLINE_BOOKING").alias("no_booking"),
-        has("REVIEW_ONLINE_BOOKING").alias("review_booking"),
-        has("NO_MENU", "MENU_PDF_ONLY").alias("no_menu"),
-        has("PROBABLE_PUBLIC_ENTITY").alias("public_entity"),
-    )
-
-
 def contact_facts(contacts: DataFrame) -> DataFrame:
     has = lambda *types: F.bool_or(F.col("type").isin(*types))
     return contacts.groupBy(KEY).agg(
@@ -103,134 +74,6 @@ def contact_score(facts: DataFrame) -> DataFrame:
     return facts.select(KEY, total.cast("bigint").alias("contact_score"))
 
 
-def _wide(business: DataFrame, findings: DataFrame, contacts: DataFrame) -> DataFrame:
-    needs = {c.key: (c.needs_booking, c.needs_menu, c.label_es) for c in CATEGORIES}
-    flag = lambda i: _lookup({k: v[i] for k, v in needs.items()}, F.col("category_key"))
-    no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    wide = business.join(finding_facts(findings), KEY, "left").join(contact_facts(contacts), KEY, "left")
-    flags = ["sure_down", "no_booking", "review_booking", "no_menu", "public_entity", "c_phone", "c_email", "c_form",
-             "c_chat", "c_page", "c_social"]
-    return wide.select(
-        *business.columns, "third", "cause", *[no(c) for c in flags],
-        F.coalesce(flag(0), F.lit(False)).alias("needs_booking"),
-        F.coalesce(flag(1), F.lit(False)).alias("needs_menu"),
-        flag(2).alias("category_label"),
-    )
-
-
-def _presence(count: Column) -> Column:
-    out = F.when(F.lit(False), 0)
-    for low, points in S.PRESENCE_TIERS:
-        out = out.when(count >= low, points)
-    return out.otherwise(0)
-
-
-def _no_site() -> Column:
-    return F.coalesce(F.col("website_status").isin("SIN_WEB", "WEB_CAIDA"), F.lit(False))
-
-
-def _need() -> tuple[Column, Column]:
-    booking = F.col("needs_booking") & (_no_site() | F.col("no_booking") | F.col("review_booking"))
-    menu = ~booking & F.col("needs_menu") & (_no_site() | F.col("no_menu"))
-    return F.coalesce(booking, F.lit(False)), F.coalesce(menu, F.lit(False))
-
-
-def contributions(business: DataFrame, findings: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Every non-zero contribution with its reason, in explanation order (``ord``)."""
-    inferred = F.col("provenance") == "INFERRED"
-    web = web_points(business, findings)
-    place = F.row_number().over(Window.partitionBy(KEY).orderBy(F.col("raw").desc(), "sev_rank", "seq"))
-    major = web.where(F.col("severity") != "LOW").select(
-        KEY, *_row(1, "website", F.round("points", 1), F.col("title"), F.col("code"), inferred, place)
-    )
-    low = S.WEB_POINTS["LOW"]
-    minor = web.where(F.col("severity") == "LOW").groupBy(KEY).agg(
-        F.count("*").alias("n"), F.first("cap").alias("cap"),
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("seq", "code"))), lambda r: r["code"]), ","
-        ).alias("all_codes"),
-    ).select(
-        KEY,
-        *_row(2, "website", F.least(F.round(F.col("n") * low, 1), F.col("cap")),
-              F.concat(F.col("n").cast("string"), F.lit(" mejora(s) menor(es) (SEO/UX)")), F.col("all_codes"),
-              F.lit(False)),
-    )
-    cons = consistency_points(findings).select(
-        KEY, *_row(3, "consistency", F.col("points"), F.col("title"), F.col("code"), inferred, F.col("place"))
-    )
-    rev_place = F.row_number().over(Window.partitionBy(KEY).orderBy("sev_rank", "seq"))
-    rev = review_points(findings).select(
-        KEY, *_row(4, "consistency", F.col("points"), F.col("title"), F.col("code"), F.lit(True), rev_place)
-    )
-    wide = _wide(business, findings, contacts)
-    count = F.coalesce(F.col("user_rating_count"), F.lit(0))
-    booking, menu = _need()
-    label = F.coalesce(F.col("category_label"), F.lit(""))
-    none, no_code = F.lit(None).cast("string"), F.lit(False)
-    fixed = [
-        (F.col("website_status") == "SIN_WEB",
-         _row(0, "website", F.lit(S.WEB_NONE),
-              F.coalesce(F.concat(F.lit("Sin web propia ("), F.lower("third.title"), F.lit(")")),
-                         F.lit("No se ha encontrado web oficial")),
-              F.coalesce(F.col("third.code"), F.lit("NO_WEBSITE")), no_code)),
-        (F.col("website_status") == "WEB_CAIDA",
-         _row(0, "website", F.lit(S.WEB_DOWN),
-              F.concat(F.lit("La web publicada no funciona"),
-                       F.coalesce(F.concat(F.lit(" ("), F.lower("cause.description"), F.lit(")")), F.lit(""))),
-              F.col("cause.code"), no_code)),
-        (_presence(count) > 0,
-         _row(5, "presence", _presence(count),
-              F.concat(F.lit("Negocio con actividad de clientes ("), count.cast("string"), F.lit(" reseñas en "),
-                       F.when(F.col("provider_key") == "google_places", "Google").otherwise("el proveedor"),
-                       F.lit(")")), none, no_code)),
-        (F.col("c_phone"), _row(6, "contact", F.lit(S.CONTACT_PHONE), F.lit("Teléfono disponible"), none, no_code)),
-        (F.col("c_email"),
-         _row(7, "contact", F.lit(S.CONTACT_EMAIL), F.lit("Email empresarial publicado"), none, no_code)),
-        (F.col("c_form") | F.col("c_chat"),
-         _row(8, "contact", F.lit(S.CONTACT_FORM_OR_CHAT),
-              F.when(F.col("c_chat"), "WhatsApp publicado").otherwise("Formulario de contacto"), none, no_code)),
-        (booking,
-         _row(9, "need", F.lit(S.NEED_BOOKING),
-              F.concat(F.lit("Categoría que suele depender de reservas/citas online ("), label, F.lit(")")),
-              F.when(F.col("no_booking"), "NO_ONLINE_BOOKING"), F.lit(True))),
-        (menu,
-         _row(9, "need", F.lit(S.NEED_MENU),
-              F.concat(F.lit("Categoría en la que la carta/menú online es clave ("), label, F.lit(")")),
-              none, F.lit(True))),
-        (F.col("business_status") == "CLOSED_TEMPORARILY",
-         _row(10, "penalty", F.lit(S.TEMPORARILY_CLOSED), F.lit("Cerrado temporalmente según el proveedor"), none,
-              no_code)),
-    ]
-    cells = F.array_compact(F.array(*[F.when(cond, F.struct(*cols)) for cond, cols in fixed]))
-    plain = wide.select(KEY, F.inline(cells))
-    return (
-        plain.unionByName(major).unionByName(minor).unionByName(cons).unionByName(rev)
-        .where("points <> 0").select(*_SHAPE)
-    )
-
-
-def _closing(totals: DataFrame) -> DataFrame:
-    """The contribution that brings a permanently closed business back to zero."""
-    return totals.where((F.col("business_status") == "CLOSED_PERMANENTLY") & (F.col("raw_total") != 0)).select(
-        KEY,
-        *_row(11, "penalty", -F.col("raw_total"), F.lit("Cerrado permanentemente según el proveedor"), F.lit(None),
-              F.lit(False)),
-    )
-
-
-def totals(business: DataFrame, parts: DataFrame) -> DataFrame:
-    sums = parts.groupBy(KEY).agg(
-        F.sum("points").alias("raw_total"),
-        F.sum(F.when(F.col("component") == "website", F.col("points")).otherwise(0.0)).alias("website_points"),
-    )
-    return business.join(sums, KEY, "left").fillna(0.0, ["raw_total", "website_points"])
-
-
-def all_contributions(business: DataFrame, findings: DataFrame, contacts: DataFrame) -> DataFrame:
-    parts = contributions(business, findings, contacts)
-    return parts.unionByName(_closing(totals(business, parts)))
-
-
 def evidence_confidence() -> Column:
     """0-100, over the wide row of a business."""
     reliability = _lookup(WEBSITE_FIELD_RELIABILITY, F.col("provider_key"))
@@ -252,72 +95,6 @@ def evidence_confidence() -> Column:
     return F.least(F.lit(100), 35 + by_status + reviews + listing)
 
 
-def _clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(c, 0))).cast("bigint")
-
-
-def score(business: DataFrame, findings: DataFrame, contacts: DataFrame,
-          parts: DataFrame | None = None) -> DataFrame:
-    """One row per business: score, level, level reason and the five components."""
-    parts = contributions(business, findings, contacts) if parts is None else parts
-    wide = totals(_wide(business, findings, contacts), parts)
-    gone = F.coalesce(F.col("business_status") == "CLOSED_PERMANENTLY", F.lit(False))
-    unreliable = _lookup(WEBSITE_FIELD_RELIABILITY, F.col("provider_key")) < S.RELIABLE_PROVIDER
-    unproven = (
-        (F.col("website_status") == "SIN_WEB") & F.col("third").isNull() & ~F.col("search_checked") & unreliable
-    )
-    part = lambda name, n: F.when(F.col(name), n).otherwise(0)
-    scored = wide.select(
-        "*", F.when(gone, F.lit(0)).otherwise(_clamp(F.col("raw_total"))).cast("bigint").alias("score"),
-        evidence_confidence().cast("bigint").alias("confidence"),
-        (part("c_phone", 40) + part("c_email", 25) + part("c_form", 10) + part("c_chat", 10) + part("c_page", 5)
-         + part("c_social", 10)).cast("bigint").alias("contactability"),
-    )
-    s, conf = F.col("score"), F.col("confidence")
-    weak = F.coalesce(F.col("website_status") == "WEB_NO_VERIFICABLE", F.lit(False)) & (s < S.LEVEL_HIGH)
-    decision = (
-        F.when(gone, F.struct(F.lit("LOW").alias("level"),
-                              F.lit("Negocio cerrado permanentemente según el proveedor").alias("why")))
-        .when(F.col("public_entity"), F.struct(F.lit("LOW").alias("level"), F.lit(
-            "Posible entidad pública (inferido por el nombre): no suele ser un cliente de este tipo de servicios"
-        ).alias("why")))
-        .when(F.coalesce(unproven, F.lit(False)), F.struct(F.lit("INSUFFICIENT_EVIDENCE").alias("level"), F.lit(
-            "La ausencia de web se basa solo en un proveedor con datos de web incompletos (p. ej. OpenStreetMap) y no "
-            "se ha contrastado con buscador. Verifícalo manualmente o configura un buscador / Google Places."
-        ).alias("why")))
-        .when(conf < S.MIN_CONFIDENCE, F.struct(F.lit("INSUFFICIENT_EVIDENCE").alias("level"), F.concat(
-            F.lit("Confianza de la evidencia "), conf.cast("string"), F.lit(f" < {S.MIN_CONFIDENCE}")).alias("why")))
-        .when(weak, F.struct(F.lit("INSUFFICIENT_EVIDENCE").alias("level"), F.lit(
-            "No se ha podido verificar la web y el resto de señales no bastan para una prioridad alta"
-        ).alias("why")))
-        .when(s >= S.LEVEL_HIGH, F.struct(F.lit("HIGH").alias("level"), F.concat(
-            F.lit("Score "), s.cast("string"), F.lit(f" ≥ {S.LEVEL_HIGH}")).alias("why")))
-        .when(s >= S.LEVEL_MEDIUM, F.struct(F.lit("MEDIUM").alias("level"), F.concat(
-            F.lit("Score "), s.cast("string"), F.lit(f" entre {S.LEVEL_MEDIUM} y {S.LEVEL_HIGH - 1}")).alias("why")))
-        .otherwise(F.struct(F.lit("LOW").alias("level"), F.concat(
-            F.lit("Score "), s.cast("string"), F.lit(f" < {S.LEVEL_MEDIUM}")).alias("why")))
-    )
-    return scored.select(
-        KEY, s.alias("opportunity_score"), decision["level"].alias("opportunity_level"),
-        decision["why"].alias("level_reason"),
-        _clamp(F.col("website_points") / S.WEB_MAX * 100).alias("website_opportunity"),
-        F.col("technical_score"), F.col("consistency_score"),
-        F.col("contactability").alias("contact_score"), conf.alias("evidence_confidence"),
-    )
-
-
-def opportunity_reason(parts: DataFrame, limit: int = 3) -> DataFrame:
-    """The strongest positive reasons as one text."""
-    w = Window.partitionBy(KEY).orderBy(F.col("points").desc(), F.col("ord"))
-    top = parts.where("points > 0").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
-    text = F.concat(F.lit("+"), F.round("points", 0).cast("bigint").cast("string"), F.lit(" "), F.col("reason"))
-    return top.groupBy(KEY).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct(F.col("rn"), text.alias("t")))), lambda r: r["t"]), "; "
-        ).alias("opportunity_reason")
-    )
-
-
 def score_notes() -> Column:
     """Fixed remarks on what the score does not use (array, over the wide row)."""
     return F.array_compact(F.array(

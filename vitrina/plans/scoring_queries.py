@@ -10,7 +10,7 @@ from ..operators import scorecard as CA
 from ..operators import scoring as SC
 from ..operators import weights as WE
 from ..rules import scoring as S
-from ..rules.recommendations import HIDDEN_WITHOUT_SITE, NEW_SITE_OFFERS, REC_RULES
+from ..rules.recommendations import HIDDEN_WITHOUT_SITE, NEW_SITE_OFFERS, REC_RULES, THIRD_PARTY_CODES
 from .registry import query
 from .sqltext import category_values, quoted, values
 
@@ -23,7 +23,7 @@ ded as (select business_id, code, first_seq as seq, sev_rank, severity, category
 """
 TECH = quoted(FI.TECHNICAL_CATEGORIES)
 CONTENT = quoted(FI.CONTENT_CATEGORIES)
-THIRD = quoted(SC.THIRD_PARTY_CODES)
+THIRD = quoted(THIRD_PARTY_CODES)
 
 WEB = f""",
 webraw as (select d.*, case severity when 'CRITICAL' then 15.0 when 'HIGH' then 7.0 when 'MEDIUM' then 3.0 when 'LOW' then 0.5 else 0 end::double as raw,
