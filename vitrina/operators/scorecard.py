@@ -189,7 +189,8 @@ def scorecard(business: DataFrame, findings: DataFrame, contacts: DataFrame, wei
         (points("c_phone", 40) + points("c_email", 25) + points("c_form", 10) + points("c_chat", 10) + points("c_page", 5)
          + points("c_social", 10)).cast("bigint").alias("reachable"))
     return scored.select(
-        KEY, F.col("score").alias("opportunity_score"), _level(w).alias("decision"),
+        # never NULL, and known to be: a later test for NULL is then dropped instead of pushed down with the whole computation
+        KEY, F.coalesce("score", F.lit(0).cast("bigint")).alias("opportunity_score"), _level(w).alias("decision"),
         _clamp(F.col("website_points") / w.points("cap", "website") * 100).alias("website_opportunity"),
         "technical_score", "consistency_score", F.col("reachable").alias("contact_score"), F.col("sure").alias("evidence_confidence"),
         F.sort_array(F.when(F.col("gone") & (F.col("raw_total") != 0), F.concat("parts", F.array(closing))).otherwise(F.col("parts"))).alias("parts"),
