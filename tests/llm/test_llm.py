@@ -158,6 +158,19 @@ def test_short_lines(spark):
     assert out == {0: texts[0], 1: "two\n---\n\nTotal 6", 2: "three\nmenu"}
 
 
+def test_pipeline_lines_go_down_the_tree(spark, monkeypatch):
+    line = "the quick brown fox jumps over the lazy dog and never returned"
+    texts = [f"one\n{line} home\nAll rights reserved.", f"two\n{line}  home\nAll rights reserved.", f"three\n{line} here\nall rights reserved."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["id"]: r["gone"] for r in line_dedup.dropped_lines(rows, whole=True).collect()}
+    assert found == {1: [1, 2]}
+    runs = line_dedup.nodes(rows, whole=True).groupBy("id", "line_no").count().collect()
+    assert sorted(r["count"] for r in runs if r["line_no"] == 1) == [5] * 3 and all(r["count"] == 2 for r in runs if r["line_no"] != 1)
+    tree = line_dedup.nodes
+    monkeypatch.setattr(line_dedup, "nodes", lambda *a: tree(*a).where("needed is null"))
+    assert [r["text"] for r in line_dedup.clean_documents(rows).orderBy("doc_id").collect()] == texts  # nothing goes without the tree
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 16))

@@ -11,82 +11,88 @@ Lines are split at line feeds. Lines under LEAST words never enter the tree. Row
 null doc_id comes last. Null texts stay null, empty ones empty. Lines repeated within one document stay.
 
 This rule, which the SQL states too, lets a line's own words go with it where one of its runs is new, and takes support from
-different documents. Hence ``clean_documents`` (the pipeline) drops by ``repeated_lines`` instead: a line goes only when one
-and the same earlier document holds the whole line. Variable fields may differ where the line has more other words than
-fields; else the line must be equal as it is, so rows of numbers stay. This holds for lines of any length that have a letter
-or a digit; rules and brackets alone are layout and stay.
+different documents. ``clean_documents`` (the pipeline) sends lines of any length that have a letter or a digit down the same
+tree and adds one node below their leaf, the whole line: a line goes when the tree finds it and one and the same earlier
+document holds it whole. Variable fields may differ where the line has more other words than fields; else the line must be
+equal as it is, so rows of numbers stay. Lines of up to LEAD words are a leaf of their own; rules and brackets alone are layout.
 The tree is a table of hashed nodes with the smallest doc_id under each (a partial aggregate), joined back to the lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.llm.base import WORD, let
 
 LEAD, SEGMENTS, LEAST, LOOSE = 3, 4, 5, 11
 LAST = 9223372036854775807
+SPACES = r"[\x20\x09-\x0D]+"
 VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """id, text_hash, line_no, needed, node: one row for each run of words of each line that is long enough."""
+def nodes(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """id, text_hash, line_no, needed, node: one row for each run of words of each line that is long enough.
+
+    With ``whole``, shorter lines enter too, lines without letter or digit do not, and each line has one more row, with needed
+    NULL, for the whole line.
+    """
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_hash"),
                        F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    if whole:
+        rows = rows.where(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    keep = ["id", "text_hash", "line_no"] + ["line"] * whole
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, "<*>")).otherwise(F.col("line"))
-    words = F.split(F.btrim(masked, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+", -1)
+    words = F.split(_trimmed(masked), SPACES, -1)
     # the one-element explode keeps the words an input of what follows: written into it, they would be cut again for every use
-    long = rows.select("id", "text_hash", "line_no", F.explode(F.array(words)).alias("words")).select(
-        "id", "text_hash", "line_no", "words", F.size("words").alias("m")).where(F.col("m") >= LEAST)
-    runs = long.select("*", F.explode(F.array(*map(F.lit, range(SEGMENTS)))).alias("s"))
+    long = rows.select(*keep, F.explode(F.array(words)).alias("words")).select(
+        *keep, "words", F.size("words").alias("m")).where(F.col("m") >= (1 if whole else LEAST))
+    runs = long.select("*", F.explode(F.array(*map(F.lit, range(SEGMENTS + whole)))).alias("s"))
     rest = F.col("m") - LEAD
     runs = runs.withColumn("begin", F.expr(f"(m - {LEAD}) * s div {SEGMENTS}").cast("int")).withColumn(
-        "end", F.expr(f"(m - {LEAD}) * (s + 1) div {SEGMENTS}").cast("int")).where("end > begin")
+        "end", F.expr(f"(m - {LEAD}) * (s + 1) div {SEGMENTS}").cast("int"))
+    is_run = F.col("end") > F.col("begin")
     path = F.array_join(F.concat(F.slice("words", 1, LEAD), F.slice("words", F.col("begin") + LEAD + 1, F.col("end") - F.col("begin"))), " ")
     needed = F.least(rest, F.lit(SEGMENTS)) - F.when(F.col("m") >= LOOSE, 1).otherwise(0)
-    named = runs.select("id", "text_hash", "line_no", needed.alias("needed"), "m", "s", F.explode(F.array(path)).alias("path"))
+    if whole:
+        line, short = F.col("s") == SEGMENTS, F.col("m") <= LEAD
+        is_run = line | F.when(short, F.col("s") == 0).otherwise(is_run)
+        path = F.when(line, _whole_line()).when(short, F.array_join("words", " ")).otherwise(path)
+        needed = F.when(~line, F.greatest(needed, F.lit(1)))
+    named = runs.where(is_run).select("id", "text_hash", "line_no", needed.alias("needed"), "m", "s", F.explode(F.array(path)).alias("path"))
     return named.select("id", "text_hash", "line_no", "needed", F.struct(
         F.xxhash64("m", "s", "path").alias("h"), F.hash("m", "s", "path").alias("g")).alias("node"))
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """id, text_hash, gone: the sorted numbers of the lines that are dropped, for documents that lose any."""
-    each = nodes(docs)
-    shared = each.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("node", "first")
-    hit = each.join(shared, "node").where("first < id").select("id", "text_hash", "line_no", "needed")
-    lines = hit.groupBy("id", "text_hash", "line_no").agg(
-        F.count("*").alias("found"), F.max("needed").alias("needed"))
-    return lines.where("found >= needed").groupBy("id", "text_hash").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def whole_lines(docs: DataFrame) -> DataFrame:
-    """id, text_hash, line_no, node: one row for each line with a letter or a digit; white space counts as one space."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_hash"),
-                       F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    plain = F.regexp_replace(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+", " ")
-    # one-element explodes keep a value an input of what follows, as above
-    cut = rows.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("id", "text_hash", "line_no", F.explode(F.array(plain)).alias("line")).select(
-        "*", (F.regexp_count("line", F.lit(" ")) + 1).alias("m"))
+def _whole_line() -> Column:
+    """The line with white space as one space, its fields masked where it has more other words than fields."""
     fields = F.when(F.col("line").rlike("[0-9]"), F.regexp_count("line", F.lit(VARIABLE))).otherwise(0)
-    varies = (fields > 0) & (2 * fields < F.col("m"))
-    named = cut.withColumn("varies", varies).select("id", "text_hash", "line_no", "varies", F.explode(F.array(
-        F.when(F.col("varies"), F.regexp_replace("line", VARIABLE, "<*>")).otherwise(F.col("line")))).alias("path"))
-    return named.select("id", "text_hash", "line_no", F.struct(
-        F.xxhash64("varies", "path").alias("h"), F.hash("varies", "path").alias("g")).alias("node"))
+    template = F.array_join("words", " ")
+    return F.when(fields == 0, F.concat(F.lit("="), template)).when(2 * fields < F.col("m"), F.concat(F.lit("~"), template)).otherwise(
+        F.concat(F.lit("="), F.regexp_replace(_trimmed(F.col("line")), SPACES, " ")))
+
 
+def dropped_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """id, text_hash, gone: the sorted numbers of the lines that are dropped, for documents that lose any.
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """As dropped_lines, for lines that stand whole in one earlier document."""
-    each = whole_lines(docs)
+    With ``whole``, a line that the tree finds goes only where one earlier document holds all of it.
+    """
+    each = nodes(docs, whole)
     shared = each.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("node", "first")
-    hit = each.join(shared, "node").where("first < id")
-    return hit.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    hit = each.join(shared, "node").where("first < id").select("id", "text_hash", "line_no", "needed")
+    lines = hit.groupBy("id", "text_hash", "line_no").agg(
+        F.count("needed").alias("found"), F.max("needed").alias("needed"), F.count_if(F.col("needed").isNull()).alias("held"))
+    found = lines.where("found >= needed and held > 0" if whole else "found >= needed")
+    return found.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
 
 
-def dedup(docs: DataFrame, dropped=dropped_lines) -> DataFrame:
+def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The input with text rewritten, and n_lines and n_dropped added (clashing columns of those names are replaced)."""
-    gone = dropped(docs).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    gone = dropped_lines(docs, whole).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
     base = docs.drop("n_lines", "n_dropped")
     joined = base.join(gone, (F.coalesce("doc_id", F.lit(LAST)) == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
     lines = F.split("text", "\n", -1)
@@ -109,7 +115,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """Documents with the columns of the input; a document that had words and lost all its lines goes."""
-    out = dedup(docs, repeated_lines).where(~((F.col("n_dropped") > 0) & ~F.col("text").rlike(WORD)))
+    out = dedup(docs, whole=True).where(~((F.col("n_dropped") > 0) & ~F.col("text").rlike(WORD)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
