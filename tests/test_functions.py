@@ -146,3 +146,11 @@ def test_filters_are_lenient():
     assert LI.parse_filters({"q": "x" * 101, "level": "HIGH"}) == LI.Filters()
     assert LI.parse_filters({"hasEmail": "maybe", "level": "LOW"}) == LI.Filters()
     assert LI.parse_filters({"city": "", "dir": "asc"}) == LI.Filters(dir="asc")
+
+
+def test_hidden_email_computes_its_text_once(spark):
+    known = {"4a23242c250a282b3864393d": "info@bar.sw", "4A23242C250A282B3864393D": "info@bar.sw", "4a2": None, "zz23242c25": None,
+             "4a2324": None, "4a23242c250a282b3864393": "info@bar.sI"}
+    rows = spark.createDataFrame([(h,) for h in [*known, None]], "h string")
+    assert {r["h"]: r["e"] for r in rows.select("h", T.hidden_email(F.col("h")).alias("e")).collect()} == {**known, None: None}
+    assert str(T.hidden_email(F.reverse("h"))).count("reverse(") == 1
