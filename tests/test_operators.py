@@ -116,3 +116,30 @@ def test_contributions_sum_to_score(spark):
     parts = CA.contributions(scores).groupBy("business_id").agg(F.sum("points").alias("p"))
     clash = scores.join(parts, "business_id").where(F.greatest(F.lit(0), F.least(F.lit(100), F.round("p"))) != F.col("opportunity_score"))
     assert clash.count() == 0
+
+
+def test_nearest_sorts_only_the_innermost_rings(spark):
+    points = [(i, 37.0 + (i * 7919 % 2001 - 1000) / 50000, -5.0 + (i * 104729 % 2003 - 1001) / 50000) for i in range(4000)]
+    points += points[:50] + [(None, 37.0, -5.0), (7, 37.0001, -5.0), (8, None, -5.0)]
+    places = spark.createDataFrame(points, "business_id long, lat double, lng double")
+    areas = spark.createDataFrame([(1, 37.0, -5.0, 2000.0), (2, 37.01, -5.01, 900.0), (None, 36.99, -5.0, 1500.0), (3, 37.0, -5.0, 0.0), (1, 37.005, -5.0, 500.0)],
+                                  "area_id long, lat double, lng double, radius_m double")
+    hits = DI.within_radius(places, areas)
+    best = {}
+    for r in hits.collect():
+        key = (r["area_id"], r["business_id"])
+        best.setdefault(key, set()).add(r["distance_m"])
+    got = DI.nearest(places, areas, 20).collect()
+    for area in (2, None, 3):
+        rows = [r for r in got if r["area_id"] == area]
+        assert len(rows) == min(20, sum(a == area for a, _ in best)) == len({r["business_id"] for r in rows})
+        assert all(r["distance_m"] in best[area, r["business_id"]] for r in rows)
+    assert len([r for r in got if r["area_id"] == 1]) == 20
+    single = spark.createDataFrame([(i, *p) for i, (_, *p) in enumerate(points[:4000])], "business_id long, lat double, lng double")
+    crowd = DI.within_radius(single, areas.where("area_id = 2"))
+    kept = DI.near_rings(crowd, spark.range(1).selectExpr("1L as m"), 20)
+    n, all_ = kept.count(), crowd.count()
+    assert 20 <= n <= 40 < all_
+    close = lambda df: sorted((r["distance_m"], r["business_id"]) for r in df.collect())[:20]
+    assert close(kept) == close(crowd) == [(r["distance_m"], r["business_id"]) for r in sorted(
+        DI.nearest(single, areas.where("area_id = 2"), 20).collect(), key=lambda r: r["position"])]

@@ -14,6 +14,7 @@ from ..rules.platforms import SEARCH_IGNORE_DOMAINS
 
 CELL_DEGREES = 0.05
 PAGE_SIZE = 20
+RINGS = 1024
 
 
 def split_request(categories: Column, all_categories: Column) -> Column:
@@ -74,9 +75,25 @@ def within_radius(places: DataFrame, areas: DataFrame) -> DataFrame:
     )
 
 
+def near_rings(hits: DataFrame, most_rows: DataFrame, max_results: int) -> DataFrame:
+    """The hits of :func:`within_radius` from the innermost rings of each circle that surely hold ``max_results`` places.
+
+    Rings of equal area are counted first, a small aggregate, so the rows left to sort do not grow with the crowd in a circle.
+    ``most_rows`` has one row with the number ``m`` of hits that one place can have in one area at most.
+    """
+    share = F.coalesce(F.try_divide("distance_m", "radius_m"), F.lit(0.0))
+    ringed = hits.withColumn("ring", F.floor(RINGS * share * share))
+    inside = Window.partitionBy("area_id").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ringed.groupBy("area_id", "ring").count().withColumn("inside", F.coalesce(F.sum("count").over(inside), F.lit(0)))
+    last = counts.join(most_rows, F.col("inside") < max_results * F.col("m")).groupBy(F.col("area_id").alias("_area")).agg(F.max("ring").alias("_last"))
+    return ringed.join(F.broadcast(last), F.col("area_id").eqNullSafe(F.col("_area")) & (F.col("ring") <= F.col("_last"))).drop("ring", "_area", "_last")
+
+
 def nearest(places: DataFrame, areas: DataFrame, max_results: int, id_col: str = "business_id") -> DataFrame:
-    """Closest places of each area, each place once. The limit is applied ahead of the shuffle by Spark."""
-    hits = within_radius(places, areas).dropDuplicates(["area_id", id_col])
+    """Closest places of each area, each place once; only the innermost rings of a circle are gathered and sorted."""
+    most = lambda df, key, name: df.select(key).repartition(key).groupBy(key).count().agg(F.max("count").alias(name))
+    most_rows = most(places, id_col, "_p").crossJoin(most(areas, "area_id", "_a")).select((F.col("_p") * F.col("_a")).alias("m"))
+    hits = near_rings(within_radius(places, areas), most_rows, max_results).dropDuplicates(["area_id", id_col])
     w = Window.partitionBy("area_id").orderBy("distance_m", id_col)
     return hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= max_results)
 
