@@ -10,6 +10,9 @@ from vitrina.functions import text as T
 from vitrina.functions import url as U
 from vitrina.operators import export as EX
 from vitrina.operators import listing as LI
+from vitrina.plans.fixtures import tables
+from vitrina.rules import patterns as P
+from vitrina.rules import regex as RX
 from vitrina.sources import robots as RO
 
 
@@ -154,3 +157,22 @@ def test_hidden_email_computes_its_text_once(spark):
     rows = spark.createDataFrame([(h,) for h in [*known, None]], "h string")
     assert {r["h"]: r["e"] for r in rows.select("h", T.hidden_email(F.col("h")).alias("e")).collect()} == {**known, None: None}
     assert str(T.hidden_email(F.reverse("h"))).count("reverse(") == 1
+
+
+def test_guarded_patterns_find_the_same(spark):
+    texts = ["Lunes a viernes 10:00 - 20:00, SÁBADOS 9h a 14h, ſat 9:00-14:00", "C/ Feria 3, 41003 Sevilla; Avda. Sol 5 y ſtreet road  uno dos",
+             "Este dominio está en venta. ¡Hola mundo! Lorem ipsum, IT works! ıt works! İndex of /", "Próximamente, website coming soon; PANDEMIA, covid-19; cerrado temporalmente",
+             "© 2015-2018, &copy; 2012, (c) 1999, Copyright 2020; Just a moment, CAPTCHA, access denied", "", "  \t x y \n "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in P.FIRST:
+        plain = F.regexp_extract_all("t", F.lit("(?iu)" + RX._expand(pattern, RX.EDGE)), F.lit(0))
+        both = rows.select(F.regexp_extract_all("t", F.lit(RX.java(pattern)), F.lit(0)).alias("a"), plain.alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in both) and any(r["b"] for r in both), pattern
+        assert RX.java(pattern).startswith("(?![\\x00")
+    assert one(spark, texts[-1], T.squeeze) == "x y" and one(spark, "﻿a  ", T.squeeze) == "a"
+    assert one(spark, "nada", lambda c: T.match_offsets(c, P.POSTAL_CODE), "string") == [] and one(spark, None, lambda c: T.match_offsets(c, P.POSTAL_CODE)) is None
+
+
+def test_customers_are_read_by_all_cores(spark):
+    customers = tables(spark, "/root/testdata/sf0.001")["customer"]
+    assert customers.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
