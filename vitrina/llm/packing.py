@@ -19,9 +19,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from unicodedata import normalize
 
 import numpy as np
@@ -33,30 +33,67 @@ from vitrina.llm.base import prepare, stored
 from vitrina.llm.token_count import load, vocabulary
 
 WINDOW, END, GROUP_WINDOWS = 4096, 2, 384
+_END = END.to_bytes(4, "little")
 FILL, FILL_SHARE = 96, 4
 MEMORY = 800_000
 # white space of Python that the tokenizer does not take for white space
 _ODD = re.compile(r"[\x1c-\x1f]")
+# lower-case letters that the tokenizer's normalizer leaves as they are and its cutter never cuts between
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_CAPITALS = _LETTERS.replace("ß", "").replace("ÿ", "").upper()  # each becomes one of the letters
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+_CASED = re.compile(f"[{_LETTERS}{_CAPITALS}]+")
+# plain letters before marks, where the cutter always cuts; an apostrophe may belong to letters, "<" to a special string
+_MARKED = re.compile(f"([{_LETTERS}{_CAPITALS}]+)([!#$%&*+,./:;=?@^_~-]+)")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Words(dict):
-    """Token ids of words met so far; the tokenizer drops white space and never merges across it."""
+    """Token ids (the bytes of little-endian 32-bit numbers) of words met so far; the tokenizer drops white space and never
+    merges across it.
+
+    A word of plain letters is one piece for the tokenizer, so its model is asked at once, with the piece spelled as the byte
+    level spells it; all other words go through the whole tokenizer. A tokenizer of another make always does.
+    """
 
     def __init__(self, path: str):
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
+
         super().__init__()
         self.tokenizer = load(path)
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
+        self.model, level = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {ord(c): level.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+        probes = [*_LETTERS, *(f"{c}{d}" for c in _LETTERS for d in "aeñst"), "tokenization", _LETTERS]
+        self.direct = isinstance(self.model, BPE) and not self.model.dropout and all(
+            self._asked(p) == self._encoded(p) == self._encoded(p.upper() if p.upper().lower() == p else p) for p in probes)
+        marks = ("!", "...", ",&&&", "-", "_", "@", "://", "?!", "=", "$$")
+        self.direct = self.direct and all(
+            self._encoded(f"{c}{m}") == self._encoded(c) + self._encoded(m) for c in _LETTERS for m in marks)
+
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _asked(self, word: str) -> bytes:
+        piece = word if word.isascii() else word.translate(self.spelling)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
+        if self.direct and _PLAIN.fullmatch(word):
+            ids = self._asked(word)
+        elif self.direct and _CASED.fullmatch(word):
+            ids = self[word.lower()]
+        elif self.direct and (parts := _MARKED.fullmatch(word)):
+            ids = self[parts[1]] + self[parts[2]]
         # always cut between a letter and a mark, if what the tokenizer makes of the letter ends in a letter
-        if word[-1] in ".," and word[-2:-1].isalpha() and normalize("NFC", word[-2]).lower().isalpha():
+        elif word[-1] in ".," and word[-2:-1].isalpha() and normalize("NFC", word[-2]).lower().isalpha():
             ids = self[word[:-1]] + self[word[-1]]
         elif word.isascii() and "<" not in word and word != word.lower():  # the tokenizer knows lower case alone
             ids = self[word.lower()]
         else:
-            ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            ids = self._encoded(word)
         self[word] = ids
         return ids
 
@@ -70,12 +107,8 @@ def shared_words(path: str) -> Words:
 def token_ids(text: str | None, words: Words) -> np.ndarray:
     """Ids of a document with its end id."""
     text = text or ""
-    if _ODD.search(text):
-        ids = words.tokenizer.encode(text, add_special_tokens=False).ids
-    else:
-        ids = list(chain.from_iterable(map(words.__getitem__, text.split())))
-    ids.append(END)
-    return np.array(ids, dtype="<u4")
+    ids = words._encoded(text) if _ODD.search(text) else b"".join(map(words.__getitem__, text.split()))
+    return np.frombuffer(ids + _END, dtype="<u4")
 
 
 def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
