@@ -113,13 +113,16 @@ class Store:
     def _replace(self, table: str, ddl: str, fresh: DataFrame, batch: str) -> None:
         """Rewrite the buckets the batch touches: entered last rows of all businesses stay beside the new ones until the
         ledger decides; what neither is drops out."""
-        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        path = scratch_path(self.spark, f"replace-{table}")
+        fresh.write.parquet(f"{path}/fresh")  # what the rows are made from is run once
+        new = self.spark.read.schema(fresh.schema).parquet(f"{path}/fresh")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
         if not touched:
             return
         kept = self._read(table, ddl).where(F.col("bucket").isin(touched) & (F.col("batch") != batch)).join(
             self.heads(besides=batch), [KEY, "batch"], "left_semi").select(*fresh.columns)
-        path = scratch_path(self.spark, f"replace-{table}")
-        kept.unionByName(fresh).write.parquet(path)
-        staged = self.spark.read.schema(fresh.schema).parquet(path)
-        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(
-            f"{self.root}/{table}")
+        kept.write.parquet(f"{path}/kept")
+        rows = new.unionByName(self.spark.read.schema(fresh.schema).parquet(f"{path}/kept"))
+        # a large bucket is written by several tasks, a small one by one
+        rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "bucket").parquet(f"{self.root}/{table}")
