@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import card as CD
+from ..operators import findings as FI
 from ..operators import recommend as RE
 from ..operators import store as ST
 from ..operators.dashboard import latest
 from ..operators.persist import Store
 from ..session import scratch_path
 from .registry import query
-from .scoring_queries import ALL, RECS, deduped
+from .scoring_queries import ALL, RECS
 
 B, R, C = "fx_business", "fx_finding_raw", "fx_contact"
 
@@ -47,7 +48,8 @@ noted as (select *, row_number() over (partition by business_id order by created
 
 def _lists(t):
     notes = ST.current_notes(t["fx_note"], t["fx_note"].where("note_id % 9 = 0"))
-    return CD.lists(deduped(t), RE.recommend(t[B], deduped(t)), t[C], notes)
+    evidence = FI.dedupe(t[R].select(*CD.EVIDENCE))
+    return CD.lists(evidence, RE.recommend(t[B], evidence), t[C], notes)
 
 
 @query("business_card_lists", (B, R, C, "fx_note"), """
