@@ -17,6 +17,10 @@ sixteenfold per round, until each pair of each run has been compared or is known
 Before two sets are fetched, their profiles are compared: how many members fall into each of 256 classes by hash. The sum of
 the smaller counts is at least the overlap, so pairs below the needed overlap are left out without loss.
 
+Volume. What is large goes through shuffles only for the documents that need it. The pairs that met are written first, and only
+the profiles of their documents take part. Comparisons fetch compressed texts, a third of the bytes of their sets, and hash them
+again where they are compared. Copies leave before members are dealt out: a hashed filter passes all that surely are none.
+
 Comparison. The sets that meet one pivot are cut into packs of bounded size. A pack is a trie, its sets in the global order: a
 depth-first walk keeps how much of the shared prefix the pivot holds, so shared prefixes are met once, and a subtree is left
 as soon as what is held and the members still to come cannot reach the overlap that 100 * common >= 75 * union needs.
@@ -182,16 +186,15 @@ def _in_order(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return h[np.argsort(rank[_bucket(h)], kind="stable")]  # h is sorted
 
 
-def set_rows(docs: DataFrame, rank, few=None) -> DataFrame:
-    """doc_id, n, and members in global order: the prefix; or all, for the documents that the filter ``few`` lets through."""
+def prefix_rows(docs: DataFrame, rank, few, through: bool) -> DataFrame:
+    """doc_id, n and the prefix of the members in global order, of the documents that the filter ``few`` lets through (or not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rank.value
         for batch in batches:
-            if few is not None:
-                batch = batch.filter(pa.array(few.value[_place(batch.column("doc_id").to_numpy())]))
+            batch = batch.filter(pa.array(few.value[_place(batch.column("doc_id").to_numpy())] == through))
             sets = member_sets(batch.column("text").to_pylist())
-            out = [_in_order(h, order)[:len(h) if few is not None else len(h) // 4 + 1].view(np.int64) for h in sets]
+            out = [_in_order(h, order)[:len(h) // 4 + 1].view(np.int64) for h in sets]
             at = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
             flat = np.concatenate(out) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -202,6 +205,29 @@ def set_rows(docs: DataFrame, rank, few=None) -> DataFrame:
         run, "doc_id long, n long, members array<long>")
 
 
+def text_rows(docs: DataFrame, few) -> DataFrame:
+    """doc_id and compressed text of the documents that the filter ``few`` lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(few.value[_place(batch.column("doc_id").to_numpy())]))
+            packed = [zlib.compress((t or "").encode(), 1) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(
+        run, "doc_id long, packed binary")
+
+
+def profile_rows(rows: DataFrame, few) -> DataFrame:
+    """doc_id, n and profile, from ``measured``, of the documents that the filter ``few`` lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(few.value[_place(batch.column("doc_id").to_numpy())]))
+
+    return rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "profile").mapInArrow(run, "doc_id long, n long, profile binary")
+
+
 def _place(ids: np.ndarray) -> np.ndarray:
     return (_mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -229,6 +255,11 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def ends(pairs: DataFrame) -> np.ndarray:
+    """``id_filter`` of both documents of each of the pairs (a, b)."""
+    return id_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+
+
 def linked(common: int, a: int, b: int) -> bool:
     return common > 0 and 100 * common >= 75 * (a + b - common)
 
@@ -286,24 +317,25 @@ def possible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rank) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, rank) -> DataFrame:
     """The pairs (a, b) that link. Each pivot's partners come in packs of about PACK, each a trie of its own."""
     load = pairs.groupBy("a").agg(F.count("*").alias("partners"))
-    packed = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / PACK)).alias("pack"))
-    partners = packed.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("own")), "b")
-    pivots = packed.select(F.col("a").alias("pivot"), F.col("pack").alias("part")).distinct().join(
-        sets.select(F.col("doc_id").alias("pivot"), "members"), "pivot")
-
-    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        partners_, out = right.column("b").to_pylist(), []
-        own = [np.asarray(x.values).view(np.uint64) for x in right.column("own")]
-        for pivot in left.column("members"):
-            found = trie_walk(np.asarray(pivot.values).view(np.uint64), own, rank.value)
-            out += [b for b, f in zip(partners_, found, strict=True) if f]
-        a = left.column("pivot")[0].as_py() if len(left) else None
+    packed = pairs.join(load, "a").select(F.col("a").alias("pivot"), "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / PACK)).alias("pack"))
+    # a pack is its pivot's row and those of the partners
+    wanted = packed.select("pivot", "pack", F.col("b").alias("doc_id")).union(
+        packed.select("pivot", "pack", F.col("pivot").alias("doc_id")).distinct())
+
+    def walk(tab: pa.Table) -> pa.Table:
+        ids, out = tab.column("doc_id").to_pylist(), []
+        a = tab.column("pivot")[0].as_py()
+        sets = [_in_order(h, rank.value) for h in member_sets([zlib.decompress(x).decode() for x in tab.column("packed").to_pylist()])]
+        partners = [(b, h) for b, h in zip(ids, sets, strict=True) if b != a]
+        for pivot in (h for b, h in zip(ids, sets, strict=True) if b == a):
+            found = trie_walk(pivot, [h for _, h in partners], rank.value)
+            out += [b for (b, _), f in zip(partners, found, strict=True) if f]
         return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
-    return pivots.groupBy("pivot", "part").cogroup(partners.groupBy("a", "pack")).applyInArrow(walk, "a long, b long").distinct()
+    return wanted.join(texts, "doc_id").groupBy("pivot", "pack").applyInArrow(walk, "a long, b long").distinct()
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -316,45 +348,55 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     all_rows = stored(measured(docs), "ngram-rows")
     rank = spark.sparkContext.broadcast(bucket_order(all_rows))
     rows = all_rows.where("slice is null").select("doc_id", "n", "key1", "key2")
-    posted = set_rows(docs, rank).where("n > 0").select("doc_id", "n", F.posexplode("members").alias("place", "member")).select(
-        "member", "doc_id", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("place")).cast("int").alias("rest"))
-    size = F.count("*").over(Window.partitionBy("member"))
-    shared = posted.withColumn("size", size).where("size > 1").drop("size")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("node"))
-    others = rows.join(classes, ["key1", "key2"]).where("doc_id <> node").select("doc_id").distinct()
-    runs = stored(shared.join(others, "doc_id", "left_anti").withColumn("size", size).where("size > 1").select(
-        "member", F.col("doc_id").alias("node"), "n", "rest"), "ngram-runs")
-    profiles = all_rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "profile")
+    others = stored(rows.join(classes, ["key1", "key2"]).where("doc_id <> node").select("doc_id").distinct(), "ngram-copies")
+    copied = spark.sparkContext.broadcast(id_filter(others))
+
+    def posted(through: bool) -> DataFrame:
+        return prefix_rows(docs, rank, copied, through).where("n > 0").select("doc_id", "n", F.posexplode("members").alias("place", "member")).select(
+            "member", F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), (F.col("n") - F.col("place")).cast("int").alias("rest"))
+
+    single = posted(False).union(posted(True).join(others.withColumnRenamed("doc_id", "node"), "node", "left_anti").select("member", "node", "n", "rest"))
+    run = Window.partitionBy("member")
+    numbered = single.withColumn("no", F.row_number().over(run.orderBy("node"))).withColumn("size", F.count("*").over(run)).where("size > 1")
+    # the first pivots are met while a run is together, without dealing it out again
+    first = numbered.withColumn("heads", F.collect_list(F.when(F.col("no") <= FIRST_PIVOTS, F.struct("node", "n", "rest", "no"))).over(run))
+    runs = stored(first.select("member", "node", "n", "rest", "no", "size", F.expr(
+        "transform(filter(heads, h -> no > h.no and node <> h.node and 4 * least(n, h.n) >= 3 * greatest(n, h.n)"
+        " and 175L * least(rest, h.rest) >= 75L * (n + h.n)), h -> h.node)").alias("met")), "ngram-runs")
+    copied.destroy()
+    pairs = runs.select(F.explode("met").alias("a"), "node")
     links, labels, done, pivots = None, None, 0, FIRST_PIVOTS
     while True:
-        named = runs if labels is None else runs.join(labels, "node", "left")
-        label = F.col("node") if labels is None else F.coalesce("component", "node")
-        listed = named.select("member", "node", "n", "rest", label.alias("label"), F.row_number().over(
-            Window.partitionBy("member").orderBy("node")).alias("no"))
-        heads = listed.where((F.col("no") > done) & (F.col("no") <= done + pivots)).select(
-            "member", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("label").alias("la"),
-            F.col("no").alias("noa"))
-        pairs = listed.join(heads, "member").where(
-            "no > noa and label <> la and node <> a and 4 * least(n, na) >= 3 * greatest(n, na)"
-            " and 175L * least(rest, ra) >= 75L * (n + na)")
-        pairs = stored(possible(pairs.select("a", F.col("node").alias("b")).distinct(), profiles), "ngram-pairs")
+        pairs = stored(pairs.select("a", F.col("node").alias("b")).distinct(), "ngram-met")
         if not pairs.isEmpty():
-            few = spark.sparkContext.broadcast(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
-            sets = stored(set_rows(docs, rank, few).select("doc_id", "members"), "ngram-sets")
+            few = spark.sparkContext.broadcast(ends(pairs))
+            pairs = stored(possible(pairs, profile_rows(all_rows, few)), "ngram-pairs")
             few.destroy()
-            new = stored(verified(pairs, sets, rank), "ngram-links")
+        if not pairs.isEmpty():
+            few = spark.sparkContext.broadcast(ends(pairs))
+            texts = stored(text_rows(docs, few), "ngram-texts")
+            few.destroy()
+            new = stored(verified(pairs, texts, rank), "ngram-links")
             if not new.isEmpty():
                 links = new if links is None else links.union(new)
                 labels = stored(components(links), "ngram-labels")
         done += pivots
         pivots *= GROWTH
         # runs that still hold a set beyond the pivots and sets of more than one component
-        left = runs if labels is None else runs.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
-        open_ = left.groupBy("member").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where(
-            (F.col("size") > done) & (F.col("lo") != F.col("hi"))).select("member")
-        if open_.isEmpty():
+        named = runs.select("member", "node", "n", "rest", "no", "size").where(F.col("size") > done)
+        named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn(
+            "label", F.coalesce("component", "node")).drop("component")
+        runs = stored(named.withColumn("lo", F.min("label").over(run)).withColumn("hi", F.max("label").over(run)).where(
+            "lo <> hi").drop("lo", "hi"), "ngram-runs")
+        if runs.isEmpty():
             break
-        runs = stored(runs.join(open_, "member", "left_semi"), "ngram-runs")
+        heads = runs.where((F.col("no") > done) & (F.col("no") <= done + pivots) & (F.col("no") < F.col("size"))).select(
+            "member", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("label").alias("la"),
+            F.col("no").alias("noa"))
+        pairs = runs.where(F.col("no") > done + 1).join(heads, "member").where(
+            "no > noa and label <> la and node <> a and 4 * least(n, na) >= 3 * greatest(n, na)"
+            " and 175L * least(rest, ra) >= 75L * (n + na)")
     rank.destroy()  # all that needs it is written
     if labels is None:
         labels = spark.createDataFrame([], "node long, component long")
